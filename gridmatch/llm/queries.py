@@ -7,20 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .jpeg import media_column, media_features
 from .mixing import MIX_SQL, mix
 from .neardup import near_duplicates
+from .token_files import token_files
 
 
 def op2_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(media_column(table(spark, sf_dir, "documents")))
+
+
+def op4_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_systematic_mix": op2_systematic_mix,
+    "op3_jpeg_media": op3_jpeg_media,
+    "op4_arrow_token_files": op4_arrow_token_files,
     "op8_minhash_hamming": op8_minhash_hamming,
 }
 
