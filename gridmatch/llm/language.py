@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE, in_slices, split_words, text_bytes
 
@@ -278,10 +279,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """The rows of docs with lang_pred, score and spans.
 
     Null texts and texts without a letter are `und` with score 0. Rows are labelled one by one from
-    their text alone; equal texts agree. docs must not have columns of these three names.
+    their text alone; equal texts agree. Columns of docs with these three names
+    give way.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("spans", "string")
+    docs = docs.drop("lang_pred", "score", "spans")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("spans", T.StringType())))])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
