@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, secrets, suffix_lm
+from . import language, pieces, secrets, suffix_lm
 from .common import table
 from .jpeg import media_column, media_features
 from .mixing import MIX_SQL, mix
@@ -47,6 +47,10 @@ def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_systematic_mix": op2_systematic_mix,
     "op3_jpeg_media": op3_jpeg_media,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_markov_secrets": op6_markov_secrets,
     "op8_minhash_hamming": op8_minhash_hamming,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
+    "op10_suffix_array_pieces": op10_suffix_array_pieces,
 }
 
 ORACLES: dict[str, str] = {
