@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, pieces, secrets, suffix_lm
+from . import language, personal, pieces, secrets, suffix_lm
 from .common import table
 from .jpeg import media_column, media_features
 from .mixing import MIX_SQL, mix
@@ -39,6 +39,10 @@ def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs))
 
 
+def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_arrow_token_files": op4_arrow_token_files,
     "op5_language_spans": op5_language_spans,
     "op6_markov_secrets": op6_markov_secrets,
+    "op7_bootstrapped_pii": op7_bootstrapped_pii,
     "op8_minhash_hamming": op8_minhash_hamming,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_suffix_array_pieces": op10_suffix_array_pieces,
