@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from . import language, personal, pieces, secrets, suffix_lm
 from .common import table
+from .forest import nearest
 from .jpeg import media_column, media_features
 from .mixing import MIX_SQL, mix
 from .neardup import near_duplicates
 from .token_files import token_files
 
 
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,6 +61,7 @@ def op10_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_prefix_forest": op1_prefix_forest,
     "op2_systematic_mix": op2_systematic_mix,
     "op3_jpeg_media": op3_jpeg_media,
     "op4_arrow_token_files": op4_arrow_token_files,
