@@ -275,21 +275,20 @@ def label(batch: pa.RecordBatch, model: Model) -> tuple[list[str], list[float],
     return names, values, spans
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs with lang_pred, score and spans.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "spans")) -> DataFrame:
+    """The rows of docs with lang_pred, score and spans (or other names for them).
 
     Null texts and texts without a letter are `und` with score 0. Rows are labelled one by one from
-    their text alone; equal texts agree. Columns of docs with these three names
-    give way.
+    their text alone; equal texts agree. Columns of docs with these names give way.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score", "spans")
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("spans", T.StringType())))])
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.StringType()), strict=True))])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, values, spans = label(pa.record_batch([b.column(at)], ["text"]), shared.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(values, pa.float64()), pa.array(spans, pa.string())], [*b.schema.names, "lang_pred", "score", "spans"])
+            found, values, spans = label(pa.record_batch([b.column(at)], ["text"]), shared.value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(values, pa.float64()), pa.array(spans, pa.string())], [*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)

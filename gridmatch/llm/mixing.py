@@ -32,7 +32,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     Sources weigh 1, 2, 3, 1, 2, 3 ... by code point, null last, and share the sum of all sizes;
     what a source is given above 3 times its size goes to the others by weight, until none is above.
     In ascending order of size over weight the sources at their limit are a prefix, so one pass over
-    the (few) sources finds the level at which the rest shares.
+    the (few) sources finds the level at which the rest shares: that of the first source not at its
+    limit, which is the greatest among those, for what is taken off after it is more than its share.
     """
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     w = sizes.withColumn("weight", (F.row_number().over(by_name) - 1) % 3 + 1)
@@ -46,7 +47,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
     level = F.col("left_words") / F.col("left_weight")
     full = level * F.col("weight") >= (MOST * F.col("source_size")).cast("double")
-    w = w.withColumn("level", level).withColumn("open_level", F.min(F.when(~full, level)).over(whole))
+    w = w.withColumn("level", level).withColumn("open_level", F.max(F.when(~full, level)).over(whole))
     limit = (MOST * F.col("source_size")).cast("double")
     return w.select("source", "source_size", F.when(full, limit).otherwise(F.least(limit, F.col("open_level") * F.col("weight"))).alias("target"))
 
@@ -85,9 +86,14 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
 
 
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (documents need a doc_id of their own)."""
-    taken = mix(docs, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_n"))
-    return docs.join(taken, docs["doc_id"] == F.col("_id")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(docs.columns)
+    """The rows of docs, each as often as the mix takes it.
+
+    Ids should be unique: rows that repeat one are each taken as often as all of them together. Rows
+    without an id count in the mix, but can't be told apart and are left out.
+    """
+    taken = mix(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_all"))
+    joined = docs.join(taken, F.col("doc_id") == F.col("_id"))
+    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_all")))).select(docs.columns)
 
 
 MIX_SQL = r"""
@@ -103,7 +109,7 @@ WITH d AS (
   FROM w
   WINDOW b AS (ORDER BY source_size / CAST(weight AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), o AS (
-  SELECT *, level * weight >= CAST(3 * source_size AS DOUBLE) AS is_full, min(CASE WHEN NOT level * weight >= CAST(3 * source_size AS DOUBLE) THEN level END) OVER () AS open_level FROM l
+  SELECT *, level * weight >= CAST(3 * source_size AS DOUBLE) AS is_full, max(CASE WHEN NOT level * weight >= CAST(3 * source_size AS DOUBLE) THEN level END) OVER () AS open_level FROM l
 ), t AS (
   SELECT source, source_size,
     CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE) ELSE least(CAST(3 * source_size AS DOUBLE), open_level * weight) END AS target,

@@ -157,10 +157,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans become one."""
-    spans = scanned(docs, id_col, text_col).where("size(spans) > 0").select(F.col("key").alias("_key"), "spans").dropDuplicates(["_key"])
+    spans = scanned(docs, id_col, text_col).where("size(spans) > 0").select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
     keyed = docs.withColumn("_own", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
     text, names = F.col(text_col), F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
+    ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.element_at(names, x["k"] + 1))
@@ -168,4 +168,4 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     clean = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     joined = keyed.join(spans, keyed["_own"] == spans["_key"], "left")
-    return joined.select(*[F.when(F.col("spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(F.col("_spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else docs[c] for c in docs.columns])
