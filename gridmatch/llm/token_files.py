@@ -32,9 +32,9 @@ RECORDS = 256
 FILE_IDS = 1 << 24
 END_ID = 0
 #: Pieces whose ids a worker remembers; at the bound it starts anew.
-CACHE = 400_000
+CACHE = 900_000
 
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[tuple[str, bool], _Encoder] = {}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -43,39 +43,80 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _pieces(text: str) -> list[str]:
-    """text cut before single spaces between other characters, where byte-level BPE always cuts."""
-    import re
+def _byte_letters() -> list[str]:
+    """How byte-level BPE writes each byte: printable ones as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
-    if re.search(r"\s\s", text):
-        first, *rest = re.split(r"(?<=\S) (?=\S)", text)
-    else:
-        first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
 
+_LETTER = _byte_letters()
 
-def encode(texts: list[str], path: str, wide: bool = False) -> list[bytes]:
-    """The ids of each text, as little-endian 16- or 32-bit integers.
 
-    The library encodes each distinct piece once for a worker; texts are put together from pieces.
+class _Pieces(dict):
+    """piece -> its ids, or None if it can't stand alone; the library encodes each once."""
+
+    def __init__(self, library, kind: np.dtype, before: str):
+        super().__init__()
+        self.library, self.kind, self.before = library, kind, before
+        self.word, self.after = library.model.tokenize, self
+
+    def tokens(self, p: str) -> bytes:
+        return np.array([t.id for t in self.word("".join([_LETTER[b] for b in p.encode()]))], self.kind).tobytes()
+
+    def __missing__(self, p: str) -> bytes | None:
+        if not p or p[0].isspace() or p[-1].isspace():
+            return None
+        if len(self) >= CACHE:
+            self.clear()
+        if p.isalpha() and max(p) < "\u0250":  # one pre-token: the library's model alone
+            ids = self[p] = self.tokens(self.before + p)
+            return ids
+        if p[-1] in ".,;:!?" and p[:-1].isalpha():  # a mark after a letter is a token of its own
+            ids = self[p] = self[p[:-1]] + self.tokens(p[-1])
+            return ids
+        left, line, right = p.partition("\n")
+        if line and left and right and p.count(line) < 50 and not left[-1].isspace() and not right[0].isspace():  # so is a line's end between others
+            return self[left] + self.tokens(line) + self.after[right]
+        ids = self[p] = np.array(self.library.encode(self.before + p, add_special_tokens=False).ids, self.kind).tobytes()
+        return ids
+
+
+class _Encoder:
+    """Ids of texts, put together from pieces.
+
+    A text is cut before each single space between other characters, where byte-level BPE always
+    cuts. A piece that has white space at an edge, or is empty, can't stand alone and sends its text
+    the long way.
     """
-    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tok = _known.get(("tokenizer", path))
-    if tok is None:
-        tok = _known[("tokenizer", path)] = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-    ids = _known.setdefault((path, wide), {})
-    cut = [_pieces(t) if t else [] for t in texts]
-    new = list({p for c in cut for p in c if p not in ids})
-    if len(ids) + len(new) > CACHE:
-        ids.clear()
-        new = list({p for c in cut for p in c})
-    kind = np.dtype("<u4" if wide else "<u2")
-    for e, p in zip(tok.encode_batch_fast(new, add_special_tokens=False), new, strict=True):
-        ids[p] = np.array(e.ids, kind).tobytes()
-    return [b"".join(map(ids.__getitem__, c)) for c in cut]
+    def __init__(self, path: str, wide: bool):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        self.kind = np.dtype("<u4" if wide else "<u2")
+        self.first, self.rest = _Pieces(self.library, self.kind, ""), _Pieces(self.library, self.kind, " ")
+        self.rest.after = self.first
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for t in texts:
+            cut = iter(t.split(" "))
+            head = self.first[next(cut)]
+            try:
+                out.append(head + b"".join(map(self.rest.__getitem__, cut)))
+            except TypeError:
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes())
+        return out
+
+
+def encode(texts: list[str], path: str, wide: bool = False) -> list[bytes]:
+    """The ids of each text, as little-endian 16- or 32-bit integers."""
+    if (path, wide) not in _known:
+        _known[path, wide] = _Encoder(path, wide)
+    return _known[path, wide].encode(texts)
 
 
 def vocabulary_size(path: str) -> int:
@@ -197,7 +238,8 @@ def _read(folder: str):
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files of a manifest."""
-    return manifest.select("name", "first").repartition("name").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.select("name", "first")
+    return files.repartition(min(10_000, max(1, files.count())), "name").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
