@@ -102,7 +102,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         langs = np.array(b.column(1).to_pylist(), object)
         data, offsets = text_bytes(b.column(0))
-        for i, j in in_slices(offsets):
+        for i, j in in_slices(offsets, 1 << 20):
             d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             starts, n = split_words(d, o)
             if not len(starts):
@@ -246,7 +246,7 @@ def label(batch: pa.RecordBatch, model: Model) -> tuple[list[str], list[float],
     """Language, score and spans ("lang:first word-last word") of each text in column 0."""
     names, values, spans = [], [], []
     data, offsets = text_bytes(batch.column(0))
-    for i, j in in_slices(offsets, 2 << 20):
+    for i, j in in_slices(offsets, 1 << 20):
         d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, counts = split_words(d, o)
         ends, script = _ends(d, o, starts), _scripts_of(d)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Chunks a worker remembers, pairs of neighbours it remembers, and characters indexed at once.
-CACHE, PAIRS, INDEXED = 400_000, 1_500_000, 400_000
+CACHE, PAIRS, INDEXED = 250_000, 400_000, 120_000
 _SEPARATOR = 0x110000
 
 _models: dict[str, object] = {}
@@ -265,8 +265,8 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", ou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                s = b.slice(i, 2000)
+            for i in range(0, b.num_rows, 500):
+                s = b.slice(i, 500)
                 yield pa.RecordBatch.from_arrays([*s.columns, pa.array(model.encode(s.column(at).to_pylist()), pa.binary())], [*s.schema.names, out_col])
 
     return docs.mapInArrow(run, docs.withColumn(out_col, F.lit(b"")).schema)
