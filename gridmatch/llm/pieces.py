@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Chunks a worker remembers, pairs of neighbours it remembers, and characters indexed at once.
-CACHE, PAIRS, INDEXED = 250_000, 400_000, 120_000
+CACHE, PAIRS, INDEXED = 400_000, 400_000, 250_000
 _SEPARATOR = 0x110000
 
 _models: dict[str, object] = {}
@@ -68,17 +68,18 @@ class Pieces:
         self.codes = np.full((len(self.known), self.deep), -1, np.int64)
         for row, i in enumerate(self.known):
             self.codes[row, : self.size[row]] = [ord(c) for c in self.text[i]]
+        self.edges = {int(i): (self._grown(self.text[i], -1), self._grown(self.text[i], 0)) for i in self.known}
         self.chunks: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
-    def merge(self, text: str) -> list[str]:
+    def merge(self, text: str, without: set[str] = frozenset()) -> list[str]:
         """BPE by definition: the best-scored neighbours merge first, the leftmost of equals."""
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         queue: list[tuple[float, int, int, str]] = []
 
         def offer(i: int, j: int) -> None:
-            if i >= 0 and j < len(parts) and (found := self.score.get(parts[i] + parts[j])):
+            if i >= 0 and j < len(parts) and (found := self.score.get(parts[i] + parts[j])) and parts[i] + parts[j] not in without:
                 heapq.heappush(queue, (-found[0], i, j, parts[i] + parts[j]))
 
         for i in range(len(parts) - 1):
@@ -157,6 +158,41 @@ class Pieces:
         place = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         return order[place], row
 
+    def _grown(self, text: str, side: int) -> list[tuple[str, float]] | None:
+        """How the piece at one edge of a piece grew: each with the score of what it merged into.
+
+        None if a part scores no better than the whole, so that merges don't follow the scores.
+        """
+        out, until = [], float("-inf")
+        while True:
+            out.append((text, until))
+            if len(text) == 1:
+                return out
+            parts = self._last_two(text)
+            if any(len(x) > 1 and self.score[x][0] <= self.score[text][0] for x in parts):
+                return None
+            text, until = parts[side], self.score[text][0]
+
+    def _last_two(self, text: str) -> list[str]:
+        """The two parts that merge into a piece at last."""
+        return self.merge(text, {text})
+
+    def _pair(self, left: int, right: int) -> bool:
+        """Whether no piece across the border forms before those at its sides have grown on.
+
+        The best score merges first, and of equals the leftmost: the left side's own merge wins
+        against one across, which wins against the right side's.
+        """
+        before, after = self.edges[left][0], self.edges[right][1]
+        if before is None or after is None:
+            return self.merge(self.text[left] + self.text[right]) == [self.text[left], self.text[right]]
+        for a, grows in before:
+            for b, grows_too in after:
+                across = self.score.get(a + b)
+                if across and across[0] > grows and across[0] >= grows_too:
+                    return False
+        return True
+
     def goes(self, codes: np.ndarray) -> np.ndarray:
         """Whether the pieces left << 32 | right are the segmentation of their joined text."""
         some, back = np.unique(codes, return_inverse=True)
@@ -164,10 +200,9 @@ class Pieces:
         for c in some.tolist():
             ok = self.pairs.get(c)
             if ok is None:
-                left, right = self.text[c >> 32], self.text[c & 0xFFFFFFFF]
                 if len(self.pairs) >= PAIRS:
                     self.pairs.clear()
-                ok = self.pairs[c] = self.merge(left + right) == [left, right]
+                ok = self.pairs[c] = self._pair(c >> 32, c & 0xFFFFFFFF)
             out.append(ok)
         return np.array(out, bool)[back]
 
@@ -202,7 +237,6 @@ class Pieces:
                 ok[ask] = self.goes(last[a[ask]] << 32 | p[ask])
             last[e[ok]] = p[ok]
             came[e[ok]] = a[ok]
-        out: list[bytes] = []
         steps, owner, begin = [], [], []
         now, who = start + size, np.arange(len(chunks))
         while len(now):
@@ -218,22 +252,22 @@ class Pieces:
         bounds = np.concatenate(([0], np.cumsum(np.bincount(owner_all, minlength=len(chunks)))))
         plain = pieces.astype("<i4").tobytes()
         has_odd = np.concatenate(([0], np.cumsum(pieces < 0)))
-        for k, c in enumerate(chunks):
-            lo, hi = int(bounds[k]), int(bounds[k + 1])
-            if has_odd[lo] == has_odd[hi]:
-                out.append(plain[4 * lo : 4 * hi])
-            else:
-                parts = [self.text[p] if p >= 0 else c[b - start[k]] for p, b in zip(pieces[lo:hi].tolist(), begins[lo:hi].tolist(), strict=True)]
-                out.append(np.array(self.ids_of(parts), "<i4").tobytes())
+        cuts = (4 * bounds).tolist()
+        out = [plain[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        for k in np.flatnonzero(has_odd[bounds[1:]] > has_odd[bounds[:-1]]).tolist():
+            lo, hi, c = int(bounds[k]), int(bounds[k + 1]), chunks[k]
+            parts = [self.text[p] if p >= 0 else c[b - start[k]] for p, b in zip(pieces[lo:hi].tolist(), begins[lo:hi].tolist(), strict=True)]
+            out[k] = np.array(self.ids_of(parts), "<i4").tobytes()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers."""
         cut = [self.split(t) if t else [] for t in texts]
-        new = list({c for t in cut for c in t if c not in self.chunks})
+        every = set().union(*cut)
+        new = every - self.chunks.keys()
         if len(self.chunks) + len(new) > CACHE:
             self.chunks.clear()
-            new = list({c for t in cut for c in t})
+            new = every
         runs = [c for c in new if MARK in c[1:] or "\0" in c]
         for c in runs:
             self.chunks[c] = np.array(self.ids_of(self.merge(c)), "<i4").tobytes()
