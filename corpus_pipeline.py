@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmatch.llm import language, mixing, personal, pieces
-from gridmatch.llm.common import table, written
+from gridmatch.llm.common import long_rows, table, written
 from gridmatch.llm.neardup import near_duplicates
 
 #: A text is rejected if no language labels so large a share of its letters.
@@ -23,6 +23,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Without any labelled text to learn from, only the former go.
     """
+    long_rows(spark)
     labelled = docs.where(~language.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     if labelled.isEmpty():
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -32,23 +33,27 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component, the document with the smallest id stays."""
+    long_rows(spark)
     gone = written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets; n_chars follows the text."""
+    long_rows(spark)
     clean = personal.redacted(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    long_rows(spark)
     return mixing.mixed(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and digests of the ids and of the text that they spell, one row for each copy."""
+    long_rows(spark)
     return pieces.digests(docs)
 
 

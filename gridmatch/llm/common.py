@@ -2,42 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..sources.tables import shared_dir, written  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests), one of this machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+#: Rows of one Arrow batch; documents are long, and a worker holds a batch several times over.
+BATCH_ROWS = 1000
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def long_rows(spark: SparkSession) -> None:
+    """Python workers get documents in batches of BATCH_ROWS, where no smaller number is set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and no executor's loss can undo it."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    long_rows(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path, by the file system it is in."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Chunks a worker remembers, pairs of neighbours it remembers, and characters indexed at once.
-CACHE, PAIRS, INDEXED = 400_000, 400_000, 250_000
+CACHE, PAIRS, INDEXED = 250_000, 250_000, 150_000
 _SEPARATOR = 0x110000
 
 _models: dict[str, object] = {}
@@ -282,6 +282,9 @@ class Pieces:
             i = j
         return [b"".join(map(self.chunks.__getitem__, t)) for t in cut]
 
+    def forget(self) -> None:
+        self.chunks, self.pairs = {}, {}
+
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
@@ -302,6 +305,7 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", ou
             for i in range(0, b.num_rows, 500):
                 s = b.slice(i, 500)
                 yield pa.RecordBatch.from_arrays([*s.columns, pa.array(model.encode(s.column(at).to_pylist()), pa.binary())], [*s.schema.names, out_col])
+        model.forget()  # the worker may do other work next
 
     return docs.mapInArrow(run, docs.withColumn(out_col, F.lit(b"")).schema)
 
