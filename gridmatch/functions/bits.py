@@ -48,8 +48,10 @@ def in_finder_zone(x: float, y: float) -> bool:
     return (x < 0.31 and (y < 0.31 or y > 0.69)) or (x > 0.69 and y < 0.31)
 
 
-def finder_mask(side: int = SIDE) -> list[int]:
-    return mask_of([(x, y) for y in range(side) for x in range(side) if in_finder_zone(x / (side - 1), y / (side - 1))], side)
+def finder_mask(side: int = SIDE, turns: int = 0) -> list[int]:
+    """The words of the finder corners, turned with the grid they belong to."""
+    zone = [(x, y) for y in range(side) for x in range(side) if in_finder_zone(x / (side - 1), y / (side - 1))]
+    return mask_of([turned_place(x, y, turns, side) for x, y in zone], side)
 
 
 _FIRST_COLUMN = sum(1 << (r * SIDE) for r in range(ROWS))
@@ -158,20 +160,21 @@ def _pack_word(part: Column) -> Column:
     return F.aggregate(F.reverse(part), F.lit(0).cast("bigint"), _push)
 
 
-def rotated(words: list[Column], turns: int, side: int = SIDE) -> list[Column]:
-    """The grid turned clockwise: one turn moves (x, y) to (side - 1 - y, x)."""
-    turns %= 4
-    if not turns:
+def turned_place(x: int, y: int, turns: int, side: int = SIDE) -> tuple[int, int]:
+    """Where a cell goes: one clockwise turn moves (x, y) to (side - 1 - y, x)."""
+    for _ in range(turns % 4):
+        x, y = side - 1 - y, x
+    return x, y
+
+
+def rotated(words: list, turns: int, side: int = SIDE) -> list[Column]:
+    """The grid turned clockwise: its cells, ordered by where they go, packed again."""
+    if not turns % 4:
         return [_col(w) for w in words]
-    order = []
-    for y in range(side):
-        for x in range(side):
-            sx, sy = x, y  # where the cell that ends at (x, y) was
-            for _ in range(turns):
-                sx, sy = sy, side - 1 - sx
-            order.append(sy * side + sx)
-    flat = cells(words, side)
-    return pack(F.transform(F.array(*[F.lit(i) for i in order]), lambda i: F.get(flat, i)), side)
+    to = [turned_place(x, y, turns, side) for y in range(side) for x in range(side)]
+    goes = F.array(*[F.lit(y * side + x) for x, y in to])
+    moved = F.array_sort(F.zip_with(goes, cells(words, side), lambda i, v: F.struct(i.alias("i"), v.alias("v"))))
+    return pack(F.transform(moved, lambda p: p["v"]), side)
 
 
 def row_bits(words: list[Column]) -> list[Column]:

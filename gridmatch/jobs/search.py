@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import bits as B
+from ..sources.tables import written
 
 SHORTLIST, RESULTS = 200, 5
 HIGH = 95.0
@@ -165,10 +166,10 @@ def search(gallery: DataFrame, targets: DataFrame, sources: DataFrame, mode: str
 
 def rotations(targets: DataFrame) -> DataFrame:
     """Each target in four rows, turned against the turns a candidate may need."""
+    wide = turned_targets(targets)
     out = None
     for r in range(4):
-        t, m = B.rotated(T, 4 - r), B.rotated(M, 4 - r)
-        part = targets.select("target_id", F.lit(r).alias("turns"), *[c.alias(f"t{k}") for k, c in enumerate(t)], *[c.alias(f"m{k}") for k, c in enumerate(m)])
+        part = wide.select("target_id", F.lit(r).alias("turns"), *[F.col(f"{p}{k}_{r}").alias(f"{p}{k}") for p in "tm" for k in range(B.WORDS)])
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -188,12 +189,18 @@ def weighted_score(t: list, m: list, c: list, finder: list, black_weight: float,
     return F.when(all_black >= 10, recall * black_weight + agreement * white_weight)
 
 
+def turned_targets(targets: DataFrame) -> DataFrame:
+    """target_id and its words under each of four turns, t{k}_{r} and m{k}_{r}; small, and written."""
+    out = targets.select("target_id", *[c.alias(f"{p}{k}_{r}") for r in range(4) for p, w in (("t", T), ("m", M)) for k, c in enumerate(B.rotated(w, 4 - r))])
+    return written(out, "turned")
+
+
 def weighted_best(rows: DataFrame, black_weight: float = 0.72, white_weight: float = 0.28) -> DataFrame:
     """Adds weighted: the best weighted score over the candidate's four turns, in percent.
 
-    The target is turned instead of the candidate, and the finder corners with it.
+    The target is turned instead of the candidate, and the finder corners with it; rows hold the
+    candidate's words and those of turned_targets().
     """
-    zone = [F.lit(w) for w in B.finder_mask()]
-    turned = [weighted_score(B.rotated(T, 4 - r), B.rotated(M, 4 - r), G, B.rotated(zone, 4 - r), black_weight, white_weight) for r in range(4)]
+    turned = [weighted_score([f"t{k}_{r}" for k in range(B.WORDS)], [f"m{k}_{r}" for k in range(B.WORDS)], G, B.finder_mask(B.SIDE, 4 - r), black_weight, white_weight) for r in range(4)]
     best = F.greatest(F.lit(0.0), *[F.coalesce(x, F.lit(0.0)) for x in turned])
     return rows.withColumn("weighted", F.floor(best * F.lit(10000.0) + F.lit(0.5)).cast("double") / F.lit(100.0))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from .functions import bits as B
 from .jobs import search as S
 from .sources import fixtures as X
+from .sources.tables import written
 
 N = range(B.WORDS)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,7 +129,7 @@ _TURN = {0: "i", 1: "(i % 21) * 21 + 20 - i // 21", 2: "440 - i", 3: "(20 - i %
 def rotated_grids(spark, sf_dir):
     t, out = X.targets(spark, sf_dir), None
     for r in range(4):
-        words = t.select("target_id", *[w.alias(f"t{k}") for k, w in enumerate(B.rotated(S.T, r))])
+        words = written(t.select("target_id", *[w.alias(f"t{k}") for k, w in enumerate(B.rotated(S.T, r))]), "turned")
         part = words.select("target_id", F.lit(r).alias("turns"), F.array_join(F.transform(B.cells(S.T), lambda v: v.cast("string")), "").alias("cells"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -144,7 +145,7 @@ def _turned_sql(p: str, turn: int) -> str:
 @query(
     f"WITH {X.GALLERY_SQL}, {X.TARGETS_SQL}, {COUNTED}, {USABLE}, "
     + "tc AS (SELECT target_id, known, i, turns, CASE turns " + " ".join(f"WHEN {r} THEN {_turned_sql('t', (4 - r) % 4)}" for r in range(4)) + " END AS t, CASE turns " + " ".join(f"WHEN {r} THEN {_turned_sql('m', (4 - r) % 4)}" for r in range(4)) + " END AS m FROM usable, range(441) r(i), range(4) q(turns)), "
-    + "tw AS (SELECT target_id, known, turns, " + ", ".join(f"CAST(sum(t << (i - {63 * k})) FILTER (i >= {63 * k} AND i < {63 * (k + 1)}) AS BIGINT) AS t{k}, CAST(sum(m << (i - {63 * k})) FILTER (i >= {63 * k} AND i < {63 * (k + 1)}) AS BIGINT) AS m{k}" for k in N) + " FROM tc GROUP BY ALL), "
+    + "tw AS (SELECT target_id, known, turns, " + ", ".join(f"CAST(sum(CASE WHEN i // 63 = {k} THEN {v} << (i % 63) ELSE 0 END) AS BIGINT) AS {v}{k}" for k in N for v in "tm") + " FROM tc GROUP BY ALL), "
     + f"p AS (SELECT target_id, record_no, known, min({count_sql('(xor(w{k}, t{k}) & m{k})')}) AS mismatch FROM tw, gallery GROUP BY ALL) "
     + f"SELECT target_id, record_no, {percent_sql('(known - mismatch)', 'known')} AS score FROM p QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY mismatch, record_no) <= 5"
 )
@@ -163,9 +164,9 @@ def rotated_match_top5(spark, sf_dir):
     f"{BASE}, cells AS (SELECT target_id, record_no, i, i % 21 / 20e0 AS x, i // 21 / 20e0 AS y, {CELL('t')} AS t, {CELL('m')} AS m, {', '.join(f'{_turned_sql("w", r)} AS c{r}' for r in range(4))} FROM short, range(441) r(i)), "
     "w AS (SELECT *, CASE WHEN (x < 0.31e0 AND (y < 0.31e0 OR y > 0.69e0)) OR (x > 0.69e0 AND y < 0.31e0) THEN 8 ELSE 100 END AS weight FROM cells WHERE m = 1), "
     "s AS (SELECT target_id, record_no, sum(weight) FILTER (t = 1) / 1e2 AS black, coalesce(sum(weight) FILTER (t = 0), 0) / 1e2 AS white, " + ", ".join(f"coalesce(sum(weight) FILTER (t = 1 AND c{r} = 1), 0) / 1e2 AS b{r}, coalesce(sum(weight) FILTER (t = 0 AND c{r} = 0), 0) / 1e2 AS v{r}" for r in range(4)) + " FROM w GROUP BY ALL) "
-    "SELECT target_id, record_no, round(CASE WHEN black >= 10 THEN greatest(" + ", ".join(f"b{r} / black * 0.72e0 + CASE WHEN white > 0 THEN v{r} / white ELSE 0 END * 0.28e0" for r in range(4)) + ") ELSE 0e0 END * 1e2, 1) AS weighted FROM s"
+    "SELECT target_id, record_no, floor(CASE WHEN black >= 10 THEN greatest(" + ", ".join(f"b{r} / black * 0.72e0 + CASE WHEN white > 0 THEN v{r} / white ELSE 0 END * 0.28e0" for r in range(4)) + ") ELSE 0e0 END * 1e4 + 0.5e0) / 1e2 AS weighted FROM s"
 )
 def weighted_scores(spark, sf_dir):
-    """Rounded to one decimal here: the last digit of a float sum is not the same in two engines."""
-    rows = S.shortlist(_live(spark, sf_dir), _targets(spark, sf_dir)).select("target_id", "record_no", *S.T, *S.M, *S.G)
-    return S.weighted_best(rows).select("target_id", "record_no", F.round("weighted", 1).alias("weighted"))
+    t = _targets(spark, sf_dir)
+    rows = S.shortlist(_live(spark, sf_dir), t).select("target_id", "record_no", *S.G).join(S.turned_targets(t), "target_id")
+    return S.weighted_best(rows).select("target_id", "record_no", "weighted")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import WORDS
+from .tables import written
 
 MODE = "crop-sharp-v2"
 
@@ -47,9 +48,10 @@ SPARSE = [f"m{i}" for i in range(1, 5)]
 def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     words = [word(i, "g", k).alias(f"w{k}") for k in range(WORDS)]
-    return table(spark, sf_dir, "documents").select(
+    made = table(spark, sf_dir, "documents").select(
         i.alias("record_no"), (i % 100).cast("int").alias("source_id"), F.nullif(i % 7, F.lit(0)).cast("int").alias("page"), F.nullif(i % 31, F.lit(0)).cast("int").alias("item_index"), F.when(i % 5 != 0, i.cast("string")).alias("code"), *words
     )
+    return written(made, "gallery")
 
 
 GALLERY_SQL = f"gallery AS (SELECT doc_id AS record_no, CAST(doc_id % 100 AS INT) AS source_id, CAST(nullif(doc_id % 7, 0) AS INT) AS page, CAST(nullif(doc_id % 31, 0) AS INT) AS item_index, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id AS VARCHAR) END AS code, {', '.join(f'{word_sql("doc_id", "g", k)} AS w{k}' for k in range(WORDS))} FROM documents)"
@@ -63,7 +65,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = [F.when(sparse, all_of(i, SPARSE, k)).otherwise(word(i, "m1", k).bitwiseOR(word(i, "m2", k))).alias(f"m{k}") for k in range(WORDS)]
     d = d.select("doc_id", *masks)
     seen = [word(i, "g", k).bitwiseXOR(all_of(i, FLIPS, k)).bitwiseAND(F.col(f"m{k}")).alias(f"t{k}") for k in range(WORDS)]
-    return d.select(i.alias("target_id"), *seen, *[f"m{k}" for k in range(WORDS)])
+    return written(d.select(i.alias("target_id"), *seen, *[f"m{k}" for k in range(WORDS)]), "targets")
 
 
 TARGETS_SQL = (
