@@ -10,7 +10,11 @@ from pyspark.sql.window import Window as W
 
 from .functions import bits as B
 from .jobs import search as S
+from .operators import features as V
+from .operators import index as I
+from .operators import raster as R
 from .sources import fixtures as X
+from .sources import records as P
 from .sources.tables import written
 
 N = range(B.WORDS)
@@ -129,8 +133,8 @@ _TURN = {0: "i", 1: "(i % 21) * 21 + 20 - i // 21", 2: "440 - i", 3: "(20 - i %
 def rotated_grids(spark, sf_dir):
     t, out = X.targets(spark, sf_dir), None
     for r in range(4):
-        words = written(t.select("target_id", *[w.alias(f"t{k}") for k, w in enumerate(B.rotated(S.T, r))]), "turned")
-        part = words.select("target_id", F.lit(r).alias("turns"), F.array_join(F.transform(B.cells(S.T), lambda v: v.cast("string")), "").alias("cells"))
+        words = written(t.select("target_id", *[w.alias(f"r{k}") for k, w in enumerate(B.rotated(S.T, r))]), "turned")
+        part = words.select("target_id", F.lit(r).alias("turns"), F.array_join(F.transform(B.cells(B.cols("r")), lambda v: v.cast("string")), "").alias("cells"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -170,3 +174,144 @@ def weighted_scores(spark, sf_dir):
     t = _targets(spark, sf_dir)
     rows = S.shortlist(_live(spark, sf_dir), t).select("target_id", "record_no", *S.G).join(S.turned_targets(t), "target_id")
     return S.weighted_best(rows).select("target_id", "record_no", "weighted")
+
+
+@query(f"WITH {X.SOURCES_SQL} SELECT id, name, item_count, mode, item_count > 0 AND mode = '{X.MODE}' AS active FROM sources")
+def latest_sources(spark, sf_dir):
+    return latest(X.sources_log(spark, sf_dir)).withColumn("active", (F.col("item_count") > 0) & (F.col("mode") == X.MODE))
+
+
+@query(f"WITH {X.SOURCES_SQL} SELECT CAST(coalesce(sum(item_count) FILTER (item_count > 0 AND mode = '{X.MODE}'), 0) AS BIGINT) AS active_records, count(*) FILTER (item_count > 0) AS source_count, CAST(sum(item_count) AS BIGINT) AS total_records FROM sources")
+def source_totals(spark, sf_dir):
+    live = (F.col("item_count") > 0) & (F.col("mode") == X.MODE)
+    return latest(X.sources_log(spark, sf_dir)).agg(F.coalesce(F.sum(F.when(live, F.col("item_count"))), F.lit(0)).alias("active_records"), F.count(F.when(F.col("item_count") > 0, 1)).alias("source_count"), F.sum("item_count").alias("total_records"))
+
+
+_EXT = "lower(regexp_extract(path, '(\\.[^./]*)$', 1))"
+_SUPPORTED = f"{_EXT} IN ('.jpg', '.jpeg', '.png', '.bmp', '.webp', '.tif', '.tiff', '.pdf')"
+
+
+@query(f"WITH {X.FILES_SQL} SELECT {_EXT} AS ext, count(*) AS scanned, count(*) FILTER ({_SUPPORTED}) AS total_files, count(*) FILTER (NOT {_SUPPORTED}) AS skipped FROM files GROUP BY 1")
+def import_listing(spark, sf_dir):
+    p = F.col("path")
+    return X.files(spark, sf_dir).groupBy(I.extension(p).alias("ext")).agg(F.count("*").alias("scanned"), F.count(F.when(I.supported(p), 1)).alias("total_files"), F.count(F.when(~I.supported(p), 1)).alias("skipped"))
+
+
+@query(f"WITH {X.FILES_SQL}, {X.KNOWN_SQL} SELECT file_no, path, f.hash, substr(sha1(path || '|' || f.hash), 1, 16) AS item_id FROM files f WHERE {_SUPPORTED} AND NOT EXISTS (SELECT 1 FROM known_files k WHERE k.hash = f.hash AND k.mode = '{X.MODE}') QUALIFY row_number() OVER (PARTITION BY f.hash ORDER BY CAST(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT), path) = 1")
+def new_files(spark, sf_dir):
+    """Basenames here are numbers, so natural order is that of their number."""
+    found = I.new_files(X.files(spark, sf_dir), X.known_files(spark, sf_dir), X.MODE)
+    return found.select("file_no", "path", "hash", I.item_id(F.col("path"), F.col("hash")).alias("item_id"))
+
+
+@query(f"WITH {X.FILES_SQL} SELECT path, row_number() OVER (ORDER BY CAST(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT)) AS place FROM files")
+def natural_order(spark, sf_dir):
+    """Places by range: rows are counted for each leading part of the key before they are ranked."""
+    f = X.files(spark, sf_dir).withColumn("key", I.natural_key(F.col("path"))).withColumn("part", F.expr("substring(key, 1, 18)"))
+    counts = f.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return f.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("key"))).join(before, "part").select("path", (F.col("before") + F.col("r")).alias("place"))
+
+
+@query("SELECT doc_id, 'qrbin:' || doc_id AS id, doc_id AS parsed, true AS refused, '/srv/app/' || CASE WHEN doc_id % 3 = 0 THEN source || '/' || doc_id ELSE 'data/' || doc_id END AS moved, CASE WHEN doc_id % 3 = 0 THEN source || '/' || doc_id ELSE 'data/' || doc_id END AS stored FROM documents WHERE doc_id % 3 <> 2 UNION ALL SELECT doc_id, 'qrbin:' || doc_id, doc_id, true, '/other/' || doc_id, '/other/' || doc_id FROM documents WHERE doc_id % 3 = 2")
+def ids_and_paths(spark, sf_dir):
+    i = F.col("doc_id")
+    path = F.when(i % 3 == 0, F.concat("source", F.lit("/"), i)).when(i % 3 == 1, F.concat(F.lit("/old/data/x/data/"), i)).otherwise(F.concat(F.lit("/other/"), i))
+    d = X.table(spark, sf_dir, "documents").select("doc_id", S.record_id(i).alias("id"), S.parse_record_id(S.record_id(i)).alias("parsed"), S.parse_record_id(F.concat(F.lit("qrbin:-"), i)).isNull().alias("refused"), I.relocated(path, "/srv/app").alias("moved"))
+    return d.withColumn("stored", I.stored(F.col("moved"), "/srv/app"))
+
+
+@query(f"WITH {X.GALLERY_SQL}, c AS (SELECT record_no, i, {CELL('w')} AS v FROM gallery, range(441) r(i)) SELECT record_no, '<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"260\" height=\"260\" viewBox=\"0 0 260 260\"><rect width=\"100%\" height=\"100%\" fill=\"white\"/><g>' || coalesce(string_agg('<rect x=\"' || (46 + i % 21 * 8) || '\" y=\"' || (46 + i // 21 * 8) || '\" width=\"8\" height=\"8\" fill=\"#000\"/>', '' ORDER BY i) FILTER (v = 1), '') || '</g></svg>' AS svg FROM c GROUP BY record_no")
+def rendered_svg(spark, sf_dir):
+    return X.gallery(spark, sf_dir).select("record_no", R.svg(B.cells(S.G)).alias("svg"))
+
+
+@query(f"WITH {X.OUTCOMES_SQL} SELECT source_id, count(*) AS scanned, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed, coalesce(array_to_string(list_sort(list(DISTINCT error) FILTER (error IS NOT NULL)), ';'), '') AS errors FROM outcomes GROUP BY source_id")
+def import_report(spark, sf_dir):
+    return I.report(X.outcomes(spark, sf_dir))
+
+
+@query(f"WITH {X.OUTCOMES_SQL} SELECT source_id, page, count(*) AS detected, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'failed') AS failed FROM outcomes GROUP BY ALL")
+def page_report(spark, sf_dir):
+    return I.page_report(X.outcomes(spark, sf_dir))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 100 HOURS")
+def retention(spark, sf_dir):
+    return I.retained(X.outcomes(spark, sf_dir), 100, "2024-01-20 00:00:00").select("event_id")
+
+
+@query(f"WITH {X.OUTCOMES_SQL}, r AS (SELECT source_id, page, event_id, row_number() OVER (ORDER BY source_id, page, event_id) - 1 AS record_no FROM outcomes WHERE status = 'indexed') SELECT event_id, record_no, min(record_no) OVER (PARTITION BY source_id) AS start_record FROM r")
+def numbered_records(spark, sf_dir):
+    made = X.outcomes(spark, sf_dir).where("status = 'indexed'").select("source_id", "page", F.col("event_id").alias("item"))
+    return I.numbered(made).select(F.col("item").alias("event_id"), "record_no", "start_record")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN md5('s' || doc_id) WHEN doc_id % 5 <> 0 THEN md5('o' || doc_id) END AS grid, CASE WHEN doc_id % 3 = 0 THEN 'sidecar' WHEN doc_id % 5 <> 0 THEN 'own' ELSE 'none' END AS origin, doc_id % 3 <> 0 AS backfill FROM documents")
+def sidecar_grids(spark, sf_dir):
+    i = F.col("doc_id")
+    d = X.table(spark, sf_dir, "documents")
+    items = d.select(i.alias("id"), F.when(i % 5 != 0, F.md5(F.concat(F.lit("o"), i))).alias("grid"))
+    side = d.where(i % 3 == 0).select(i.alias("id"), F.md5(F.concat(F.lit("s"), i)).alias("grid"))
+    missing = I.to_backfill(items, side).select("id", F.lit(True).alias("backfill"))
+    return I.preferred_grids(items, side).join(missing, "id", "left").withColumn("backfill", F.coalesce("backfill", F.lit(False)))
+
+
+_PX = "px AS (SELECT vec_id, i, i % 8 AS x, i // 8 AS y, pixels[i + 1] AS p, avg(pixels[i + 1]) OVER (PARTITION BY vec_id) AS mean FROM rasters, range(64) r(i))"
+
+
+@query(
+    f"WITH {X.RASTERS_SQL}, {_PX}, b AS (SELECT *, CAST(p < mean AS INT) AS bit, CAST(abs(p - mean) >= 18 AS INT) AS sure FROM px), "
+    "n AS (SELECT *, lag(bit) OVER (PARTITION BY vec_id, y ORDER BY x) AS l, lag(bit) OVER (PARTITION BY vec_id, x ORDER BY y) AS u FROM b) "
+    "SELECT vec_id, CAST(sum(bit) AS INT) AS black, CAST(count(*) FILTER (p < 145) AS INT) AS fixed, CAST(CASE WHEN sum(sure) < 0.35e0 * 64 THEN 64 ELSE sum(sure) END AS INT) AS valid, floor(CASE WHEN sum(sure) < 0.35e0 * 64 THEN 64 ELSE sum(sure) END / 64e0 * 1e4 + 0.5e0) / 1e2 AS valid_ratio, sum(bit) / 64e0 AS density, (count(*) FILTER (l <> bit) + count(*) FILTER (u <> bit)) / 112e0 AS edge FROM n GROUP BY vec_id"
+)
+def raster_counts(spark, sf_dir):
+    return V.raster_features(X.rasters(spark, sf_dir)).select("vec_id", "black", "fixed", "valid", "valid_ratio", "density", "edge")
+
+
+@query(
+    f"WITH {X.RASTERS_SQL}, {_PX}, b AS (SELECT *, CAST(p < mean AS INT) AS bit FROM px), bl AS (SELECT vec_id, y // 2 * 4 + x // 2 AS k, CAST(floor(sum(bit) / 4e0 * 255e0 + 0.5e0) AS BIGINT) AS v FROM b GROUP BY ALL), ro AS (SELECT vec_id, y AS k, CAST(floor(sum(bit) / 8e0 * 255e0 + 0.5e0) AS BIGINT) AS v FROM b GROUP BY ALL), co AS (SELECT vec_id, x AS k, CAST(floor(sum(bit) / 8e0 * 255e0 + 0.5e0) AS BIGINT) AS v FROM b GROUP BY ALL) "
+    "SELECT vec_id, array_to_string(list(v ORDER BY k), ' ') AS blocks, (SELECT array_to_string(list(v ORDER BY k), ' ') FROM ro WHERE ro.vec_id = bl.vec_id) AS rows, (SELECT array_to_string(list(v ORDER BY k), ' ') FROM co WHERE co.vec_id = bl.vec_id) AS cols FROM bl GROUP BY vec_id"
+)
+def raster_blocks(spark, sf_dir):
+    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
+    return V.raster_features(X.rasters(spark, sf_dir)).select("vec_id", joined("blocks"), joined("rows"), joined("cols"))
+
+
+def _feature_pairs(spark, sf_dir):
+    """Each target's features (one vector in 50) beside every vector's, in blocks of targets."""
+    f = written(V.raster_features(X.rasters(spark, sf_dir)).select("vec_id", F.struct("blocks", "rows", "cols", "density", "edge").alias("f")), "features")
+    t = f.where("vec_id % 50 = 0").select(F.col("vec_id").alias("target_id"), F.col("f").alias("t"))
+    return f.withColumnRenamed("f", "c").crossJoin(F.broadcast(t))
+
+
+def _nearest(pairs, distance, keep=20):
+    d = pairs.withColumn("d", F.round(distance, 9))
+    w = W.partitionBy("target_id").orderBy("d", "vec_id")
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("target_id", "rank", "vec_id", "d")
+
+
+_FEATURES = f"{X.RASTERS_SQL}, {_PX}, b AS (SELECT *, CAST(p < mean AS INT) AS bit FROM px), n AS (SELECT *, lag(bit) OVER (PARTITION BY vec_id, y ORDER BY x) AS l, lag(bit) OVER (PARTITION BY vec_id, x ORDER BY y) AS u FROM b), de AS (SELECT vec_id, sum(bit) / 64e0 AS density, (count(*) FILTER (l <> bit) + count(*) FILTER (u <> bit)) / 112e0 AS edge FROM n GROUP BY vec_id), v AS (SELECT vec_id, 'b' AS kind, y // 2 * 4 + x // 2 AS k, floor(sum(bit) / 4e0 * 255e0 + 0.5e0) AS v FROM b GROUP BY ALL UNION ALL SELECT vec_id, 'r', y, floor(sum(bit) / 8e0 * 255e0 + 0.5e0) FROM b GROUP BY ALL UNION ALL SELECT vec_id, 'c', x, floor(sum(bit) / 8e0 * 255e0 + 0.5e0) FROM b GROUP BY ALL)"
+
+
+@query(f"WITH {_FEATURES}, p AS (SELECT t.vec_id AS target_id, c.vec_id, sqrt(sum((t.v - c.v) * (t.v - c.v)) FILTER (t.kind = 'b') / 16e0) + sum(abs(t.v - c.v)) FILTER (t.kind <> 'b') / 128e0 AS s FROM v t JOIN v c USING (kind, k) WHERE t.vec_id % 50 = 0 GROUP BY ALL), d AS (SELECT target_id, p.vec_id, round(s + abs(x.density - y.density) * 1800 + abs(x.edge - y.edge) * 900, 9) AS d FROM p JOIN de x ON x.vec_id = target_id JOIN de y ON y.vec_id = p.vec_id) SELECT target_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY d, vec_id) AS INT) AS rank, vec_id, d FROM d QUALIFY rank <= 20")
+def coarse_nearest(spark, sf_dir):
+    return _nearest(_feature_pairs(spark, sf_dir), V.coarse_distance("t", "c"))
+
+
+@query(f"WITH {_FEATURES}, p AS (SELECT t.vec_id AS target_id, c.vec_id, t.kind, t.k, t.v AS x, c.v AS y FROM v t JOIN v c USING (kind, k) WHERE t.vec_id % 50 = 0), q AS (SELECT target_id, vec_id, sqrt(sum((greatest(0, x - y) ** 2 + (greatest(0, y - x) * 0.18e0) ** 2) * (0.35e0 + x / 255e0)) FILTER (kind = 'b' AND x / 255e0 >= 0.08e0 AND k NOT IN (0, 3, 12)) / count(*) FILTER (kind = 'b' AND x / 255e0 >= 0.08e0 AND k NOT IN (0, 3, 12))) AS block, sum(greatest(0, x - y) + greatest(0, y - x) * 0.12e0) FILTER (kind <> 'b' AND x > 18) / count(*) FILTER (kind <> 'b' AND x > 18) AS projection FROM p GROUP BY ALL), d AS (SELECT target_id, q.vec_id, round(coalesce(block, 999) + coalesce(projection, 999) + greatest(0, a.density - b.density) * 500, 9) AS d FROM q JOIN de a ON a.vec_id = target_id JOIN de b ON b.vec_id = q.vec_id) SELECT target_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY d, vec_id) AS INT) AS rank, vec_id, d FROM d QUALIFY rank <= 20")
+def damaged_nearest(spark, sf_dir):
+    return _nearest(_feature_pairs(spark, sf_dir), V.damaged_distance("t", "c"))
+
+
+@query(f"WITH {X.GALLERY_SQL} SELECT record_no, source_id, coalesce(page, 0) AS page, coalesce(item_index, 0) AS item_index, {', '.join(f'w{k}' for k in N)} FROM gallery")
+def parsed_shards(spark, sf_dir):
+    """Records packed into 80 bytes and parsed again."""
+    back = P.parse_records(P.packed_records(X.gallery(spark, sf_dir)))
+    return back.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("page", "item_index")})
+
+
+@query(f"WITH {X.GALLERY_SQL} SELECT record_no, CAST(441 AS INT) AS known, {', '.join(f'w{k}' for k in N)} FROM gallery")
+def sampled_grids(spark, sf_dir):
+    """Each gallery grid drawn as pixels and sampled back."""
+    return R.sampled(R.drawn(X.gallery(spark, sf_dir)))
