@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Chunks a worker remembers, pairs of neighbours it remembers, and characters indexed at once.
-CACHE, PAIRS, INDEXED = 250_000, 250_000, 150_000
+#: Words and chunks a worker remembers, pairs of neighbours it remembers, and characters indexed at once.
+CACHE, PAIRS, INDEXED = 300_000, 2_000_000, 250_000
 _SEPARATOR = 0x110000
 
 _models: dict[str, object] = {}
@@ -63,14 +63,21 @@ class Pieces:
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
         ids = sorted(i for _, i in self.score.values())
         self.known = np.array([i for i in ids if self.merge(self.text[i]) == [self.text[i]]], np.int32)
-        self.size = np.array([len(self.text[i]) for i in self.known], np.int64)
+        self.size = np.array([len(self.text[i]) for i in self.known], np.int32)
         self.deep = int(self.size.max())
-        self.codes = np.full((len(self.known), self.deep), -1, np.int64)
+        self.codes = np.full((len(self.known), self.deep), -1, np.int32)
         for row, i in enumerate(self.known):
             self.codes[row, : self.size[row]] = [ord(c) for c in self.text[i]]
         self.edges = {int(i): (self._grown(self.text[i], -1), self._grown(self.text[i], 0)) for i in self.known}
+        # where no piece of this vocabulary crosses: around line ends, and between a letter and a mark
+        inner = "".join(p for p in self.score if len(p) > 1)
+        marks = "".join(c for c in ".,!?;:" if not any(re.search(f"[^\\W\\d_]{re.escape(c)}", p) for p in self.score))
+        borders = [r"(\n)"] * ("\n" not in inner) + [f"(?<=[^\\W\\d_])(?=[{re.escape(marks)}])"] * bool(marks)
+        self.border = re.compile("|".join(borders)) if borders else None
+        self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs, self.pairs_go = np.array([-1], np.int64), np.array([False])
+        self.fresh: dict[int, bool] = {}
 
     def merge(self, text: str, without: set[str] = frozenset()) -> list[str]:
         """BPE by definition: the best-scored neighbours merge first, the leftmost of equals."""
@@ -154,9 +161,9 @@ class Pieces:
 
         first, last = bound(False), bound(True)
         count = last - first
-        row = np.repeat(np.arange(rows), count)
+        row = np.repeat(np.arange(rows, dtype=np.int32), count)
         place = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        return order[place], row
+        return order[place].astype(np.int32), row
 
     def _grown(self, text: str, side: int) -> list[tuple[str, float]] | None:
         """How the piece at one edge of a piece grew: each with the score of what it merged into.
@@ -195,46 +202,58 @@ class Pieces:
 
     def goes(self, codes: np.ndarray) -> np.ndarray:
         """Whether the pieces left << 32 | right are the segmentation of their joined text."""
-        some, back = np.unique(codes, return_inverse=True)
-        out = []
-        for c in some.tolist():
-            ok = self.pairs.get(c)
-            if ok is None:
-                if len(self.pairs) >= PAIRS:
-                    self.pairs.clear()
-                ok = self.pairs[c] = self._pair(c >> 32, c & 0xFFFFFFFF)
-            out.append(ok)
-        return np.array(out, bool)[back]
+        at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
+        out = self.pairs_go[at]
+        lost = np.flatnonzero(self.pairs[at] != codes)
+        if len(lost):
+            some, back = np.unique(codes[lost], return_inverse=True)
+            found = []
+            for c in some.tolist():
+                ok = self.fresh.get(c)
+                if ok is None:
+                    ok = self.fresh[c] = self._pair(c >> 32, c & 0xFFFFFFFF)
+                found.append(ok)
+            out[lost] = np.array(found, bool)[back]
+        return out
+
+    def settle(self) -> None:
+        """Adds fresh pairs to the sorted ones; beyond PAIRS they start anew."""
+        if self.fresh:
+            codes, go = np.array(list(self.fresh), np.int64), np.array(list(self.fresh.values()), bool)
+            if len(self.pairs) + len(codes) <= PAIRS:
+                codes, go = np.concatenate((self.pairs, codes)), np.concatenate((self.pairs_go, go))
+            by = np.argsort(codes)
+            self.pairs, self.pairs_go, self.fresh = codes[by], go[by], {}
 
     def segment(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk (none with a run of marks), as 32-bit integers."""
         joined = chr(0).join(chunks) + chr(0)
-        x = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
-        size = np.array([len(c) for c in chunks], np.int64)
-        start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+        x = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int32)
+        size = np.array([len(c) for c in chunks], np.int32)
+        start = np.concatenate(([0], np.cumsum(size + 1)[:-1])).astype(np.int32)
         x[start + size] = _SEPARATOR
         at, row = self.occurrences(x)
         # a character that is no piece of its own is an edge too
         single = np.zeros(len(x), bool)
         single[at[self.size[row] == 1]] = True
         single[start + size] = True
-        odd = np.flatnonzero(~single)
+        odd = np.flatnonzero(~single).astype(np.int32)
         at = np.concatenate((at, odd))
         end = np.concatenate((at[: len(row)] + self.size[row], odd + 1))
-        piece = np.concatenate((self.known[row], np.full(len(odd), -1, np.int32))).astype(np.int64)
+        piece = np.concatenate((self.known[row], np.full(len(odd), -1, np.int32)))
         first = start[np.searchsorted(start, at, "right") - 1]
         order = np.argsort(end - first, kind="stable")
         at, end, piece, first = at[order], end[order], piece[order], first[order]
         cut = np.searchsorted(end - first, np.arange(int(size.max()) + 2))
-        last = np.full(len(x) + 1, -2, np.int64)  # the piece that ends here: -2 none yet, -1 an odd character
-        came = np.zeros(len(x) + 1, np.int64)
+        last = np.full(len(x) + 1, -2, np.int32)  # the piece that ends here: -2 none yet, -1 an odd character
+        came = np.zeros(len(x) + 1, np.int32)
         for k in range(1, len(cut) - 1):
             s = slice(cut[k], cut[k + 1])
             a, e, p, f = at[s], end[s], piece[s], first[s]
             ok = (a == f) | (last[a] == -1) | ((last[a] > -2) & (p == -1))
             ask = np.flatnonzero(~ok & (last[a] > -1))
             if len(ask):
-                ok[ask] = self.goes(last[a[ask]] << 32 | p[ask])
+                ok[ask] = self.goes(last[a[ask]].astype(np.int64) << 32 | p[ask])
             last[e[ok]] = p[ok]
             came[e[ok]] = a[ok]
         steps, owner, begin = [], [], []
@@ -264,13 +283,25 @@ class Pieces:
         """The ids of each text, as little-endian 32-bit integers."""
         cut = [self.split(t) if t else [] for t in texts]
         every = set().union(*cut)
+        new = every - self.words.keys()
+        if len(self.words) + len(new) > CACHE:  # only what is in use stays
+            self.words = {w: self.words[w] for w in every - new}
+        parts = {w: [p for p in self.border.split(w) if p] for w in new if self.border and not w[1:].isalpha()}
+        whole = new - parts.keys()
+        self.learn(whole.union(*parts.values()))
+        self.words.update({w: self.chunks[w] for w in whole})
+        for w, cs in parts.items():
+            self.words[w] = b"".join(map(self.chunks.__getitem__, cs))
+        return [b"".join(map(self.words.__getitem__, t)) for t in cut]
+
+    def learn(self, every: set[str]) -> None:
+        """Makes sure that all these chunks are known."""
         new = every - self.chunks.keys()
         if len(self.chunks) + len(new) > CACHE:
-            self.chunks.clear()
-            new = every
-        runs = [c for c in new if MARK in c[1:] or "\0" in c]
-        for c in runs:
-            self.chunks[c] = np.array(self.ids_of(self.merge(c)), "<i4").tobytes()
+            self.chunks = {c: self.chunks[c] for c in every - new}
+        for c in new:
+            if MARK in c[1:] or "\0" in c:
+                self.chunks[c] = np.array(self.ids_of(self.merge(c)), "<i4").tobytes()
         rest = sorted(c for c in new if c not in self.chunks)
         i = 0
         while i < len(rest):
@@ -279,11 +310,11 @@ class Pieces:
                 n += len(rest[j]) + 1
                 j += 1
             self.chunks.update(zip(rest[i:j], self.segment(rest[i:j]), strict=True))
+            self.settle()
             i = j
-        return [b"".join(map(self.chunks.__getitem__, t)) for t in cut]
 
     def forget(self) -> None:
-        self.chunks, self.pairs = {}, {}
+        self.words, self.chunks = {}, {}
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode("utf-8", "replace").replace(MARK, " ")
