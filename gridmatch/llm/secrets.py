@@ -84,9 +84,10 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         table[r["model"]][r["pair"]] = r["n"]
 
     def log_p(x: np.ndarray) -> np.ndarray:
-        x = x.reshape(N, N) + 0.5
-        x[:, 0] = 0
-        shared = x.sum(0) / x.sum()
+        x = x.reshape(N, N)
+        shared = x.sum(0) + 0.5  # what follows any character stands in for rare ones
+        shared[0] = 0
+        shared /= shared.sum()
         return np.log(np.maximum((x + 20 * shared) / (x.sum(1, keepdims=True) + 20), 1e-12))
 
     return log_p(table["random"]) - log_p(table["ordinary"])
