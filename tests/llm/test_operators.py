@@ -154,8 +154,8 @@ def test_secrets(docs, empty):
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     sample = [(i, "secret=" + "".join(rng.choice(letters) for _ in range(40)) + " " + prose(60)) for i in range(150)]
     asked = [(900, "a kQ9zX2vB7nM4tR8wL1cY b"), (901, "Quelletionthefaçadewasandtoofrunseatiningwas"), (902, "the-tion-ing-was-and-to-of-run-sea-tion-the-was")]
-    rows = docs.sparkSession.createDataFrame(sample + asked, "doc_id long, text string")
-    got = by_id(secrets.scan(rows, secrets.train(rows)), "spans")
+    model = secrets.train(docs.sparkSession.createDataFrame(sample, "doc_id long, text string"))
+    got = by_id(secrets.scan(docs.sparkSession.createDataFrame(asked, "doc_id long, text string"), model), "spans")
     assert got[900] == ("markov:2:22",) and got[901] == got[902] == ("",)
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
