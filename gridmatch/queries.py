@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from .functions import bits as B
 from .jobs import search as S
+from .operators import crops as C
 from .operators import features as V
 from .operators import index as I
 from .operators import raster as R
@@ -315,3 +316,43 @@ def parsed_shards(spark, sf_dir):
 def sampled_grids(spark, sf_dir):
     """Each gallery grid drawn as pixels and sampled back."""
     return R.sampled(R.drawn(X.gallery(spark, sf_dir)))
+
+
+@query()
+def crops_from_text(spark, sf_dir):
+    """Boxes above the printed numbers of each page."""
+    return C.crops_from_text(X.text_items(spark, sf_dir))
+
+
+@query(f"WITH {X.TARGETS_SQL} SELECT min(target_id) AS target_id, count(*) AS n FROM (SELECT * FROM targets UNION ALL SELECT * REPLACE (target_id + 1000000 AS target_id) FROM targets) GROUP BY {', '.join(f't{k}, m{k}' for k in N)}")
+def distinct_targets(spark, sf_dir):
+    """Of equal grids (cells and mask) only the first stays; each is there twice."""
+    t = X.targets(spark, sf_dir).withColumn("group_id", F.lit(1))
+    twice = t.unionByName(t.withColumn("target_id", F.col("target_id") + 1_000_000))
+    return S.distinct_grids(twice).select("target_id", F.lit(2).cast("bigint").alias("n"))
+
+
+@query(f"WITH {X.GALLERY_SQL}, c AS (SELECT record_no, i % 21 AS x, i // 21 AS y FROM (SELECT record_no, i, {CELL('w')} AS v FROM gallery, range(441) r(i)) WHERE v = 1), b AS (SELECT record_no, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM c GROUP BY record_no) SELECT record_no, w >= 0.68e0 * 21 AND h >= 0.68e0 * 21 AND w / CAST(h AS DOUBLE) BETWEEN 0.7e0 AND 1.45e0 AS square FROM b")
+def square_grids(spark, sf_dir):
+    return X.gallery(spark, sf_dir).select("record_no", B.looks_square(S.G).alias("square"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN true ELSE (vec_id % 50 + 1) / CAST(vec_id % 45 + 1 AS DOUBLE) BETWEEN 0.9e0 AND 1.1e0 END AS searchable, CAST(greatest(0, vec_id % 40 - 5) AS INT) AS l, CAST(greatest(8, least(vec_id % 90, 64 - greatest(0, vec_id % 40 - 5))) AS INT) AS w FROM embeddings")
+def items_and_crops(spark, sf_dir):
+    i = F.col("vec_id")
+    crop = I.clamped_crop(i % 40 - 5, i % 40 - 5, i % 90, i % 90, F.lit(64), F.lit(64))
+    kind = F.when(i % 2 == 0, "pdf").otherwise("image")
+    return X.table(spark, sf_dir, "embeddings").select("vec_id", I.searchable(kind, i % 50 + 1, i % 45 + 1).alias("searchable"), crop[0].cast("int").alias("l"), crop[2].cast("int").alias("w"))
+
+
+@query("SELECT doc_id, code FROM (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id AS VARCHAR) END AS code FROM documents)")
+def attached_codes(spark, sf_dir):
+    """One line of code text per record, found by its byte offset."""
+    d = X.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id").cast("string")).otherwise("").alias("code"))
+    d = d.withColumn("size", F.octet_length("code") + 1).withColumn("part", F.floor(F.col("doc_id") / 1000))
+    sums = d.groupBy("part").agg(F.sum("size").alias("n"))
+    starts = sums.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    within = F.coalesce(F.sum("size").over(W.partitionBy("part").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = written(d.withColumn("w", within).join(starts, "part").select("doc_id", "code", (F.col("start") + F.col("w")).alias("offset")), "codes")
+    records = at.select("doc_id", F.col("offset").alias("code_offset"), F.octet_length("code").alias("code_length"))
+    return I.with_codes(records, at.select("offset", "code")).select("doc_id", "code")
