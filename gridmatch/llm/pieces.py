@@ -13,6 +13,7 @@ several word marks tie in score, which that rule does not cover; those chunks ar
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import re
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words and chunks a worker remembers, pairs of neighbours it remembers, and characters indexed at once.
-CACHE, PAIRS, INDEXED = 300_000, 2_000_000, 250_000
+CACHE, PAIRS, INDEXED = 300_000, 1_000_000, 150_000
 _SEPARATOR = 0x110000
 
 _models: dict[str, object] = {}
@@ -314,7 +315,10 @@ class Pieces:
             i = j
 
     def forget(self) -> None:
-        self.words, self.chunks = {}, {}
+        self.words, self.chunks, self.fresh = {}, {}, {}
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:  # freed memory goes back to the system, where the C library can do that
+            trim(0)
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode("utf-8", "replace").replace(MARK, " ")
