@@ -1,15 +1,15 @@
 """Language-model scores by a probabilistic suffix tree.
 
 A text is its words, A-Z lower-cased, each followed by a space, the last by an end symbol; symbols are
-the bytes seen in training, one for all others, and the end. A context of up to DEPTH symbols is
-looked at if it makes up at least LEAST of all symbols, which bounds how many there are (1 / LEAST for
-each length), and is kept if what follows it diverges enough from what follows its longest proper
-suffix. Counts of what follows come from all training documents, one length at a time; each pass only
-counts below contexts that the pass before found frequent.
-
-Next-symbol distributions are smoothed towards the suffix's (Witten-Bell). The kept contexts become
-an automaton whose states are their prefixes, so a text is scored by following one transition a
-symbol; texts are cut into lanes that run in step, each warmed up on the DEPTH symbols before it.
+the bytes seen in training, one for all others, and the end. Every context of up to DEPTH symbols that
+training has is tested, however rare, and is kept if what follows it diverges enough from what follows
+its longest proper suffix; the suffixes of kept contexts are kept too.
+
+Next-symbol distributions are smoothed towards the suffix's (Witten-Bell). Counts, tests and
+probabilities are tables with a row for each distinct window (a context and the next symbol), joined
+to the windows of the contexts' suffixes; how many there are grows with the input, and none of them
+reaches the driver but the common ones. A text's score sums its windows' values: common windows are
+broadcast, all others are looked up by a join.
 """
 
 from __future__ import annotations
@@ -21,17 +21,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import SPACE, hash_words, in_slices, split_words, text_bytes, written
 
 DEPTH = 5
-LEAST = 1e-4
 #: A context is kept if count * divergence from its suffix's distribution is so many nats.
 DIVERGENCE = 60.0
 #: Words that make up so large a share of all tokens are broadcast (at most 2,000,000 of them, 16
 #: bytes each); all others are looked up by a join.
 COMMON_SHARE = 5e-7
-LANE = 256
+#: The same for windows (445,461 of 949,979 on check_s, which leaves 1.3 % of all places to the join).
+COMMON_WINDOW = 1e-7
+#: Bits of a symbol in a window's code, and the symbol of places before a text's start.
+BITS = 9
+BEFORE = (1 << BITS) - 1
+#: Windows that a task counts before it hands them on, and rows it hands on at once.
+ROOM = 2_000_000
+HANDED = 100_000
+#: Bytes whose windows are coded at once.
+CODED = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -93,166 +102,137 @@ def alphabet(seen: list[int]) -> Alphabet:
     return Alphabet(symbol, len(known) + 2)
 
 
-def _count_short(a: Alphabet):
-    """Counts of all strings of 1 to 3 symbols, coded in base `size` and by length."""
+def _windows(data: np.ndarray, offsets: np.ndarray, a: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """The code of each symbol and the DEPTH before it, the latest lowest, and where each text starts."""
+    x, bounds = _stream(data, offsets, a.symbol, a.end)
+    x = x.astype(np.int64)
+    code = x.copy()
+    early = np.empty(0, np.int64)
+    for k in range(1, DEPTH + 1):
+        early = np.concatenate((early, (bounds[:-1] + k - 1)[bounds[:-1] + k - 1 < bounds[1:]]))
+        old = np.full(len(x), BEFORE, np.int64)
+        old[k:] = x[:-k]
+        old[early] = BEFORE
+        code |= old << (BITS * k)
+    return code, bounds
+
+
+def _count_windows(a: Alphabet):
+    """(h, n, m): windows, how often training has them, and how often all texts do."""
+
+    def merged(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        h, n = np.concatenate([s[0] for s in some]), np.concatenate([s[1] for s in some])
+        by = np.argsort(h)
+        h, n = h[by], n[by]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        return h[first], np.add.reduceat(n, first)
+
+    def handed(h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(h), HANDED):
+            c, m = h[i : i + HANDED], n[i : i + HANDED]
+            yield pa.RecordBatch.from_arrays([pa.array(c >> 1), pa.array(np.where(c & 1, 0, m)), pa.array(m)], ["h", "n", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = a.size
-        counts = [np.zeros(s ** (k + 1), np.int64) for k in range(3)]
+        some, size = [], 0
         for b in batches:
             data, offsets = text_bytes(b.column(0))
-            for i, j in in_slices(offsets, 2 << 20):
-                x, bounds = _stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], a.symbol, a.end)
-                code = x
-                place = np.arange(len(x)) - np.repeat(bounds[:-1], np.diff(bounds))
-                for k in range(3):
-                    counts[k] += np.bincount(code[place >= k], minlength=s ** (k + 1))
-                    if k < 2:
-                        code = np.concatenate((np.zeros(1, code.dtype), code[:-1])) * s + x
-        for k in range(3):
-            at = np.flatnonzero(counts[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(counts[k][at])], ["kind", "h", "n"])
+            held = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j in in_slices(offsets, CODED):
+                code, bounds = _windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], a)
+                some.append(np.unique(code << 1 | np.repeat(held[i:j], np.diff(bounds)), return_counts=True))
+                size += len(some[-1][0])
+                if size >= ROOM:
+                    some = [merged(some)]
+                    size = len(some[0][0])
+                    if size >= ROOM // 2:
+                        yield from handed(*some[0])
+                        some, size = [], 0
+        if some:
+            yield from handed(*merged(some))
 
     return run
 
 
-def _count_long(a: Alphabet, steps: list[np.ndarray]):
-    """Counts of (context id, next symbol) for the contexts that the last of `steps` leads to."""
+def grow(texts: DataFrame, a: Alphabet) -> DataFrame:
+    """(h, m, worth): all windows of (text, held), how often they occur, and their log10 probability.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, length = a.size, len(steps)
-        counts = np.zeros((int(steps[-1].max()) + 1) * s, np.int64)
-        for b in batches:
-            data, offsets = text_bytes(b.column(0))
-            for i, j in in_slices(offsets, 2 << 20):
-                x, bounds = _stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], a.symbol, a.end)
-                place = np.arange(len(x)) - np.repeat(bounds[:-1], np.diff(bounds))
-                at = np.flatnonzero(place >= length)
-                state = np.zeros(len(at), np.int32)
-                for k in range(length):
-                    state = steps[k][state * s + x[at - length + k]]
-                    on = state >= 0
-                    at, state = at[on], state[on]
-                counts += np.bincount(state * s + x[at], minlength=len(counts))
-        k = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), length, np.int32)), pa.array(k), pa.array(counts[k])], ["kind", "h", "n"])
+    A window of length k + 1 is a context of k symbols and the next one. Rows that share a context or
+    a suffix are at most as many as there are symbols.
+    """
+    windows = written(texts.mapInArrow(_count_windows(a), "h long, n long, m long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "windows")
+    levels = [windows.select("h", "n")]
+    tail = lambda c, k: F.col(c).bitwiseAND((1 << BITS * k) - 1)
+    for k in range(DEPTH, 0, -1):
+        levels.insert(0, written(levels[0].groupBy(tail("h", k).alias("h")).agg(F.sum("n").alias("n")), "level"))
+    seen = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    p = levels[0].select("h", ((F.col("n") + 1) / F.lit(float(seen + a.size))).alias("p"))
+    tested = []
+    for k in range(1, DEPTH + 1):
+        before = p.select(F.col("h").alias("shorter"), F.col("p").alias("prior"))
+        context = F.shiftright("h", BITS)
+        w = levels[k].join(before, tail("h", k) == F.col("shorter")).select("h", "n", "prior", context.alias("context"))
+        whole = W.partitionBy("context")
+        w = w.withColumn("total", F.sum("n").over(whole)).withColumn("kinds", F.sum((F.col("n") > 0).cast("long")).over(whole))
+        gain = F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("total") / F.col("prior")))
+        # a context that reaches over the start, or that training lacks, is none
+        real = (F.shiftright("context", BITS * (k - 1)) != BEFORE) & (F.col("total") > 0)
+        w = w.select(
+            "h",
+            "context",
+            F.when(real, (F.col("n") + F.col("kinds") * F.col("prior")) / (F.col("total") + F.col("kinds"))).otherwise(F.col("prior")).alias("p"),
+            (real & (F.coalesce(F.sum(gain).over(whole), F.lit(0.0)) >= DIVERGENCE)).alias("own"),
+        )
+        p = written(w, "tested")
+        tested.append(p)
+    kept: list[DataFrame] = []
+    for k in range(DEPTH, 0, -1):
+        own = tested[k - 1].where("own").select("context")
+        longer = [kept[0].select(tail("context", k).alias("context"))] if kept else []
+        kept.insert(0, written((own.union(longer[0]) if longer else own).distinct(), "kept"))
+    best = levels[0].select("h", ((F.col("n") + 1) / F.lit(float(seen + a.size))).alias("p"))
+    for k in range(1, DEPTH + 1):
+        before = best.select(F.col("h").alias("shorter"), F.col("p").alias("prior"))
+        stays = kept[k - 1].select(F.col("context").alias("stays"))
+        w = tested[k - 1].join(stays, F.col("context") == F.col("stays"), "left").join(before, tail("h", k) == F.col("shorter"))
+        best = w.select("h", F.when(F.col("stays").isNotNull(), F.col("p")).otherwise(F.col("prior")).alias("p"))
+        best = written(best, "best") if k < DEPTH else best
+    # a byte never seen is one of 256
+    worth = F.log10("p") - F.when(tail("h", 1) == 0, float(np.log10(256))).otherwise(0.0)
+    return written(windows.select("h", "m").join(best, "h").select("h", "m", worth.alias("worth")), "worth")
 
-    return run
 
+#: multiplier, shift, keys and values of one table of slots
+Slots = tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]
 
-def _gathered(texts: DataFrame, counter) -> pa.Table:
-    """Summed counts; at most symbols / LEAST rows for a length."""
-    return texts.mapInArrow(counter, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).toArrow()
 
+def slotted(keys: np.ndarray, values: np.ndarray) -> list[Slots]:
+    """Tables of slots; keys whose slot is taken go to the next table."""
+    out, rng = [], np.random.default_rng(9)
+    while len(keys):
+        bits = (2 * len(keys)).bit_length()
+        times, shift = rng.integers(1 << 62, 1 << 63, dtype=np.uint64) | np.uint64(1), np.uint64(64 - bits)
+        slot, first = np.unique((keys.view(np.uint64) * times) >> shift, return_index=True)
+        k, v = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        k[slot], v[slot] = keys[first], values[first]
+        out.append((times, shift, k, v))
+        keys, values = np.delete(keys, first), np.delete(values, first)
+    return out
 
-@dataclass
-class Tree:
-    alphabet: Alphabet
-    #: state * size + symbol -> state, and -> log10 probability
-    step: np.ndarray
-    log_p: np.ndarray
-    contexts: int
-
-
-def grow(texts: DataFrame, a: Alphabet) -> Tree:
-    """Learns the tree from the one column of texts."""
-    s = a.size
-    short = _gathered(texts, _count_short(a))
-    kind, code, n = (short.column(c).to_numpy() for c in ("kind", "h", "n"))
-    follow: dict[tuple[int, ...], np.ndarray] = {}
-    root = np.zeros(s)
-    root[code[kind == 0]] = n[kind == 0]
-    follow[()] = root
-    least = max(2.0, LEAST * root.sum())
-    for length in (1, 2):
-        c, m = code[kind == length], n[kind == length]
-        table = np.zeros((s**length, s))
-        table[c // s, c % s] = m
-        for row in np.flatnonzero(table.sum(1) >= least):
-            context = tuple(int(v) for v in np.unravel_index(row, (s,) * length))
-            if a.end not in context:
-                follow[context] = table[row]
-    steps: list[np.ndarray] = []
-    ids: dict[tuple[int, ...], int] = {(): 0}
-    for length in range(1, DEPTH + 1):
-        # frequent contexts of this length: what follows a frequent one of length - 1, often enough
-        found = [(*c, int(x)) for c in ids for x in np.flatnonzero(follow[c] >= least) if x != a.end] if length > 2 else [c for c in follow if len(c) == length and c[:-1] in ids]
-        if not found:
-            break
-        step = np.full(len(ids) * s, -1, np.int32)
-        new = {c: k for k, c in enumerate(sorted(found))}
-        for c, k in new.items():
-            step[ids[c[:-1]] * s + c[-1]] = k
-        steps.append(step)
-        if length > 2:
-            got = _gathered(texts, _count_long(a, list(steps)))
-            table = np.zeros((len(new), s))
-            code, n = got.column("h").to_numpy(), got.column("n").to_numpy()
-            table[code // s, code % s] = n
-            follow |= {c: table[k] for c, k in new.items()}
-        ids = new
-    return _automaton(a, follow)
-
-
-def _automaton(a: Alphabet, follow: dict[tuple[int, ...], np.ndarray]) -> Tree:
-    s = a.size
-    p: dict[tuple[int, ...], np.ndarray] = {}
-    kept: set[tuple[int, ...]] = {()}
-    total = follow[()].sum()
-    p[()] = (follow[()] + 1) / (total + s)
-    for c in sorted(follow, key=len):
-        if not c:
-            continue
-        parent = next(p[c[k:]] for k in range(1, len(c) + 1) if c[k:] in p)
-        n = follow[c]
-        kinds = np.count_nonzero(n)
-        p[c] = (n + kinds * parent) / (n.sum() + kinds)
-        on = n > 0
-        if float((n[on] * np.log(n[on] / n.sum() / parent[on])).sum()) >= DIVERGENCE:
-            kept |= {c[k:] for k in range(len(c)) if c[k:] in follow}
-    nodes = sorted({c[:k] for c in kept for k in range(len(c) + 1)}, key=lambda c: (len(c), c))
-    number = {c: i for i, c in enumerate(nodes)}
-    step, log_p = np.zeros((len(nodes), s), np.int32), np.zeros((len(nodes), s))
-    for c, i in number.items():
-        if c:
-            fail = next(number[c[k:]] for k in range(1, len(c) + 1) if c[k:] in number)
-            step[i] = step[fail]
-            log_p[i] = np.log10(p[c]) if c in kept else log_p[fail]
-        else:
-            log_p[i] = np.log10(p[()])
-        for x in range(s):
-            child = number.get((*c, x))
-            if child is not None:
-                step[i, x] = child
-    # a byte never seen is one of 256
-    log_p[:, 0] -= np.log10(256)
-    return Tree(a, step.ravel(), log_p.astype(np.float32).ravel(), len(kept))
-
-
-def tree_scores(tree: Tree, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 probability of each text."""
-    x, bounds = _stream(data, offsets, tree.alphabet.symbol, tree.alphabet.end)
-    s, n = tree.alphabet.size, len(x)
-    lanes = -(-n // LANE)
-    padded = np.zeros(DEPTH + lanes * LANE, np.int32)
-    padded[DEPTH : DEPTH + n] = x
-    fresh = np.zeros(len(padded), bool)
-    fresh[DEPTH + bounds[:-1]] = True
-    base = np.arange(lanes) * LANE
-    state = np.zeros(lanes, np.int32)
-    out = np.empty((LANE, lanes))
-    for t in range(DEPTH + LANE):
-        at = base + t
-        state[fresh[at]] = 0
-        code = state * s + padded[at]
-        if t >= DEPTH:
-            out[t - DEPTH] = tree.log_p[code]
-        state = tree.step[code]
-    return np.add.reduceat(out.T.ravel()[:n], bounds[:-1]) if n else np.zeros(0)
-
-
-def _score(tree, common):
-    """Per text: tokens, and over its words that `common` holds their number, known ones and base sum."""
+
+def looked_up(tables: list[Slots], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each code, 0 where the tables lack it, and where that is."""
+    out, left = np.zeros(len(codes)), np.arange(len(codes))
+    for times, shift, k, v in tables:
+        c = codes[left]
+        slot = (c.view(np.uint64) * times) >> shift
+        hit = k[slot] == c
+        out[left[hit]] = v[slot[hit]]
+        left = left[~hit]
+    return out, left
+
+
+def _score(a: Alphabet, frequent, common):
+    """Per text: tokens, its words that `common` holds and their sum, its windows that `frequent` lacks and the others' sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, value = common.value
@@ -272,29 +252,39 @@ def _score(tree, common):
                 base = np.zeros(j - i)
                 if some.any():
                     base[some] = np.add.reduceat(worth, first[:-1][some])[: int(some.sum())] if len(h) else 0
+                score, lacks = [], []
+                for k, m in in_slices(o, CODED):
+                    code, bounds = _windows(d[o[k] : o[m]], o[k : m + 1] - o[k], a)
+                    each, left = looked_up(frequent.value, code)
+                    score.append(np.add.reduceat(each, bounds[:-1]))
+                    lacks.append(np.diff(np.searchsorted(left, bounds)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(counts.astype(np.int64) + 1), pa.array(hits[first[1:]] - hits[first[:-1]]), pa.array(base), pa.array(tree_scores(tree.value, d, o))],
-                    ["doc_id", "key", "n_tokens", "n_common", "common_score", "score"],
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(counts.astype(np.int64) + 1), pa.array(hits[first[1:]] - hits[first[:-1]]), pa.array(base), pa.array(np.concatenate(lacks)), pa.array(np.concatenate(score))],
+                    ["doc_id", "key", "n_tokens", "n_common", "common_score", "n_other", "tree_score"],
                 )
 
     return run
 
 
-def _rare(common):
-    """(key, h, tf) of the words that `common` lacks."""
+def _rare(a: Alphabet, frequent, common):
+    """(key, kind, h) of the words that `common` lacks (kind 0) and the windows that `frequent` lacks (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, _ = common.value
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             keys = b.column(2).to_numpy()
-            for i, j in in_slices(offsets):
-                d = data[offsets[i] : offsets[j]]
-                starts, counts = split_words(d, offsets[i : j + 1] - offsets[i])
+            for i, j in in_slices(offsets, CODED):
+                d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                starts, counts = split_words(d, o)
                 h = hash_words(d, starts)
                 at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
                 rest = words[at] != h if len(words) else np.ones(len(h), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[i:j], counts)[rest]), pa.array(h[rest].view(np.int64))], ["key", "h"])
+                code, bounds = _windows(d, o, a)
+                _, left = looked_up(frequent.value, code)
+                key = np.concatenate((np.repeat(keys[i:j], counts)[rest], np.repeat(keys[i:j], np.diff(np.searchsorted(left, bounds)))))
+                kind = np.repeat(np.array([0, 1], np.int32), [len(key) - len(left), len(left)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(np.concatenate((h[rest].view(np.int64), code[left])))], ["key", "kind", "h"])
 
     return run
 
@@ -319,17 +309,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     h, v = common.column("h").to_numpy().view(np.uint64), common.column("worth").to_numpy()
     by = np.argsort(h)
     known = spark.sparkContext.broadcast((h[by], v[by]))
-    tree = spark.sparkContext.broadcast(grow(train, alphabet([r["h"] for r in tallied.where("kind = 1 and h not in (9, 10, 11, 12, 13)").select("h").collect()])))
+    a = alphabet([r["h"] for r in tallied.where("kind = 1 and h not in (9, 10, 11, 12, 13)").select("h").collect()])
+    windows = grow(d.select("text", F.coalesce(held_out(F.col("doc_id")), F.lit(True)).alias("held")), a)
+    symbols = windows.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    often = max(2, int(np.ceil(COMMON_WINDOW * symbols)))
+    top = windows.where(F.col("m") >= often).select("h", "worth").toArrow()
+    frequent = spark.sparkContext.broadcast(slotted(top.column("h").to_numpy(), top.column("worth").to_numpy()))
 
     keyed = d.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    each = keyed.mapInArrow(_score(tree, known), "doc_id long, key long, n_tokens long, n_common long, common_score double, score double")
-    rare = keyed.mapInArrow(_rare(known), "key long, h long").groupBy("key", "h").agg(F.count("*").alias("tf"))
-    rare = rare.join(counts.where(F.col("n") < cut), "h", "left").groupBy("key").agg(
-        F.sum("tf").alias("n_rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("rare_known"), F.sum(F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(room)))).alias("rare_score")
-    )
-    # rows that repeat add up in rare; the row's own number of rare words tells how often
+    each = keyed.mapInArrow(_score(a, frequent, known), "doc_id long, key long, n_tokens long, n_common long, common_score double, n_other long, tree_score double")
+    rare = keyed.mapInArrow(_rare(a, frequent, known), "key long, kind int, h long").groupBy("key", "kind", "h").agg(F.count("*").alias("tf"))
+    values = counts.where(F.col("n") < cut).select(F.lit(0).alias("kind"), "h", F.lit(True).alias("is_known"), worth.alias("worth"))
+    values = values.union(windows.where(F.col("m") < often).select(F.lit(1), "h", F.lit(True), "worth"))
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c).otherwise(0))
+    rare = rare.join(values, ["kind", "h"], "left").groupBy("key").agg(
+        of(0, F.col("tf")).alias("n_rare"), of(0, F.when(F.col("is_known"), F.col("tf")).otherwise(0)).alias("rare_known"), of(0, F.col("tf") * F.coalesce("worth", F.log10(F.lit(1 / float(room))))).alias("rare_score"),
+        of(1, F.col("tf")).alias("all_other"), of(1, F.col("tf") * F.col("worth")).alias("other_score"),
+    )
+    # rows that repeat add up in rare; the row's own number of rare words or windows tells how often
     own = F.col("n_tokens") - 1 - F.col("n_common")
     part = F.when(own > 0, own / F.col("n_rare")).otherwise(F.lit(0.0))
+    other = F.when(F.col("n_other") > 0, F.col("other_score") * F.col("n_other") / F.col("all_other")).otherwise(F.lit(0.0))
     end = float(np.log10((ends + 1) / room))
     return each.join(rare, "key", "left").select(
         "doc_id",
@@ -338,5 +338,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         (F.col("n_common") + F.coalesce(F.round(F.col("rare_known") * part).cast("long"), F.lit(0)) + F.lit(1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("common_score") + F.coalesce(F.col("rare_score") * part, F.lit(0.0)) + F.lit(end)).alias("base_score"),
-        "score",
+        (F.col("tree_score") + other).alias("score"),
     )

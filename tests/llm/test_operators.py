@@ -217,6 +217,47 @@ def test_suffix_tree(docs, empty):
     assert suffix_lm.score(empty).count() == 0
 
 
+def test_suffix_tree_tests_rare_contexts(spark):
+    texts = [prose(400) + (" zqxjkv" if i % 5 == 0 else "") for i in range(200)] + ["", "a zqxjkv", "zqxjkv \x01"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    streams = [list(b"".join(w + b" " for w in words(t))[:-1]) + [-1] for t in texts]
+    follow = [{} for _ in range(6)]
+    for x, h in zip(streams, held):
+        for k in range(6) if not h else ():
+            for i in range(k, len(x)):
+                follow[k].setdefault(tuple(x[i - k : i]), Counter())[x[i]] += 1
+    root = follow[0][()]
+    size = len({32, *root}) + 1  # with the symbol of bytes not seen
+    p, kept = {}, {()}
+
+    def chance(c, x):
+        while (c not in p) and c:
+            c = c[1:]
+        if not c:
+            return (root[x] + 1) / (sum(root.values()) + size)
+        if x not in p[c]:
+            n = follow[len(c)][c]
+            p[c][x] = (n[x] + len(n) * chance(c[1:], x)) / (sum(n.values()) + len(n))
+        return p[c][x]
+
+    for k in range(1, 6):
+        for c, n in follow[k].items():
+            p[c] = {}
+            if sum(m * math.log(m / sum(n.values()) / chance(c[1:], x)) for x, m in n.items()) >= 60:
+                kept |= {c[j:] for j in range(k)}
+    rare = [c for c in kept if c and sum(follow[len(c)][c].values()) < 1e-4 * sum(root.values())]
+    assert rare
+    got = by_id(suffix_lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "score")
+    for i, x in enumerate(streams):
+        want = 0.0
+        for at, v in enumerate(x):
+            c = tuple(x[max(0, at - 5) : at])
+            while c not in kept:
+                c = c[1:]
+            want += math.log10(chance(c, v)) - math.log10(256) * (v not in root)
+        assert got[i][0] == pytest.approx(want, rel=1e-9)
+
+
 def test_pieces_as_the_library(docs, empty):
     from sentencepiece import SentencePieceProcessor
 
