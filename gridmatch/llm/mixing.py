@@ -58,14 +58,14 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(h, 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every document.
+def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every document, and its `carried` columns.
 
     A null text has size 0 and a null source is a source of its own. Rows with equal ids are
     separate documents, ordered arbitrarily among themselves but alike in every column. If all sizes
     are 0 the targets are 0 and nothing is taken; an empty table gives an empty result.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *carried)
     d = d.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("cell", F.substring("h", 1, 2))
     cells = d.groupBy("source", "size", "cell").agg(F.count("*").alias("n"))
     by_size = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     same = lambda x, y, cols: [x[c].eqNullSafe(y[c]) for c in cols]
     starts = cell_start.join(size_start, same(cell_start, size_start, ["source", "size"])).select(cell_start["source"], cell_start["size"], "cell", (F.col("cell_start") + F.col("size_start")).alias("before"))
     starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"], "size", "cell", "before", "source_size", "target")
-    r = r.join(starts, same(r, starts, ["source", "size", "cell"])).select("doc_id", r["source"], r["size"], "source_size", "target", (F.col("before") + F.col("row")).alias("rank"))
+    r = r.join(starts, same(r, starts, ["source", "size", "cell"])).select("doc_id", r["source"], r["size"], "source_size", "target", *carried, (F.col("before") + F.col("row")).alias("rank"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = offset(F.col("source"), seed)
     crossed = F.floor(F.col("rank") * rate + u) - F.floor((F.col("rank") - 1) * rate + u)
@@ -88,12 +88,11 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The rows of docs, each as often as the mix takes it.
 
-    Ids should be unique: rows that repeat one are each taken as often as all of them together. Rows
-    without an id count in the mix, but can't be told apart and are left out.
+    Each row is carried through the ranking whole and repeated by its own copies, so rows that share
+    an id, or have none, are documents of their own.
     """
-    taken = mix(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_all"))
-    joined = docs.join(taken, F.col("doc_id") == F.col("_id"))
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_all")))).select(docs.columns)
+    taken = mix(docs.withColumn("_row", F.struct(*docs.columns)), seed, carried=("_row",)).where("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 MIX_SQL = r"""

@@ -94,6 +94,18 @@ def test_mix_near_targets(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixed_takes_each_row_by_its_own_copies(spark):
+    rows = [(None, f"n{i} " + "x " * (i % 7), f"s{i % 2}") for i in range(30)] + [(5, f"r{i} " + "y " * (i % 5), f"s{i % 2}") for i in range(30)] + [(6, "same text", "s0")] * 9
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter()
+    for r in mixing.mix(t).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    mixed = mixing.mixed(t)
+    for r in mixed.collect():
+        got[r["doc_id"], r["source"], len(r["text"].split())] += 1
+    assert mixed.columns == t.columns and got == +want and any(k[0] is None for k in got)
+
+
 def test_jpeg_round_trip(docs, empty):
     raw = [b"", b"a" * 191, bytes(range(256)) * 3, b"\xff" * 400]
     images = [jpeg.parse(m) for m in jpeg.encode([jpeg.pad(x) for x in raw])]
