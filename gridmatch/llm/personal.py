@@ -3,8 +3,8 @@
 All of it is column expressions and joins; nothing runs in Python.
 
 Seeds are e-mail addresses, IP addresses, card and phone numbers found by pattern. Around every token
-that looks like an identifier, the words before and after, with the token's shape (digits as 9,
-letters as a, runs as one), are its lexical patterns. In rounds, a pattern's confidence is the share
+with a digit or an @, which each seed has, the words before and after, with the token's shape (digits
+as 9, letters as a, runs as one), are its lexical patterns. In rounds, a pattern's confidence is the share
 of its distinct instances that are trusted, and an instance's trust grows with the confidence of the
 patterns it stands in (noisy or). Tokens that no seed covers, but that stand in a pattern of high
 confidence at the end, become spans of kind `context`.
@@ -29,8 +29,11 @@ IP = r"[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: A token that looks like an identifier: 7 digits or more, 64 characters or fewer.
-IDENTIFIER = r"(?<!\S)(?=(?:[^\s0-9]*+[0-9]){7})[A-Za-z0-9.@_+-]{6,63}[A-Za-z0-9](?![A-Za-z0-9@_+-])"
+#: A token with a digit or an @, from the start of its run of such characters to its last letter or digit.
+INNER = r"\p{L}\p{M}._%+-"
+IDENTIFIER = rf"(?<![{INNER}0-9@])(?=[{INNER}]*+[0-9@])(?:[._%+@-]*+[\p{{L}}\p{{M}}0-9]++)++"
+#: The last word before a token, past opening punctuation or up to the token, and the first one after.
+LEFT, RIGHT = r"(\S{1,40})(?:\s+[^\s\w]*)?$", r"^\W*\s+(\S{1,40})"
 
 ROUNDS = 3
 #: What a pattern needs to be trusted: distinct trusted instances, and their share.
@@ -41,17 +44,18 @@ def found(text: Column, pattern: str, may: Column, around: bool = False) -> Colu
     """Array of (s, e, m) of all matches, by code points; empty unless `may`, a cheap test.
 
     The pieces between matches and the matches alternate, so their lengths give the positions.
-    around: with the last word of the piece before (l) and the first of the piece after (r).
+    around: with the last word before (l) and the first after (r), which may hold the neighbouring match.
     """
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    nexts = F.slice(pieces, F.lit(2), F.size(pieces))
-    both = F.arrays_zip(pieces.alias("p"), hits.alias("h"), nexts.alias("n")) if around else F.arrays_zip(pieces.alias("p"), hits.alias("h"))
+    later = lambda a, k: F.slice(a, F.lit(k + 1), F.size(pieces))
+    earlier = lambda a: F.concat(F.array(F.lit("")), a)
+    both = F.arrays_zip(pieces.alias("p"), hits.alias("h"), earlier(pieces).alias("bp"), earlier(hits).alias("bh"), later(pieces, 1).alias("n"), later(hits, 1).alias("nh"), later(pieces, 2).alias("np")) if around else F.arrays_zip(pieces.alias("p"), hits.alias("h"))
 
     def one(pos: Column, x: Column) -> Column:
         s = pos + F.length(x["p"])
         cols = [s.alias("s"), (s + F.length(x["h"])).alias("e"), x["h"].alias("m")]
         if around:
-            cols += [F.lower(F.regexp_extract(x["p"], r"([^\s]{1,40})\s+$", 1)).alias("l"), F.lower(F.regexp_extract(x["n"], r"^\W*\s+([^\s]{1,40})", 1)).alias("r")]
+            cols += [F.lower(F.regexp_extract(F.concat(x["bp"], x["bh"], x["p"]), LEFT, 1)).alias("l"), F.lower(F.regexp_extract(F.concat_ws("", x["n"], x["nh"], x["np"]), RIGHT, 1)).alias("r")]
         return F.struct(*cols)
 
     kind = "array<struct<s:int,e:int,m:string,l:string,r:string>>" if around else "array<struct<s:int,e:int,m:string>>"
@@ -102,7 +106,7 @@ def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """key, doc_id, base (seed spans) and seen (identifier-like tokens with their contexts) per row."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
-    return d.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", base_spans(text).alias("base"), found(text, IDENTIFIER, text.rlike("[0-9]{3}"), True).alias("seen"))
+    return d.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", base_spans(text).alias("base"), found(text, IDENTIFIER, text.rlike("[0-9@]"), True).alias("seen"))
 
 
 def learned(every: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -128,7 +132,7 @@ def learned(every: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def shape(token: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(token, "[0-9]+", "9"), "[A-Za-z]+", "a")
+    return F.regexp_replace(F.regexp_replace(token, "[0-9]+", "9"), r"[\p{L}\p{M}]+", "a")
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -201,6 +201,16 @@ def test_contexts_discover(spark):
     assert got[80] == (1, "context:3:16") and got[60][0] == 0
 
 
+def test_contexts_discover_short_tokens_and_such_without_digits(spark):
+    rows = [(i, f"write mailto {n}@x.org today") for i, n in enumerate(["ann", "bob", "cy", "dee", "eve", "flo", "gus", "hal"])] + [(20, "write mailto josé@x.org today")]
+    rows += [(30 + i, f"host (1.2.3.{i}) up") for i in range(8)] + [(40, "host (910.2.3.4) up"), (41, "see 910.2.3.4 there"), (42, "910 of 2.3.4")]
+    rows += [(50 + i, f"addr=9.8.7.{i}") for i in range(8)] + [(60, "addr=910.8.7.6")]
+    rows += [(70 + i, f"+1 (385) 555-{1000 + i}") for i in range(8)] + [(80, "(385) 555-2000")]
+    got = by_id(personal.report(spark.createDataFrame(rows, "doc_id long, text string")), "n_context", "spans")
+    assert got[20] == (1, "context:13:23") and got[40] == (1, "context:6:15") and got[60] == (1, "context:5:14") and got[80] == (1, "context:6:14")
+    assert got[0][0] == got[30][0] == got[42][0] == 0
+
+
 def test_near_duplicates(docs, empty):
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for t in TEXTS]
     comp = list(range(len(sets)))
