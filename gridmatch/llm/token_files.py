@@ -87,7 +87,7 @@ class _Encoder:
 
     A text is cut before each single space between other characters, where byte-level BPE always
     cuts. A piece that has white space at an edge, or is empty, can't stand alone and sends its text
-    the long way.
+    the long way; so does an added token of the library anywhere in it.
     """
 
     def __init__(self, path: str, wide: bool):
@@ -95,7 +95,7 @@ class _Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u4" if wide else "<u2")
         self.first, self.rest = _Pieces(self.library, self.kind, ""), _Pieces(self.library, self.kind, " ")
         self.rest.after = self.first
@@ -103,6 +103,9 @@ class _Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
+            if any(a in t for a in self.added):
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes())
+                continue
             cut = iter(t.split(" "))
             head = self.first[next(cut)]
             try:

@@ -132,6 +132,14 @@ def test_token_files(docs, empty):
     assert token_files.token_files(empty).count() == 0
 
 
+def test_added_tokens_as_the_library():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files.tokenizer_path())
+    for t in ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endof text|>", "plain text."]:
+        assert np.frombuffer(token_files.encode([t], token_files.tokenizer_path())[0], "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_language(spark, docs):
     en, de = ["the and was of to in that"] * 30, ["der und ist nicht über groß schön"] * 30
     t = spark.createDataFrame([(i, x, "en" if i < 30 else "de") for i, x in enumerate(en + de)], "doc_id long, text string, lang string")
