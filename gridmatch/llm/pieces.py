@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-New chunks of a batch (a run of word marks and what follows, where no piece crosses) are joined into
-one text, which is indexed by a suffix array as deep as the longest piece. Every piece of the
-vocabulary finds its occurrences as one range of the array by binary search. The ranges give the
-edges of a lattice; sorted by the position where they end, they are relaxed from left to right.
+The texts of a slice are cut into chunks (a run of word marks and what follows, where no piece
+crosses). The distinct chunks are joined into one text, which is indexed by a suffix array as deep as
+the longest piece. Every piece of the vocabulary finds its occurrences as one range of the array by
+binary search. The ranges give the edges of a lattice; sorted by the position where they end, they
+are relaxed from left to right. Nothing is remembered from slice to slice but which neighbours go
+together, and that is bounded by PAIRS, so a worker's memory follows from the size of a slice.
 
 The vocabulary is BPE, whose segmentation is no shortest path, but it is local: a sequence of pieces
 is the segmentation of its text if and only if every two neighbours are that of theirs. So an edge
@@ -13,7 +15,6 @@ several word marks tie in score, which that rule does not cover; those chunks ar
 
 from __future__ import annotations
 
-import ctypes
 import heapq
 import re
 from collections.abc import Iterator
@@ -23,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_slices, mix, text_bytes
+
 MARK = "▁"
-#: Words and chunks a worker remembers, pairs of neighbours it remembers, and characters indexed at once.
-CACHE, PAIRS, INDEXED = 300_000, 1_000_000, 150_000
+#: Pairs of neighbours a worker remembers, bytes of text in a slice, characters indexed at once.
+PAIRS, TOGETHER, INDEXED = 1_000_000, 3 << 20, 300_000
 _SEPARATOR = 0x110000
 
 _models: dict[str, object] = {}
+_letter: list[np.ndarray] = []
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -43,6 +47,41 @@ def load(path: str) -> Pieces:
     return _models[path]
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after the other."""
+    out = np.arange(int(size.sum()))
+    out += np.repeat(start - (np.cumsum(size) - size), size)
+    return out
+
+
+def _letters() -> np.ndarray:
+    """Which code points are letters as [^\\W\\d_] has them."""
+    if not len(_letter):
+        every = np.zeros(0x110000, bool)
+        every[[ord(c) for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(0x110000))))]] = True
+        _letter.append(every)
+    return _letter[0]
+
+
+def distinct(x: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One chunk of each kind, and each chunk's kind. Chunks are hashed, then compared with their kind."""
+    hashes = np.empty(len(begin), np.uint64)
+    for i, j in in_slices(np.append(begin, len(x)), 1 << 19):
+        b, part = begin[i:j] - begin[i], x[begin[i] : begin[i] + int(size[i:j].sum())].astype(np.uint64)
+        place = (np.arange(len(part)) - np.repeat(b, size[i:j])).astype(np.uint64)
+        hashes[i:j] = np.add.reduceat(mix(part + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), b)
+    _, own, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    # equal hashes of different chunks: each such chunk becomes a kind of its own
+    odd = np.flatnonzero(size != size[own[kind]])
+    for i, j in in_slices(np.append(begin, len(x)), 1 << 19):
+        at, n = begin[i:j], np.minimum(size[i:j], size[own[kind[i:j]]])
+        differs = x[_runs(at, n)] != x[_runs(begin[own[kind[i:j]]], n)]
+        if differs.any():
+            odd = np.union1d(odd, i + np.unique(np.repeat(np.arange(j - i), n)[differs]))
+    kind[odd] = len(own) + np.arange(len(odd))
+    return np.concatenate((own, odd)), kind
+
+
 class Pieces:
     """A vocabulary, and encoding and decoding with it."""
 
@@ -73,10 +112,7 @@ class Pieces:
         # where no piece of this vocabulary crosses: around line ends, and between a letter and a mark
         inner = "".join(p for p in self.score if len(p) > 1)
         marks = "".join(c for c in ".,!?;:" if not any(re.search(f"[^\\W\\d_]{re.escape(c)}", p) for p in self.score))
-        borders = [r"(\n)"] * ("\n" not in inner) + [f"(?<=[^\\W\\d_])(?=[{re.escape(marks)}])"] * bool(marks)
-        self.border = re.compile("|".join(borders)) if borders else None
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.lines, self.marks = "\n" not in inner, np.array([ord(c) for c in marks], np.uint32)
         self.pairs, self.pairs_go = np.array([-1], np.int64), np.array([False])
         self.fresh: dict[int, bool] = {}
 
@@ -115,57 +151,80 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def split(self, text: str) -> list[str]:
-        """text with word marks for spaces and one before it, cut where no piece can cross."""
-        if not text:
-            return []
-        if self.cuts and text[0] != " " and "  " not in text and MARK not in text:
-            return [MARK + w for w in text.split(" ")]
-        marked = MARK + text.replace(" ", MARK)
-        return re.findall(f"{MARK}+[^{MARK}]*", marked) if self.cuts else [marked]
+    def cut(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where chunks start in marked texts, which start at `first`."""
+        begins = np.zeros(len(x), bool)
+        begins[first] = True
+        mark = x == ord(MARK)
+        if self.cuts:
+            begins[1:] |= mark[1:] & ~mark[:-1]
+        if self.lines:
+            line = x == 10
+            begins |= line
+            begins[1:] |= line[:-1]
+        if len(self.marks):
+            at = np.flatnonzero(np.isin(x[1:], self.marks)) + 1
+            begins[at[_letters()[x[at - 1]]]] = True
+        return np.flatnonzero(begins)
 
     def occurrences(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, row of the piece) of every occurrence of every piece in x."""
         n = len(x)
-        rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
-        h = 1
-        while True:  # order by twice as many characters, until as many as the longest piece has
-            second = np.concatenate((rank[h:], np.full(min(h, n), -1, np.int64))) + 1
-            key = rank * (n + 1) + second
-            order = np.argsort(key, kind="stable")
-            h *= 2
-            if h >= self.deep:
-                break
-            step = np.empty(n, np.int64)
-            step[0] = 0
+        letters, code = np.unique(x, return_inverse=True)
+        bits = int(len(letters)).bit_length()
+        wide = min(self.deep, 62 // bits)  # letters that one key holds
+        code = np.concatenate((code.astype(np.int64) + 1, np.zeros(self.deep, np.int64)))  # 0: past the end
+        key = np.zeros(n, np.int64)
+        for j in range(wide):
+            key = key << bits | code[j : n + j]
+        order = np.argsort(key)
+        first_key = key[order]
+        h = wide
+        while h < self.deep:  # order by twice as many characters, until as many as the longest piece has
+            step = np.zeros(n, np.int64)
             step[1:] = key[order][1:] != key[order][:-1]
+            rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(step)
-        wide = np.concatenate((x, np.full(self.deep, _SEPARATOR, x.dtype)))
-        rows = len(self.known)
-
-        def bound(above: bool) -> np.ndarray:
-            low, high = np.zeros(rows, np.int64), np.full(rows, n, np.int64)
-            for _ in range(int(n).bit_length()):
-                open_ = low < high
-                mid = (low + high) >> 1
-                at = order[np.minimum(mid, n - 1)]
-                sign = np.zeros(rows, np.int8)  # of suffix - piece
-                for k in range(self.deep):
-                    on = np.flatnonzero((sign == 0) & (k < self.size))
-                    if not len(on):
-                        break
-                    sign[on] = np.sign(wide[at[on] + k] - self.codes[on, k])
-                less = (sign < 0) | ((sign == 0) & above)
-                low = np.where(open_ & less, mid + 1, low)
-                high = np.where(open_ & ~less, mid, high)
-            return low
-
-        first, last = bound(False), bound(True)
+            key = rank * (n + 1) + np.concatenate((rank[h:], np.full(min(h, n), -1, np.int64))) + 1
+            order = np.argsort(key)
+            h *= 2
+        # a piece's first letters by binary search among the keys, the rest of the longer ones among the suffixes
+        at = np.minimum(np.searchsorted(letters, self.codes), len(letters) - 1)
+        inside = np.arange(self.deep) < self.size[:, None]
+        rows = np.flatnonzero(((letters[at] == self.codes) | ~inside).all(1))
+        mine = np.where(inside[rows], at[rows].astype(np.int64) + 1, 0)
+        low = np.zeros(len(rows), np.int64)
+        for j in range(wide):
+            low = low << bits | mine[:, j]
+        first = np.searchsorted(first_key, low)
+        last = np.searchsorted(first_key, low + (np.int64(1) << bits * (wide - np.minimum(self.size[rows], wide)).astype(np.int64)))
+        longer = np.flatnonzero((self.size[rows] > wide) & (first < last))
+        if len(longer):
+            some = [self._bound(code, order, mine[longer], self.size[rows[longer]], wide, first[longer], last[longer], above) for above in (False, True)]
+            first[longer], last[longer] = some
         count = last - first
-        row = np.repeat(np.arange(rows, dtype=np.int32), count)
+        row = np.repeat(rows.astype(np.int32), count)
         place = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         return order[place].astype(np.int32), row
 
+    @staticmethod
+    def _bound(code: np.ndarray, order: np.ndarray, mine: np.ndarray, size: np.ndarray, known: int, low: np.ndarray, high: np.ndarray, above: bool) -> np.ndarray:
+        """The first suffix in [low, high) not below (above: beyond) each piece; its first letters agree."""
+        low, high = low.copy(), high.copy()
+        while (open_ := low < high).any():
+            mid = (low + high) >> 1
+            at = order[np.minimum(mid, len(order) - 1)]
+            sign = np.zeros(len(low), np.int8)  # of suffix - piece
+            for k in range(known, mine.shape[1]):
+                on = np.flatnonzero((sign == 0) & (k < size))
+                if not len(on):
+                    break
+                sign[on] = np.sign(code[at[on] + k] - mine[on, k])
+            less = (sign < 0) | ((sign == 0) & above)
+            low = np.where(open_ & less, mid + 1, low)
+            high = np.where(open_ & ~less, mid, high)
+        return low
+
     def _grown(self, text: str, side: int) -> list[tuple[str, float]] | None:
         """How the piece at one edge of a piece grew: each with the score of what it merged into.
 
@@ -226,13 +285,13 @@ class Pieces:
             by = np.argsort(codes)
             self.pairs, self.pairs_go, self.fresh = codes[by], go[by], {}
 
-    def segment(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk (none with a run of marks), as 32-bit integers."""
-        joined = chr(0).join(chunks) + chr(0)
-        x = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int32)
-        size = np.array([len(c) for c in chunks], np.int32)
+    def segment(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks of text (none with a run of marks), and how many each has."""
         start = np.concatenate(([0], np.cumsum(size + 1)[:-1])).astype(np.int32)
-        x[start + size] = _SEPARATOR
+        x = np.full(int(size.sum()) + len(size), _SEPARATOR, np.int32)
+        place = _runs(start, size)
+        x[place] = text[_runs(begin, size)]
+        size = size.astype(np.int32)
         at, row = self.occurrences(x)
         # a character that is no piece of its own is an edge too
         single = np.zeros(len(x), bool)
@@ -243,7 +302,8 @@ class Pieces:
         end = np.concatenate((at[: len(row)] + self.size[row], odd + 1))
         piece = np.concatenate((self.known[row], np.full(len(odd), -1, np.int32)))
         first = start[np.searchsorted(start, at, "right") - 1]
-        order = np.argsort(end - first, kind="stable")
+        reach = end - first
+        order = np.argsort(reach.astype(np.uint16) if int(size.max()) < 1 << 16 else reach, kind="stable")
         at, end, piece, first = at[order], end[order], piece[order], first[order]
         cut = np.searchsorted(end - first, np.arange(int(size.max()) + 2))
         last = np.full(len(x) + 1, -2, np.int32)  # the piece that ends here: -2 none yet, -1 an odd character
@@ -257,68 +317,76 @@ class Pieces:
                 ok[ask] = self.goes(last[a[ask]].astype(np.int64) << 32 | p[ask])
             last[e[ok]] = p[ok]
             came[e[ok]] = a[ok]
-        steps, owner, begin = [], [], []
-        now, who = start + size, np.arange(len(chunks))
+        steps, begins = [], []
+        now, who = start + size, start
         while len(now):
             steps.append(last[now])
-            owner.append(who)
-            begin.append(came[now])
             now = came[now]
-            on = now > start[who]
+            begins.append(now)
+            on = now > who
             now, who = now[on], who[on]
-        owner_all, begin_all, piece_all = (np.concatenate(v) for v in (owner, begin, steps))
-        by = np.argsort(begin_all, kind="stable")
-        pieces, begins = piece_all[by], begin_all[by]
-        bounds = np.concatenate(([0], np.cumsum(np.bincount(owner_all, minlength=len(chunks)))))
-        plain = pieces.astype("<i4").tobytes()
-        has_odd = np.concatenate(([0], np.cumsum(pieces < 0)))
-        cuts = (4 * bounds).tolist()
-        out = [plain[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
-        for k in np.flatnonzero(has_odd[bounds[1:]] > has_odd[bounds[:-1]]).tolist():
-            lo, hi, c = int(bounds[k]), int(bounds[k + 1]), chunks[k]
-            parts = [self.text[p] if p >= 0 else c[b - start[k]] for p, b in zip(pieces[lo:hi].tolist(), begins[lo:hi].tolist(), strict=True)]
-            out[k] = np.array(self.ids_of(parts), "<i4").tobytes()
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit integers."""
-        cut = [self.split(t) if t else [] for t in texts]
-        every = set().union(*cut)
-        new = every - self.words.keys()
-        if len(self.words) + len(new) > CACHE:  # only what is in use stays
-            self.words = {w: self.words[w] for w in every - new}
-        parts = {w: [p for p in self.border.split(w) if p] for w in new if self.border and not w[1:].isalpha()}
-        whole = new - parts.keys()
-        self.learn(whole.union(*parts.values()))
-        self.words.update({w: self.chunks[w] for w in whole})
-        for w, cs in parts.items():
-            self.words[w] = b"".join(map(self.chunks.__getitem__, cs))
-        return [b"".join(map(self.words.__getitem__, t)) for t in cut]
-
-    def learn(self, every: set[str]) -> None:
-        """Makes sure that all these chunks are known."""
-        new = every - self.chunks.keys()
-        if len(self.chunks) + len(new) > CACHE:
-            self.chunks = {c: self.chunks[c] for c in every - new}
-        for c in new:
-            if MARK in c[1:] or "\0" in c:
-                self.chunks[c] = np.array(self.ids_of(self.merge(c)), "<i4").tobytes()
-        rest = sorted(c for c in new if c not in self.chunks)
+        begins, pieces = np.concatenate(begins), np.concatenate(steps)
+        by = np.argsort(begins)
+        begins, pieces = begins[by], pieces[by]
+        many = np.ones(len(pieces), np.int64)
+        odd = np.flatnonzero(pieces < 0)
+        spelled = [self.ids_of([chr(c)]) for c in x[begins[odd]].tolist()]
+        many[odd] = [len(v) for v in spelled]
+        ids = np.repeat(pieces, many)
+        for k, v in zip((np.cumsum(many) - many)[odd].tolist(), spelled, strict=True):
+            ids[k : k + len(v)] = v
+        bounds = np.concatenate(([0], np.cumsum(many)))[np.searchsorted(begins, np.append(start, len(x)))]
+        return ids, np.diff(bounds)
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of UTF-8 texts in a row, and where each text's begin (n + 1 numbers)."""
+        # every text that is not empty begins with a mark; spaces are marks
+        letters = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+        some = np.flatnonzero(np.diff(offsets) > 0)
+        if not len(some):
+            return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
+        plain = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        x = np.insert(plain, letters[some], 32)
+        x[x == 32] = ord(MARK)
+        first = letters[some] + np.arange(len(some))
+        begin = self.cut(x, first)
+        size = np.diff(begin, append=len(x))
+        own, chunk = distinct(x, begin, size)
+        # runs of marks are merged directly, all others found in the index
+        b, n = begin[own], size[own]
+        inner = np.concatenate(([0], np.cumsum(x == ord(MARK))))
+        runs = inner[b + n] - inner[np.minimum(b + 1, b + n)] > 0
+        pool, many = [], np.zeros(len(own), np.int64)
+        order = np.concatenate((np.flatnonzero(~runs), np.flatnonzero(runs)))
+        rest = order[: int((~runs).sum())]
+        ends = np.cumsum(n[rest] + 1)
         i = 0
         while i < len(rest):
-            j, n = i, 0
-            while j < len(rest) and (j == i or n < INDEXED):
-                n += len(rest[j]) + 1
-                j += 1
-            self.chunks.update(zip(rest[i:j], self.segment(rest[i:j]), strict=True))
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + INDEXED)))
+            ids, many[rest[i:j]] = self.segment(x, b[rest[i:j]], n[rest[i:j]])
+            pool.append(ids)
             self.settle()
             i = j
+        for k in order[len(rest) :].tolist():
+            ids = self.ids_of(self.merge("".join(map(chr, x[b[k] : b[k] + n[k]].tolist()))))
+            pool.append(np.array(ids, np.int32))
+            many[k] = len(ids)
+        at = np.empty(len(own), np.int64)
+        at[order] = np.cumsum(many[order]) - many[order]
+        out = np.concatenate(pool)[_runs(at[chunk], many[chunk])]
+        # a text's ids begin where those of its first chunk do
+        sums = np.concatenate(([0], np.cumsum(many[chunk])))
+        text_at = letters[:-1] + np.searchsorted(some, np.arange(len(offsets) - 1))
+        bounds = sums[np.searchsorted(begin, np.append(text_at, len(x)))]
+        return out, bounds
 
-    def forget(self) -> None:
-        self.words, self.chunks, self.fresh = {}, {}, {}
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:  # freed memory goes back to the system, where the C library can do that
-            trim(0)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit integers."""
+        raw = [t.encode() for t in texts]
+        offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+        ids, bounds = self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        data = ids.astype("<i4").tobytes()
+        return [data[4 * i : 4 * j] for i, j in zip(bounds, bounds[1:], strict=False)]
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode("utf-8", "replace").replace(MARK, " ")
@@ -337,10 +405,11 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", ou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                s = b.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(model.encode(s.column(at).to_pylist()), pa.binary())], [*s.schema.names, out_col])
-        model.forget()  # the worker may do other work next
+            data, offsets = text_bytes(b.column(at))
+            for i, j in in_slices(offsets, TOGETHER):
+                ids, bounds = model.encode_bytes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(4 * bounds), pa.py_buffer(ids.astype("<i4"))])
+                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, made.cast(pa.binary())], [*b.schema.names, out_col])
 
     return docs.mapInArrow(run, docs.withColumn(out_col, F.lit(b"")).schema)
 
