@@ -104,3 +104,10 @@ def in_slices(offsets: np.ndarray, limit: int = SLICE) -> list[tuple[int, int]]:
         cuts.append((i, j))
         i = j
     return cuts
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after the other."""
+    out = np.arange(int(size.sum()))
+    out += np.repeat(start - (np.cumsum(size) - size), size)
+    return out

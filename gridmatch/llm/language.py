@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, in_slices, split_words, text_bytes
+from .common import SPACE, hash_words, in_slices, runs, split_words, text_bytes
 
-#: Labelled documents that the model is fitted on, about; all of them if there are fewer.
-TRAIN_ROWS = 20_000
+#: Labelled documents of each language that the model is fitted on, about; all if there are fewer.
+TRAIN_ROWS = 5_000
+#: Bytes of text labelled at once.
+SLICE = 1 << 19
 GRAMS, HASH_BITS = (1, 2, 3, 4), 16
 #: What a change of language costs, in nats, and the words of a stretch.
 PENALTY, STRETCH = 12.0, 256
@@ -102,7 +104,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         langs = np.array(b.column(1).to_pylist(), object)
         data, offsets = text_bytes(b.column(0))
-        for i, j in in_slices(offsets, 1 << 20):
+        for i, j in in_slices(offsets, SLICE):
             d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             starts, n = split_words(d, o)
             if not len(starts):
@@ -135,25 +137,29 @@ class Model:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Fits a model on about `rows` labelled documents, chosen by a hash of their id.
+    """Fits a model on about `rows` labelled documents of each language, chosen by a hash.
 
-    The tallies gathered are bounded by languages times 2^16 n-grams. Needs one labelled row or more.
+    A language with fewer is learned from all of its documents, so none is lost at any size. Languages
+    are taken as few: the tallies gathered are bounded by languages times 2^16 n-grams. Without
+    labelled rows the model knows no language, and every text is `und`.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    total = known.count()
-    if not total:
-        raise ValueError("no labelled documents")
-    share = min(1.0, rows / total)
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    big = {lang: n for lang, n in sizes.items() if n > rows}
+    if big:
+        most = F.create_map(*[F.lit(v) for lang, n in big.items() for v in (lang, int(rows / n * 2.0**63))])
+        h = F.xxhash64("doc_id", "text").bitwiseAND((1 << 63) - 1)
+        known = known.where(h < F.coalesce(most[F.col("lang")], F.lit((1 << 63) - 1)))
     tallies = known.select("text", "lang").mapInArrow(_tally, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted({x for x in tallies.column("lang").to_pylist()}) or sorted(r[0] for r in known.select("lang").distinct().collect())
+    langs = sorted(sizes)
     counts = np.zeros((len(langs), (1 << HASH_BITS) + len(SCRIPT_NAMES)))
     if tallies.num_rows:
         counts[np.searchsorted(langs, tallies.column("lang").to_pylist()), tallies.column("k").to_numpy()] = tallies.column("n").to_numpy()
     grams, scripts = counts[:, : 1 << HASH_BITS], counts[:, 1 << HASH_BITS :]
     p = np.log((grams + 0.1) / (grams.sum(1, keepdims=True) + 0.1 * (1 << HASH_BITS)))
     uses = scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(1, keepdims=True))
+    if not langs:
+        return Model([], p.T.astype(np.float32), uses.T, -1)
     return Model(langs, (p - p.mean(0)).T.astype(np.float32).copy(), uses.T.copy(), int(scripts.sum(1).argmax()))
 
 
@@ -169,12 +175,12 @@ def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, script:
     begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     for k in range(many):
         out[owner[begins], k] = np.add.reduceat(model.table[:, k][gram], begins)
-    at = np.flatnonzero(script >= 0)
-    word = np.searchsorted(starts, at, "right") - 1
+    word, seen = np.repeat(np.arange(n), ends - starts), script[runs(starts, ends - starts)]
+    word, seen = word[seen >= 0], seen[seen >= 0]
     allowed = np.ones((n, many), bool)
-    for s in np.unique(script[at]):
+    for s in np.unique(seen):
         if model.uses[s].any():  # a script that no language was seen in says nothing
-            allowed[word[script[at] == s]] &= model.uses[s]
+            allowed[word[seen == s]] &= model.uses[s]
     some = allowed.any(1)
     out[some] = np.where(allowed[some], out[some], out[some] - 50)
     out[np.bincount(word, minlength=n) == 0] = 0
@@ -184,9 +190,8 @@ def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, script:
 def best_paths(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """The best language of each word; counts are the words of each text."""
     many = scores.shape[1]
-    path = np.zeros(len(scores), np.int16)
     if many == 1 or not len(scores):
-        return path
+        return np.zeros(len(scores), np.int8)
     first = np.concatenate(([0], np.cumsum(counts)))[:-1]
     pieces = -(-counts // STRETCH)
     text_of = np.repeat(np.arange(len(counts)), pieces)
@@ -194,63 +199,66 @@ def best_paths(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY)
     start = first[text_of] + number * STRETCH
     size = np.minimum(STRETCH, counts[text_of] - number * STRETCH)
     by = np.argsort(-size, kind="stable")
-    s_start, s_size = start[by], size[by]
-    live = [int(np.searchsorted(-s_size, -t, "left")) for t in range(int(s_size[0]))]  # stretches longer than t
-    # what each entry language is worth at each exit language
-    through = np.where(np.eye(many, dtype=bool), 0.0, -penalty)[None].repeat(len(by), 0).astype(np.float32)
-    for t in range(len(live)):
-        n = live[t]
-        v = through[:n]
-        if t:
-            v = np.maximum(v, v.max(2, keepdims=True) - penalty)
-        through[:n] = v + scores[s_start[:n] + t][:, None, :]
-    unsorted = np.empty_like(through)
-    unsorted[by] = through
-    entry = np.zeros((len(by), many), np.float32)
-    many_pieces = np.flatnonzero(pieces > 1)
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
     base = np.cumsum(pieces) - pieces
-    for k in many_pieces:
-        v = np.zeros(many, np.float32)
-        for p in range(base[k], base[k] + pieces[k]):
-            entry[p] = v
-            v = (v[:, None] + unsorted[p]).max(0)
-            v -= v.max()
-    v = entry[by]
-    back = np.zeros((len(live), len(by), many), np.int8 if many < 128 else np.int16)
-    for t in range(len(live)):
-        n = live[t]
-        top = v[:n].argmax(1)
-        jump = np.take_along_axis(v[:n], top[:, None], 1) - penalty
+    long = np.flatnonzero(pieces > 1)
+    entry = np.zeros((len(by), many), np.float32)
+    if len(long):
+        # what each entry language of a stretch is worth at each exit language
+        part = by[pieces[text_of[by]] > 1]
+        through = np.where(np.eye(many, dtype=bool), 0.0, -penalty)[None].repeat(len(part), 0).astype(np.float32)
+        for t in range(int(size[part[0]])):
+            n = int(np.searchsorted(-size[part], -t, "left"))  # stretches longer than t
+            v = through[:n]
+            if t:
+                v = np.maximum(v, v.max(2, keepdims=True) - penalty)
+            through[:n] = v + scores[start[part[:n]] + t][:, None, :]
+        at = {p: i for i, p in enumerate(part.tolist())}
+        for k in long:
+            v = np.zeros(many, np.float32)
+            for p in range(base[k], base[k] + pieces[k]):
+                entry[p] = v
+                v = (v[:, None] + through[at[p]]).max(0)
+                v -= v.max()
+    s_start, s_size = start[by], size[by]
+    live = np.searchsorted(-s_size, -np.arange(int(s_size[0])), "left")
+    row = np.concatenate(([0], np.cumsum(live)))  # a word's row: row[its place in the stretch] + the stretch's place
+    kind = np.int8 if many < 128 else np.int16
+    back, v, every = np.empty((row[-1], many), kind), entry[by], np.arange(many)
+    for t, n in enumerate(live.tolist()):
+        top = v[:n].argmax(1)[:, None]
+        jump = np.take_along_axis(v[:n], top, 1) - penalty
         stay = v[:n] >= jump
-        back[t, :n] = np.where(stay, np.arange(many), top[:, None])
+        back[row[t] : row[t] + n] = np.where(stay, every, top)
         v[:n] = np.where(stay, v[:n], jump) + scores[s_start[:n] + t]
-    # the last word's language, then backwards; a stretch's first word tells the exit before it
-    final = np.empty((len(by), many), np.float32)
-    final[by] = v
-    place = np.empty(len(by), np.int64)
-    place[by] = np.arange(len(by))
-    last = base[pieces > 0] + pieces[pieces > 0] - 1
-    todo, state = last, final[last].argmax(1)
-    while len(todo):
-        rows, now = place[todo], state.copy()
-        for t in range(int(size[todo].max()) - 1, -1, -1):
-            on = np.flatnonzero(size[todo] > t)
-            path[start[todo[on]] + t] = now[on]
-            now[on] = back[t, rows[on], now[on]]
-        more = number[todo] > 0
-        todo, state = todo[more] - 1, now[more]
-    return path
+    # backwards from every exit language at once; then the exits are chained from a text's end
+    now = np.repeat(every[None].astype(kind), len(by), 0)
+    for t in range(len(live) - 1, -1, -1):
+        n = live[t]
+        before = np.take_along_axis(back[row[t] : row[t] + n], now[:n], 1)
+        back[row[t] : row[t] + n] = now[:n]
+        now[:n] = before
+    state = v[place].argmax(1)
+    for k in long:
+        for p in range(base[k] + pieces[k] - 1, base[k], -1):
+            state[p - 1] = now[place[p], state[p]]
+    of = np.repeat(np.arange(len(by)), size)
+    return back[row[np.arange(len(scores)) - start[of]] + place[of], state[of]]
 
 
 def label(batch: pa.RecordBatch, model: Model) -> tuple[list[str], list[float], list[str]]:
     """Language, score and spans ("lang:first word-last word") of each text in column 0."""
     names, values, spans = [], [], []
     data, offsets = text_bytes(batch.column(0))
-    for i, j in in_slices(offsets, 1 << 20):
+    if not model.langs:
+        return ["und"] * batch.num_rows, [0.0] * batch.num_rows, [""] * batch.num_rows
+    for i, j in in_slices(offsets, SLICE):
         d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, counts = split_words(d, o)
         ends, script = _ends(d, o, starts), _scripts_of(d)
-        path = best_paths(word_scores(d, starts, ends, script, model), counts)
+        _, own, kind = np.unique(hash_words(d, starts), return_index=True, return_inverse=True)  # equal words score alike
+        path = best_paths(word_scores(d, starts[own], ends[own], script, model)[kind], counts)
         letters = _letters(starts, ends, script)
         first = np.concatenate(([0], np.cumsum(counts)))
         plain = np.concatenate(([0], np.cumsum((d < 128) & (_SEEN[d] != 32))))[o]

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, mix, text_bytes
+from .common import in_slices, mix, runs, text_bytes
 
 MARK = "▁"
 #: Pairs of neighbours a worker remembers, bytes of text in a slice, characters indexed at once.
-PAIRS, TOGETHER, INDEXED = 1_000_000, 3 << 20, 300_000
+PAIRS, TOGETHER, INDEXED = 1_000_000, 2 << 20, 300_000
 _SEPARATOR = 0x110000
 
 _models: dict[str, object] = {}
@@ -47,13 +47,6 @@ def load(path: str) -> Pieces:
     return _models[path]
 
 
-def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each run, one run after the other."""
-    out = np.arange(int(size.sum()))
-    out += np.repeat(start - (np.cumsum(size) - size), size)
-    return out
-
-
 def _letters() -> np.ndarray:
     """Which code points are letters as [^\\W\\d_] has them."""
     if not len(_letter):
@@ -75,7 +68,7 @@ def distinct(x: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.nda
     odd = np.flatnonzero(size != size[own[kind]])
     for i, j in in_slices(np.append(begin, len(x)), 1 << 19):
         at, n = begin[i:j], np.minimum(size[i:j], size[own[kind[i:j]]])
-        differs = x[_runs(at, n)] != x[_runs(begin[own[kind[i:j]]], n)]
+        differs = x[runs(at, n)] != x[runs(begin[own[kind[i:j]]], n)]
         if differs.any():
             odd = np.union1d(odd, i + np.unique(np.repeat(np.arange(j - i), n)[differs]))
     kind[odd] = len(own) + np.arange(len(odd))
@@ -289,8 +282,8 @@ class Pieces:
         """The ids of chunks of text (none with a run of marks), and how many each has."""
         start = np.concatenate(([0], np.cumsum(size + 1)[:-1])).astype(np.int32)
         x = np.full(int(size.sum()) + len(size), _SEPARATOR, np.int32)
-        place = _runs(start, size)
-        x[place] = text[_runs(begin, size)]
+        place = runs(start, size)
+        x[place] = text[runs(begin, size)]
         size = size.astype(np.int32)
         at, row = self.occurrences(x)
         # a character that is no piece of its own is an edge too
@@ -355,10 +348,10 @@ class Pieces:
         # runs of marks are merged directly, all others found in the index
         b, n = begin[own], size[own]
         inner = np.concatenate(([0], np.cumsum(x == ord(MARK))))
-        runs = inner[b + n] - inner[np.minimum(b + 1, b + n)] > 0
+        tied = inner[b + n] - inner[np.minimum(b + 1, b + n)] > 0
         pool, many = [], np.zeros(len(own), np.int64)
-        order = np.concatenate((np.flatnonzero(~runs), np.flatnonzero(runs)))
-        rest = order[: int((~runs).sum())]
+        order = np.concatenate((np.flatnonzero(~tied), np.flatnonzero(tied)))
+        rest = order[: int((~tied).sum())]
         ends = np.cumsum(n[rest] + 1)
         i = 0
         while i < len(rest):
@@ -373,7 +366,7 @@ class Pieces:
             many[k] = len(ids)
         at = np.empty(len(own), np.int64)
         at[order] = np.cumsum(many[order]) - many[order]
-        out = np.concatenate(pool)[_runs(at[chunk], many[chunk])]
+        out = np.concatenate(pool)[runs(at[chunk], many[chunk])]
         # a text's ids begin where those of its first chunk do
         sums = np.concatenate(([0], np.cumsum(many[chunk])))
         text_at = letters[:-1] + np.searchsorted(some, np.arange(len(offsets) - 1))
