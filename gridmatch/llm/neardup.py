@@ -10,9 +10,10 @@ From keys to components without all pairs of a group:
 1. Documents with equal shingle sets collapse to their smallest id.
 2. Each key pairs its documents with the key's smallest id only. Pairs with near signatures are
    confirmed on the full shingle sets, and the components of the confirmed links are found.
-3. Keys that still hold two or more components compare documents across components, in blocks of
-   bounded size; a bottom-k sketch sorts out most pairs before full sets are read. What it lets
-   through is confirmed on full sets, and the components are found anew.
+3. Keys that still hold two or more components compare documents across components. Both sides are
+   cut into blocks, so a group is one block against one, of bounded size, and carries signatures
+   only; a bottom-k sketch, joined to the pairs that remain, sorts out most of them before full sets
+   are read. What it lets through is confirmed on full sets, and the components are found anew.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, in_slices, mix, split_words, text_bytes, written
+from .common import hash_words, in_slices, mix, runs, split_words, text_bytes, written
 
 SHINGLE = 5
 #: Two sets are linked if 100 * intersection >= SIMILAR * union.
@@ -37,8 +37,10 @@ CHUNKS, PER_CHUNK, SYMBOLS = 10, 4, 40
 MAX_DISTANCE = 24
 #: Shingles in the bottom-k sketch. Its similarity has a deviation of 0.027 at most; 0.13 is let by.
 SKETCH, SKETCH_MARGIN = 256, 0.13
-#: Documents of one key that a task compares at once.
-BLOCK = 1000
+#: Bytes of text hashed at once.
+SLICE = 2 << 20
+#: Documents of one key on either side of a group, and pairs that a task compares at once.
+BLOCK, PAIRS = 512, 100_000
 
 _rng = np.random.default_rng(20240607)
 _MULT = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -87,7 +89,7 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = text_bytes(b.column(1))
-        for i, j in in_slices(offsets):
+        for i, j in in_slices(offsets, SLICE):
             sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             some = [s for s in sets if len(s)]
             sig = iter(signatures(some) if some else [])
@@ -120,7 +122,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = text_bytes(b.column(1))
-        for i, j in in_slices(offsets):
+        for i, j in in_slices(offsets, SLICE):
             sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
@@ -135,29 +137,69 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block whose components differ and whose signatures, sizes and sketches are near."""
-    key = int(group["key"].iloc[0])
-    sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, SYMBOLS)
-    rep, comp, n = (group[c].to_numpy() for c in ("rep", "comp", "n_shingles"))
-    sketch = [np.frombuffer(s, np.uint32) for s in group["sketch"]]
-    home, seen = np.flatnonzero(group["home"]), np.flatnonzero(~group["home"])
-    found: list[tuple[int, int]] = []
-    for i in seen:
-        j = home[(comp[home] != comp[i]) & (np.minimum(n[home], n[i]) * 100 >= SIMILAR * np.maximum(n[home], n[i]))]
-        same = sig[j] == sig[i]
-        j, same = j[(SYMBOLS - same.sum(1)) <= MAX_DISTANCE], same[(SYMBOLS - same.sum(1)) <= MAX_DISTANCE]
-        # a pair is taken under the first key it shares, and once
-        by = same.reshape(-1, CHUNKS, PER_CHUNK)
+def _pairs_across(key, stray, home, rep, comp, n, sig, cuts) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a guest and a home row of one group whose components differ and whose sizes and signatures are near."""
+    group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    homes = np.bincount(group[home], minlength=len(cuts) - 1)  # they come first in each group
+    guests = np.flatnonzero(~home)
+    many = homes[group[guests]]
+    a, b = [], []
+    for i, j in in_slices(np.concatenate(([0], np.cumsum(many))), PAIRS):
+        x, y = np.repeat(guests[i:j], many[i:j]), runs(cuts[group[guests[i:j]]], many[i:j])
+        # two strays meet twice: once is enough
+        may = (comp[x] != comp[y]) & (~stray[y] | (rep[x] > rep[y])) & (np.minimum(n[x], n[y]) * 100 >= SIMILAR * np.maximum(n[x], n[y]))
+        x, y = x[may], y[may]
+        same = sig[x] == sig[y]
+        near = SYMBOLS - same.sum(1) <= MAX_DISTANCE
+        x, y, by = x[near], y[near], same[near].reshape(-1, CHUNKS, PER_CHUNK)
+        # a pair is taken under the first key it shares
         chunk = (by.sum(2) >= PER_CHUNK - 1).argmax(1)
-        differs = by[np.arange(len(j)), chunk].argmin(1)
-        for k in j[chunk * PER_CHUNK + differs == key >> 48]:
-            x, y = sketch[i], sketch[k]
-            union = np.union1d(x, y)[: min(SKETCH, len(x), len(y)) if max(n[i], n[k]) > SKETCH else None]
+        first = chunk * PER_CHUNK + by[np.arange(len(x)), chunk].argmin(1) == key[x] >> 48
+        a.append(np.minimum(rep[x], rep[y])[first])
+        b.append(np.maximum(rep[x], rep[y])[first])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) from rows that are sorted by key and blocks, home rows first. A group has 2 * BLOCK rows at most."""
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        key, hb, gb, stray, home, rep, comp, n = (t.column(c).to_numpy() for c in range(8))
+        cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (hb[1:] != hb[:-1]) | (gb[1:] != gb[:-1]), [True])))
+        sig = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        a, b = _pairs_across(key, stray, home, rep, comp, n, sig, cuts)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        if not t.num_rows:
+            continue
+        # the last group may go on in the next batch
+        last = np.ones(t.num_rows, bool)
+        for c in range(3):
+            v = t.column(c).to_numpy()
+            last &= v == v[-1]
+        end = t.num_rows - int(last[::-1].argmin() if not last.all() else t.num_rows)
+        if end:
+            yield found(t.slice(0, end))
+        rest = t.slice(end)
+    if rest is not None and rest.num_rows:
+        yield found(rest)
+
+
+def _sketches_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sketches, and with them perhaps their sets, are near enough."""
+    for batch in batches:
+        keep = []
+        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            whole = max(n, m) <= SKETCH
+            union = np.union1d(x, y)[: None if whole else min(SKETCH, len(x), len(y))]
             both = len(np.intersect1d(np.intersect1d(x, y, True), union, True))
-            if both >= len(union) * (SIMILAR / 100 - (SKETCH_MARGIN if max(n[i], n[k]) > SKETCH else 0.01)):
-                found.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
-    return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+            keep.append(both >= len(union) * (SIMILAR / 100 - (0.01 if whole else SKETCH_MARGIN)))
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,7 +239,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles int, set_hash binary, sig binary, sketch binary"), "signed")
     same = signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    every = written(signed.select("doc_id", "n_shingles", "set_hash").join(same, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    some = signed.where("set_hash is not null").select("doc_id", "n_shingles", "set_hash").join(same, "set_hash").select("doc_id", "n_shingles", "rep")
+    every = written(some.union(signed.where("set_hash is null").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))), "classes")
     reps = signed.where("set_hash is not null").join(every.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
     reps = written(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "sketch"), "reps")
 
@@ -218,13 +261,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = held.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     # the leader's component is the main one of its key; the others are strays
     main = held.where("rep = leader").select("key", F.col("comp").alias("main"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    left = held.join(mixed, "key", "left_semi").join(main, "key").select("key", "rep", "comp", (F.col("comp") != F.col("main")).alias("stray"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    homes = left.select("key", "rep", "comp", own.alias("block"), F.lit(True).alias("home"))
-    guests = left.where("stray").select("key", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("home"))
-    placed = homes.unionByName(guests).join(reps, "rep")
-    more = placed.groupBy("key", "block").applyInPandas(_across, "a long, b long").distinct()
+    marked = held.join(main, "key").withColumn("stray", F.col("comp") != F.col("main"))
+    mixed = marked.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("stray").cast("long")).alias("strays")).where("strays > 0")
+    left = marked.select("key", "rep", "comp", "stray").join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    left = left.withColumn("guests", F.ceil(F.col("strays") / BLOCK).cast("int"))
+    block = lambda c, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    homes = left.select("key", "rep", "comp", "stray", block("blocks", 1).alias("hb"), each("guests").alias("gb"), F.lit(True).alias("home"))
+    guests = left.where("stray").select("key", "rep", "comp", "stray", each("blocks").alias("hb"), block("guests", 2).alias("gb"), F.lit(False).alias("home"))
+    placed = homes.unionByName(guests).join(reps.select("rep", "n_shingles", "sig"), "rep")
+    dealt = placed.select("key", "hb", "gb", "stray", "home", "rep", "comp", "n_shingles", "sig").repartition("key", "hb", "gb").sortWithinPartitions("key", "hb", "gb", F.desc("home"))
+    near = dealt.mapInArrow(_across, "a long, b long").distinct()
+    x, y = (reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    more = near.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_sketches_near, "a long, b long")
     again = written(confirmed(more, sets), "links")
     final = components(links.unionByName(again)).withColumnRenamed("id", "rep")
     out = every.join(final, "rep", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
