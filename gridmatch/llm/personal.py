@@ -2,10 +2,15 @@
 
 All of it is column expressions and joins; nothing runs in Python.
 
-Seeds are e-mail addresses, IP addresses, card and phone numbers found by pattern. Around every token
-with a digit or an @, which each seed has, the words before and after, with the token's shape (digits
-as 9, letters as a, runs as one), are its lexical patterns. In rounds, a pattern's confidence is the share
-of its distinct instances that are trusted, and an instance's trust grows with the confidence of the
+Seeds are e-mail addresses, IP addresses, card and phone numbers found by pattern. Every token with a
+digit or an @ stands in lexical patterns: the word before it, the two words before, the word after,
+and the words on both sides. The token's own form is no part of them, so identifiers of a kind that
+no seed has are found where seeds stand, and then lend their other contexts trust in turn.
+
+A pattern takes part only if it is specific: of all places where its rarest word occurs, in any text,
+so large a share must hold an identifier-like token in this pattern. Words of common speech are not,
+however often a number happens to follow them. In rounds, a pattern's confidence is the share of its
+distinct instances that are trusted, and an instance's trust grows with the confidence of the
 patterns it stands in (noisy or). Tokens that no seed covers, but that stand in a pattern of high
 confidence at the end, become spans of kind `context`.
 """
@@ -34,37 +39,54 @@ INNER = r"\p{L}\p{M}._%+-"
 IDENTIFIER = rf"(?<![{INNER}0-9@])(?=[{INNER}]*+[0-9@])(?:[._%+@-]*+[\p{{L}}\p{{M}}0-9]++)++"
 #: The last word before a token, past opening punctuation or up to the token, and the first one after.
 LEFT, RIGHT = r"(\S{1,40})(?:\s+[^\s\w]*)?$", r"^\W*\s+(\S{1,40})"
+#: The word before that one; and how many characters on either side are looked at for words.
+SECOND, AROUND = r"(\S{1,40})\s+\S{1,40}(?:\s+[^\s\w]*)?$", 120
 
 ROUNDS = 3
 #: What a pattern needs to be trusted: distinct trusted instances, and their share.
 SUPPORT, CONFIDENCE = 5, 0.8
+#: The confidence from which on a pattern lends trust to its instances; below, it would feed on itself.
+LENDS = 0.5
+#: The least share of its rarest word's places at which a pattern holds an identifier-like token.
+SPECIFIC = 0.05
+#: Matches whose places are summed up in one go.
+TOGETHER = 256
 
 
 def found(text: Column, pattern: str, may: Column, around: bool = False) -> Column:
     """Array of (s, e, m) of all matches, by code points; empty unless `may`, a cheap test.
 
-    The pieces between matches and the matches alternate, so their lengths give the positions.
-    around: with the last word before (l) and the first after (r), which may hold the neighbouring match.
+    The pieces between matches and the matches alternate, so their lengths give the positions. They
+    are summed up within groups of TOGETHER matches, then over groups, so a text's cost stays near
+    its length. around: with the word before (l), the one before that (l2) and the first after (r),
+    which may hold the neighbouring match.
     """
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     later = lambda a, k: F.slice(a, F.lit(k + 1), F.size(pieces))
     earlier = lambda a: F.concat(F.array(F.lit("")), a)
     both = F.arrays_zip(pieces.alias("p"), hits.alias("h"), earlier(pieces).alias("bp"), earlier(hits).alias("bh"), later(pieces, 1).alias("n"), later(hits, 1).alias("nh"), later(pieces, 2).alias("np")) if around else F.arrays_zip(pieces.alias("p"), hits.alias("h"))
+    kind = "array<struct<s:int,e:int,m:string,l2:string,l:string,r:string>>" if around else "array<struct<s:int,e:int,m:string>>"
+    length = lambda x: F.length(x["p"]) + F.coalesce(F.length(x["h"]), F.lit(0))
 
     def one(pos: Column, x: Column) -> Column:
         s = pos + F.length(x["p"])
         cols = [s.alias("s"), (s + F.length(x["h"])).alias("e"), x["h"].alias("m")]
         if around:
-            cols += [F.lower(F.regexp_extract(F.concat(x["bp"], x["bh"], x["p"]), LEFT, 1)).alias("l"), F.lower(F.regexp_extract(F.concat_ws("", x["n"], x["nh"], x["np"]), RIGHT, 1)).alias("r")]
+            before, after = F.substring(F.concat(x["bp"], x["bh"], x["p"]), -AROUND, AROUND), F.substring(F.concat_ws("", x["n"], x["nh"], x["np"]), 1, AROUND)
+            cols += [F.lower(F.regexp_extract(v, pattern, 1)).alias(n) for n, v, pattern in (("l2", before, SECOND), ("l", before, LEFT), ("r", after, RIGHT))]
         return F.struct(*cols)
 
-    kind = "array<struct<s:int,e:int,m:string,l:string,r:string>>" if around else "array<struct<s:int,e:int,m:string>>"
-
     def step(acc: Column, x: Column) -> Column:
-        return F.when(x["h"].isNull(), acc).otherwise(F.struct((acc["at"] + F.length(x["p"]) + F.length(x["h"])).alias("at"), F.concat(acc["out"], F.array(one(acc["at"], x))).alias("out")))
+        return F.when(x["h"].isNull(), acc).otherwise(F.struct((acc["at"] + length(x)).alias("at"), F.concat(acc["out"], F.array(one(acc["at"], x))).alias("out")))
+
+    def group(g: Column, start: Column) -> Column:
+        return F.aggregate(g, F.struct(start.alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
 
-    all_ = F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-    return F.when(may, all_).otherwise(F.array().cast(kind))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / TOGETHER).cast("int")), lambda k: F.slice(both, k * TOGETHER + 1, TOGETHER))
+    sizes = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda acc, x: acc + length(x)))
+    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    many = F.flatten(F.transform(F.arrays_zip(groups.alias("g"), F.slice(starts, F.lit(1), F.size(groups)).alias("at")), lambda x: group(x["g"], x["at"])))
+    return F.when(may, F.when(F.size(both) <= TOGETHER, group(both, F.lit(0))).otherwise(many)).otherwise(F.array().cast(kind))
 
 
 def luhn(digits: Column) -> Column:
@@ -102,37 +124,67 @@ def written_out(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of an id and a text, so that rows that share an id are told apart."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), text))
+
+
 def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, doc_id, base (seed spans) and seen (identifier-like tokens with their contexts) per row."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
-    return d.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", base_spans(text).alias("base"), found(text, IDENTIFIER, text.rlike("[0-9@]"), True).alias("seen"))
+    return d.select(row_key(F.col("doc_id"), text).alias("key"), "doc_id", base_spans(text).alias("base"), found(text, IDENTIFIER, text.rlike("[0-9@]"), True).alias("seen"))
+
+
+def patterns(x: Column) -> Column:
+    """The patterns (side, a, b) that a token of `seen` stands in; b is empty for one word."""
+    one = lambda side, a, b=F.lit(""): F.struct(F.lit(side).alias("side"), a.alias("a"), b.alias("b"))
+    two = lambda a, b: (a != "") & (b != "")
+    every = F.array(F.when(x["l"] != "", one("l", x["l"])), F.when(x["r"] != "", one("r", x["r"])), F.when(two(x["l2"], x["l"]), one("ll", x["l2"], x["l"])), F.when(two(x["l"], x["r"]), one("lr", x["l"], x["r"])))
+    return F.filter(every, lambda p: p.isNotNull())
+
+
+def word_totals(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, total: how often every word up to 40 characters occurs in all texts, in lower case."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("word"))
+    return words.where(F.length("word").between(1, 40)).groupBy("word").agg(F.count("*").alias("total"))
 
 
-def learned(every: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The patterns of high confidence: (side, word, shape). every is what extracted() gives.
+def specific_edges(every: DataFrame, totals: DataFrame) -> DataFrame:
+    """(side, a, b, instance, seed): distinct instances of the patterns that are specific.
+
+    Patterns with fewer than SUPPORT instances can never be trusted, so they go before words are looked up.
+    """
+    t = every.select("base", F.explode("seen").alias("x"))
+    seed = F.exists("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s")))
+    t = t.select(F.col("x.m").alias("instance"), seed.cast("int").alias("seed"), F.explode(patterns(F.col("x"))).alias("c"))
+    edges = written(t.groupBy("c.side", "c.a", "c.b", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "edges")
+    pattern = edges.groupBy("side", "a", "b").agg(F.sum("n").alias("places"), F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT)
+    of = lambda c: totals.select(F.col("word").alias(c), F.col("total").alias(f"total_{c}"))
+    pattern = pattern.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    # a word that only stands glued to a token (addr=1.2.3.4) is no word of its own, and specific
+    rarest = F.least(F.coalesce("total_a", "places"), F.when(F.col("b") == "", F.lit(1 << 62)).otherwise(F.coalesce("total_b", "places")))
+    good = pattern.where(F.col("places") >= SPECIFIC * rarest).select("side", "a", "b")
+    return written(edges.join(good, ["side", "a", "b"], "left_semi").select("side", "a", "b", "instance", "seed"), "edges")
+
+
+def learned(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The patterns (side, a, b) of high confidence. edges is what specific_edges() gives.
 
     The graph holds one edge for each distinct pattern and instance, which is far less than text;
     each round is two aggregations and a join on shuffled keys, and is written to the shared folder.
     """
-    t = every.select("base", F.explode("seen").alias("x")).select("base", "x.*")
-    seed = F.exists("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
-    t = t.select(F.col("m").alias("instance"), seed.cast("int").alias("seed"), shape(F.col("m")).alias("shape"), F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("word")), F.struct(F.lit("r").alias("side"), F.col("r").alias("word")))).alias("c"))
-    edges = t.select("instance", "seed", "shape", "c.side", "c.word").where("word <> ''").groupBy("side", "word", "shape", "instance").agg(F.max("seed").alias("seed"))
-    edges = written(edges, "edges")
-    trust = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("trust"))
-    for _ in range(rounds):
-        scored = edges.join(trust, "instance")
-        pattern = scored.groupBy("side", "word", "shape").agg(F.sum("trust").alias("good"), F.count("*").alias("n"))
-        pattern = pattern.select("side", "word", "shape", "good", (F.col("good") / F.col("n")).alias("confidence"))
-        doubt = F.log(F.greatest(F.lit(1e-6), 1 - F.when(F.col("good") >= SUPPORT, F.col("confidence")).otherwise(0)))
-        trust = written(edges.join(pattern, ["side", "word", "shape"]).groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(doubt).alias("d")).select("instance", F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp("d")).alias("trust")), "trust")
-    last = edges.join(trust, "instance").groupBy("side", "word", "shape").agg(F.sum("trust").alias("good"), F.count("*").alias("n"))
-    return last.where((F.col("good") >= SUPPORT) & (F.col("good") / F.col("n") >= CONFIDENCE)).select("side", "word", "shape")
+    key = ["side", "a", "b"]
 
+    def scored(trust: DataFrame) -> DataFrame:
+        p = edges.join(trust, "instance").groupBy(*key).agg(F.sum("trust").alias("good"), F.count("*").alias("n"))
+        return p.select(*key, "good", (F.col("good") / F.col("n")).alias("confidence"))
 
-def shape(token: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(token, "[0-9]+", "9"), r"[\p{L}\p{M}]+", "a")
+    trust = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("trust"))
+    for _ in range(rounds):
+        doubt = F.log(F.greatest(F.lit(1e-6), 1 - F.when((F.col("good") >= SUPPORT) & (F.col("confidence") >= LENDS), F.col("confidence")).otherwise(0)))
+        trust = written(edges.join(scored(trust), key).groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(doubt).alias("d")).select("instance", F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp("d")).alias("trust")), "trust")
+    return scored(trust).where((F.col("good") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select(*key)
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,10 +194,11 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the text are kept apart (key is a hash of both). An empty table gives an empty result.
     """
     every = written(extracted(docs, id_col, text_col), "identifiers")
-    free = every.select("key", "base", F.explode("seen").alias("x")).select("key", "base", "x.*")
-    free = free.where(~F.exists("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s"))))
-    free = free.select("key", "s", "e", shape(F.col("m")).alias("shape"), F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("word")), F.struct(F.lit("r").alias("side"), F.col("r").alias("word")))).alias("c")).select("key", "s", "e", "shape", "c.*")
-    more = free.join(learned(every), ["side", "word", "shape"], "left_semi").groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.lit(4).alias("k"), "s", "e"))).alias("more"))
+    free = every.select("key", "base", F.explode("seen").alias("x"))
+    free = free.where(~F.exists("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s"))))
+    free = free.select("key", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.explode(patterns(F.col("x"))).alias("c")).select("key", "s", "e", "c.*")
+    good = learned(specific_edges(every, word_totals(docs, text_col)))
+    more = free.join(good, ["side", "a", "b"], "left_semi").groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.lit(4).alias("k"), "s", "e"))).alias("more"))
     return every.join(more, "key", "left").select("key", "doc_id", "base", F.concat("base", F.coalesce("more", F.array().cast("array<struct<k:int,s:int,e:int>>"))).alias("spans"))
 
 
@@ -160,16 +213,20 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; overlapping spans become one."""
-    spans = scanned(docs, id_col, text_col).where("size(spans) > 0").select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    keyed = docs.withColumn("_own", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    text, names = F.col(text_col), F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
+    """docs with every span replaced by its kind in brackets; overlapping spans become one.
+
+    Rows travel as one struct, so that no column's name can clash.
+    """
+    spans = scanned(docs, id_col, text_col).where("size(spans) > 0").select("key", "spans").dropDuplicates(["key"])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text, names = F.col(f"row.`{text_col}`"), F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    rows = rows.withColumn("own", row_key(F.col(f"row.`{id_col}`"), F.coalesce(text, F.lit(""))))
+    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.element_at(names, x["k"] + 1))
         return F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], -x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct((-x["e"]).alias("at"), gap.alias("out")))
 
     clean = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = keyed.join(spans, keyed["_own"] == spans["_key"], "left")
-    return joined.select(*[F.when(F.col("_spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    joined = rows.join(spans, rows["own"] == spans["key"], "left")
+    return joined.select(*[F.when(F.col("spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
