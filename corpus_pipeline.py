@@ -27,8 +27,15 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     labelled = docs.where(~language.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     if labelled.isEmpty():
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language.identify(docs, language.train(labelled), names=("_lang", "_share", "_spans"))
-    return found.where((F.col("_lang") != "und") & (F.col("_share") >= LEAST_SHARE)).select(docs.columns)
+    lang, share, spans = _free(docs, "lang", "share", "spans")
+    found = language.identify(docs, language.train(labelled), names=(lang, share, spans))
+    return found.where((F.col(lang) != "und") & (F.col(share) >= LEAST_SHARE)).select(docs.columns)
+
+
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where docs has such columns."""
+    taken = "_" * max((len(c) for c in docs.columns), default=0)
+    return [f"_{n}{taken}" for n in names]
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
