@@ -15,8 +15,10 @@ several word marks tie in score, which that rule does not cover; those chunks ar
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +53,8 @@ def _letters() -> np.ndarray:
     """Which code points are letters as [^\\W\\d_] has them."""
     if not len(_letter):
         every = np.zeros(0x110000, bool)
-        every[[ord(c) for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(0x110000))))]] = True
+        for i in range(0, len(every), 1 << 14):
+            every[[ord(c) for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(i, i + (1 << 14)))))]] = True
         _letter.append(every)
     return _letter[0]
 
@@ -93,6 +96,8 @@ class Pieces:
         for value, i in self.byte.items():
             self.raw[i] = bytes([value])
         self.raw[self.unknown] = " ⁇ ".encode()
+        self.raw_size = np.array([len(r) for r in self.raw])
+        self.raw_start, self.raw_pool = np.cumsum(self.raw_size) - self.raw_size, np.frombuffer(b"".join(self.raw), np.uint8)
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
         ids = sorted(i for _, i in self.score.values())
         self.known = np.array([i for i in ids if self.merge(self.text[i]) == [self.text[i]]], np.int32)
@@ -381,9 +386,17 @@ class Pieces:
         data = ids.astype("<i4").tobytes()
         return [data[4 * i : 4 * j] for i, j in zip(bounds, bounds[1:], strict=False)]
 
+    def decode_ids(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The text that each stretch of ids spells."""
+        many = self.raw_size[ids]
+        data = self.raw_pool[runs(self.raw_start[ids], many)].tobytes()
+        at = np.concatenate(([0], np.cumsum(many)))[bounds].tolist()
+        texts = (data[i:j].decode("utf-8", "replace").replace(MARK, " ") for i, j in zip(at, at[1:], strict=False))
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
     def decode(self, ids: bytes) -> str:
-        text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text[:1] == " " else text
+        v = np.frombuffer(ids, "<i4")
+        return self.decode_ids(v, np.array([0, len(v)]))[0]
 
 
 def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -416,21 +429,33 @@ def decoded(docs: DataFrame, path: str | None = None, ids_col: str = "ids", out_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for b in batches:
-            texts = [model.decode(v or b"") for v in b.column(at).to_pylist()]
+            ids = [np.frombuffer(v or b"", "<i4") for v in b.column(at).to_pylist()]
+            texts = model.decode_ids(np.concatenate(ids), np.cumsum([0, *map(len, ids)])) if ids else []
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out_col])
 
     return docs.mapInArrow(run, docs.withColumn(out_col, F.lit("")).schema)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, n_bytes, decoded_sha256, round_trip of every document."""
-    d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    back = decoded(encoded(d, path), path)
-    return back.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"),
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.col("text")).alias("round_trip"),
-    )
+    """doc_id, n_tokens, ids_crc32, n_bytes, decoded_sha256, round_trip of every document.
+
+    Texts are encoded and their ids decoded in the same task, so one worker holds the vocabulary.
+    """
+    path = path or model_path()
+    schema = "doc_id long, n_tokens long, ids_crc32 long, n_bytes long, decoded_sha256 string, round_trip boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        for b in batches:
+            data, offsets = text_bytes(b.column(1))
+            for i, j in in_slices(offsets, TOGETHER):
+                d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                ids, bounds = model.encode_bytes(d, o)
+                rows = []
+                for k, text in enumerate(model.decode_ids(ids, bounds)):
+                    raw = text.encode()
+                    rows.append((zlib.crc32(ids[bounds[k] : bounds[k + 1]].astype("<i4").tobytes()), hashlib.sha256(raw).hexdigest(), raw == d[o[k] : o[k + 1]].tobytes()))
+                crc, sha, same = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), pa.array(np.diff(o)), pa.array(sha), pa.array(same)], ["doc_id", "n_tokens", "ids_crc32", "n_bytes", "decoded_sha256", "round_trip"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
