@@ -331,19 +331,54 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(offsets[i : j + 1])), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
+#: What a damaged image may raise while it is parsed or decoded.
+_DAMAGE = (ValueError, IndexError, KeyError, StopIteration, struct.error, ZeroDivisionError)
+
+
+def _read(media: list[bytes | None]) -> list[Image | str]:
+    """The decoded images, or what is wrong with them. All are decoded in step; only if one fails, one by one."""
+    out: list[Image | str] = []
+    parsed: list[tuple[int, list[_Scan]]] = []
+    for k, m in enumerate(media):
+        try:
+            if m is None:
+                raise ValueError("null")
+            image, scans = parse(m)
+            out.append(image)
+            parsed.append((k, scans))
+        except _DAMAGE as e:
+            out.append(f"{type(e).__name__}: {e}")
+    try:
+        decode([s for _, scans in parsed for s in scans])
+    except _DAMAGE:
+        for k, _ in parsed:
+            try:
+                out[k], scans = parse(media[k])
+                decode(scans)
+            except _DAMAGE as e:
+                out[k] = f"{type(e).__name__}: {e}"
+    return out
+
+
+def _feature_row(m: bytes | None, image: Image | str) -> tuple:
+    sha = hashlib.sha256(m).hexdigest() if m is not None else None
+    if not isinstance(image, str):
+        try:
+            p, t = payload(image), thumbnail(image)
+            return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), sha, f"{image.width}x{image.height}:{hashlib.sha256(t.tobytes()).hexdigest()[:16]}:{average_hash(t)}", None
+        except _DAMAGE as e:
+            image = f"{type(e).__name__}: {e}"
+    return None, None, None, len(m) if m is not None else None, sha, None, image
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())]
     for b in batches:
-        at = np.concatenate(([0], np.cumsum([len(m.as_buffer()) for m in b.column(2)])))
+        at = np.concatenate(([0], np.cumsum([len(m.as_buffer()) if m.is_valid else 0 for m in b.column(2)])))
         for i, j in in_slices(at, 2 << 20):
             media = b.column(2).slice(i, j - i).to_pylist()
-            parsed = [parse(m) for m in media]
-            decode([s for _, scans in parsed for s in scans])
-            rows = []
-            for m, (image, _) in zip(media, parsed, strict=True):
-                p, t = payload(image), thumbnail(image)
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"{image.width}x{image.height}:{hashlib.sha256(t.tobytes()).hexdigest()[:16]}:{average_hash(t)}"))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *[pa.array(list(c), pa.string() if isinstance(c[0], str) else pa.int64()) for c in zip(*rows, strict=True)]], names)
+            rows = [_feature_row(m, image) for m, image in zip(media, _read(media), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *[pa.array(list(c), k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)]], ["doc_id", "n_bytes", *[n for n, _ in kinds]])
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,6 +389,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def media_features(media: DataFrame) -> DataFrame:
     """Dimensions, thumbnail hashes and the payload's digests, all from the stored bytes.
 
-    Equal texts give equal rows but for the id; an empty table gives an empty result.
+    Equal texts give equal rows but for the id; an empty table gives an empty result. A null or damaged
+    image, or one without a payload, keeps its row, with nulls and what is wrong in `error`.
     """
-    return media.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

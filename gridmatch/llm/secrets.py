@@ -2,8 +2,10 @@
 
 Two first-order models over identifier characters are trained on the documents themselves: one of
 random strings (labelled by the fixed patterns: assigned values, access keys, long hex runs), one of
-ordinary text (everything else). A long token whose log-likelihood ratio per character is high
-enough reads like a random string and becomes a span of its own. Counts come from all documents.
+ordinary identifiers (all other runs of WORDLIKE such characters or more). A long token of several
+different characters whose log-likelihood ratio per character is high enough reads like a random
+string and becomes a span of its own. Tokens under 20 characters are left to the fixed patterns.
+Counts come from all documents.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # 20 characters or more
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: What the models look at.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What an ordinary identifier has at least in characters, and a token of its own in different ones.
+WORDLIKE, DIFFERENT = 3, 8
 #: Least log-likelihood ratio per character, in nats.
 THRESHOLD = 0.75
 
@@ -43,21 +47,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(low)
 
 
-def _pairs(data: np.ndarray) -> np.ndarray:
-    """Counts of (previous, next) character codes, where next is in the alphabet."""
+def _pairs(data: np.ndarray, starts: np.ndarray, least: int = 1) -> np.ndarray:
+    """Counts of (previous, next) character codes in runs of at least so many; texts start at `starts`."""
     code = _CODE[data]
     before = np.concatenate(([0], code[:-1])) if len(code) else code
-    counts = np.bincount(before * N + code, minlength=N * N).reshape(N, N)
-    counts[:, 0] = 0
-    return counts
+    before[starts[starts < len(code)]] = 0
+    begin = np.flatnonzero((code > 0) & (before == 0))
+    inside = code > 0
+    number = np.cumsum((code > 0) & (before == 0)) - 1
+    size = np.bincount(number[inside], minlength=len(begin))
+    inside[inside] = size[number[inside]] >= least
+    return np.bincount(before[inside] * N + code[inside], minlength=N * N)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    random, every = np.zeros((N, N), np.int64), np.zeros((N, N), np.int64)
+    random, every = np.zeros(N * N, np.int64), np.zeros(N * N, np.int64)
     for b in batches:
         data, offsets = text_bytes(b.column(0))
-        for i, j in in_slices(offsets):
-            every += _pairs(data[offsets[i] : offsets[j]])
+        for i, j in in_slices(offsets, 1 << 20):
+            every += _pairs(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], WORDLIKE)
         for text in b.column(0).to_pylist():
             for start, kind, end in base_spans(text or ""):
                 value = text[start:end]
@@ -65,11 +73,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     value = ASSIGN.match(value)[2]
                 elif kind == 1:
                     value = value[4:]
-                random += _pairs(np.frombuffer((" " + value).encode(), np.uint8))
-    ordinary = np.maximum(every - random, 0)
-    for name, counts in (("random", random), ("ordinary", ordinary)):
+                random += _pairs(np.frombuffer(value.encode(), np.uint8), np.zeros(1, np.int64))
+    for name, counts in (("random", random), ("every", every)):
         pair = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(pair), pa.string()), pa.array(pair), pa.array(counts.ravel()[pair])], ["model", "pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(pair), pa.string()), pa.array(pair), pa.array(counts[pair])], ["model", "pair", "n"])
 
 
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -79,7 +86,7 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     Without labelled samples the random model is uniform.
     """
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "model string, pair long, n long").groupBy("model", "pair").agg(F.sum("n").alias("n"))
-    table = {"random": np.zeros(N * N), "ordinary": np.zeros(N * N)}
+    table = {"random": np.zeros(N * N), "every": np.zeros(N * N)}
     for r in counts.collect():
         table[r["model"]][r["pair"]] = r["n"]
 
@@ -90,7 +97,7 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         shared /= shared.sum()
         return np.log(np.maximum((x + 20 * shared) / (x.sum(1, keepdims=True) + 20), 1e-12))
 
-    return log_p(table["random"]) - log_p(table["ordinary"])
+    return log_p(table["random"]) - log_p(np.maximum(table["every"] - table["random"], 0))
 
 
 def ratio(token: str, model: np.ndarray) -> float:
@@ -102,9 +109,12 @@ def ratio(token: str, model: np.ndarray) -> float:
 def spans(text: str, model: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     """The base spans, and those the models add: long random tokens that overlap no base span."""
     found = base_spans(text)
-    free = []
+    free, k, reach = [], 0, 0
     for m in TOKEN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in found) and ratio(m[0], model) >= threshold:
+        while k < len(found) and found[k][0] < m.end():
+            reach = max(reach, found[k][2])
+            k += 1
+        if reach <= m.start() and len(set(m[0])) >= DIFFERENT and ratio(m[0], model) >= threshold:
             free.append((m.start(), 3, m.end()))
     return sorted(found + free)
 

@@ -1,8 +1,8 @@
 """Token ids as Arrow files of fixed-size lists.
 
 Texts are ranged over tasks by id, tokenized, and written as one stream in ascending id order: each
-record holds SEQUENCE ids and a mask of which of them are real, so any sequence can be read in place
-by its number. A file is closed at a document's end once it holds FILE_IDS ids; only its last record
+record holds SEQUENCE ids and a mask of which of them are real, RECORDS records to a batch, so any
+sequence can be read in place by its number (SequenceFile). A file is closed at a document's end once it holds FILE_IDS ids; only its last record
 is padded. Beside each file lies an index of its documents, and a manifest table lists the files.
 
 Files are written under a name of their own and renamed when whole, so a task that is run again, or
@@ -157,7 +157,7 @@ class _Writer:
     def flush(self, last: bool) -> None:
         data = b"".join(self.rest)
         n = len(data) // self.width
-        take = n if last else n - n % SEQUENCE
+        take = n if last else n - n % (SEQUENCE * RECORDS)
         self.rest, self.held = [data[take * self.width :]], n - take
         for a in range(0, take, SEQUENCE * RECORDS):
             real = min(take - a, SEQUENCE * RECORDS)
@@ -174,11 +174,24 @@ class _Writer:
         index = pa.table({"doc_id": pa.array(self.docs, pa.int64()), "start": pa.array(self.starts, pa.int64()), "n_tokens": pa.array(self.counts, pa.int64())})
         with self.fs.open_output_stream(f"{self.temp}i") as sink, pa.ipc.new_file(sink, index.schema) as out:
             out.write_table(index)
-        self.fs.move(self.temp, f"{self.folder}/{self.name}.arrow")
-        self.fs.move(f"{self.temp}i", f"{self.folder}/{self.name}.index.arrow")
+        self._settle(f"{self.temp}i", f"{self.folder}/{self.name}.index.arrow")
+        self._settle(self.temp, f"{self.folder}/{self.name}.arrow")
         return self.name, len(self.docs), self.ids
 
 
+    def _settle(self, made: str, name: str) -> None:
+        """Gives a whole file its name. A task that runs again makes the same bytes, so the first stays."""
+        there = lambda: self.fs.get_file_info(name).type == pa.fs.FileType.File
+        if not there():
+            try:
+                self.fs.move(made, name)
+                return
+            except OSError:
+                if not there():
+                    raise
+        self.fs.delete_file(made)
+
+
 def _write(folder: str, path: str, wide: bool):
     end = np.array([END_ID], "<u4" if wide else "<u2").tobytes()
 
@@ -213,8 +226,29 @@ def write_token_files(docs: DataFrame, folder: str, path: str, id_col: str = "do
     return made.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+class SequenceFile:
+    """The sequences of a file by number. Every record batch but the last holds RECORDS of them."""
+
+    def __init__(self, path: str, fs: pa.fs.FileSystem | None = None):
+        local = fs is None or isinstance(fs, pa.fs.LocalFileSystem)
+        self.reader = pa.ipc.open_file(pa.memory_map(path) if local else fs.open_input_file(path))
+        many = self.reader.num_record_batches
+        self.size = (many - 1) * RECORDS + self.reader.get_batch(many - 1).num_rows if many else 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, n: int) -> tuple[np.ndarray, pa.Array]:
+        """Ids and mask of the n-th sequence; of a local file both are views of the mapped bytes."""
+        if not 0 <= n < self.size:
+            raise IndexError(n)
+        batch, at = self.reader.get_batch(n // RECORDS), n % RECORDS
+        ids, mask = (batch.column(c).values.slice(at * SEQUENCE, SEQUENCE) for c in (0, 1))
+        return ids.to_numpy(), mask
+
+
 def read_sequences(fs: pa.fs.FileSystem, file: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids and the mask of a file, flat; local files are mapped, not copied."""
+    """All ids and the mask of a file, flat and copied together. SequenceFile reads in place."""
     source = pa.memory_map(file) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(file)
     with source, pa.ipc.open_file(source) as reader:
         batches = [reader.get_batch(i) for i in range(reader.num_record_batches)]

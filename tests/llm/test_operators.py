@@ -118,6 +118,21 @@ def test_jpeg_round_trip(docs, empty):
     assert jpeg.media_features(jpeg.media_column(empty)).count() == 0
     with pytest.raises(ValueError):
         jpeg.parse(b"no image")
+    good = jpeg.encode([jpeg.pad(b"good")])[0]
+    rows = [(1, 4, good), (2, 0, b"no image"), (3, 0, None), (4, 4, good[:-40]), (5, 4, good.replace(b"payload ", b"nothing ")), (6, 4, good)]
+    got = by_id(jpeg.media_features(empty.sparkSession.createDataFrame(rows, "doc_id long, n_bytes long, media binary").coalesce(1)), "payload_sha256", "error")
+    assert got[1] == got[6] == (hashlib.sha256(jpeg.pad(b"good")).hexdigest(), None)
+    assert all(got[i][0] is None and got[i][1] for i in (2, 3, 5))
+
+
+def test_empty_texts_and_no_labels(spark, empty):
+    model = language.train(empty)
+    asked = spark.createDataFrame([(1, "some words"), (2, None), (3, "")], "doc_id long, text string")
+    assert by_id(language.identify(asked, model), "lang_pred", "score") == {i: ("und", 0.0) for i in (1, 2, 3)}
+    rows = [(i, "the and was of to in that" if i % 50 else "der und ist nicht groß", "en" if i % 50 else "de") for i in range(400)]
+    few = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20)
+    assert few.langs == ["de", "en"]
+    assert by_id(language.identify(spark.createDataFrame([(1, "und nicht groß"), (2, "the was")], "doc_id long, text string"), few), "lang_pred") == {1: ("de",), 2: ("en",)}
 
 
 def test_token_files(docs, empty):
@@ -132,6 +147,25 @@ def test_token_files(docs, empty):
     assert token_files.token_files(empty).count() == 0
 
 
+def test_sequences_by_number(tmp_path):
+    g = np.random.default_rng(4)
+    writer = token_files._Writer(f"file://{tmp_path}", 0, 0, False)
+    ids = [g.integers(1, 50000, n).astype("<u2") for n in (5, 700_000, 0, 1024, 300_123)]
+    for i, v in enumerate(ids):
+        writer.add(i, v.tobytes())
+    name, docs, total = writer.close()
+    file, flat = token_files.SequenceFile(f"{tmp_path}/{name}.arrow"), np.concatenate(ids)
+    assert (docs, total, len(file)) == (5, len(flat), -(-len(flat) // 1024))
+    for n in (0, 255, 256, 511, 700, len(file) - 1):
+        got, mask = file[n]
+        want = flat[n * 1024 : n * 1024 + 1024]
+        assert got[: len(want)].tolist() == want.tolist() and not got.flags.owndata and sum(mask.to_pylist()) == len(want)
+    again = token_files._Writer(f"file://{tmp_path}", 0, 0, False)  # a task that runs again
+    for i, v in enumerate(ids):
+        again.add(i, v.tobytes())
+    assert again.close() == (name, docs, total) and len(list(tmp_path.iterdir())) == 2
+
+
 def test_added_tokens_as_the_library():
     from tokenizers import Tokenizer
 
@@ -180,6 +214,25 @@ def test_secrets(docs, empty):
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
 
+def test_markov_spans_recall_and_precision(spark):
+    """Random strings of three alphabets that no pattern finds, among identifiers unlike those trained on."""
+    g = random.Random(11)
+    alnum, upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    names = "user account balance request handler manager config parser token stream buffer reader writer index total price order status update create delete service client server message queue worker".split()
+    other = "picture gallery window button layout render column header footer engine driver module packet socket thread signal matrix vector".split()
+    snake = lambda w: "_".join(g.choice(w) for _ in range(4))
+    camel = lambda w: "".join(g.choice(w).title() for _ in range(4))
+    draw = lambda letters, n: "".join(g.choice(letters) for _ in range(n))
+    sample = [f"{snake(names)} {camel(names)} secret={draw(alnum, 40)} password: {draw(upper, 24)} {prose(20)}" for _ in range(300)]
+    model = secrets.train(spark.createDataFrame([(t,) for t in sample], "text string"))
+    hidden = [draw(a, n) for a in (alnum, upper) for n in (24, 32, 40) for _ in range(40)]
+    plain = [f(other) for f in (snake, camel) for _ in range(120)] + ["-" * 40, "=" * 30, "_" * 25, "-=" * 20, "0" * 30]
+    asked = [(i, f"see {t} there") for i, t in enumerate(hidden + plain)]
+    got = by_id(secrets.scan(spark.createDataFrame(asked, "doc_id long, text string"), model), "n_markov")
+    assert sum(got[i][0] for i in range(len(hidden))) >= 0.95 * len(hidden)
+    assert sum(got[i][0] for i in range(len(hidden), len(asked))) <= 0.05 * len(plain)
+
+
 def luhn(d):
     return sum(x - 9 * (x > 9) for i, c in enumerate(reversed(d)) for x in [int(c) * (1 + i % 2)]) % 10 == 0
 
@@ -309,7 +362,7 @@ def test_suffix_tree_tests_rare_contexts(spark):
     for k in range(1, 6):
         for c, n in follow[k].items():
             p[c] = {}
-            if sum(m * math.log(m / sum(n.values()) / chance(c[1:], x)) for x, m in n.items()) >= 60:
+            if sum(m * math.log(m / sum(n.values()) / chance(c[1:], x)) for x, m in n.items()) >= suffix_lm.DIVERGENCE:
                 kept |= {c[j:] for j in range(k)}
     rare = [c for c in kept if c and sum(follow[len(c)][c].values()) < 1e-4 * sum(root.values())]
     assert rare
