@@ -11,9 +11,9 @@ From keys to components without all pairs of a group:
 2. Each key pairs its documents with the key's smallest id only. Pairs with near signatures are
    confirmed on the full shingle sets, and the components of the confirmed links are found.
 3. Keys that still hold two or more components compare documents across components. Both sides are
-   cut into blocks, so a group is one block against one, of bounded size, and carries signatures
-   only; a bottom-k sketch, joined to the pairs that remain, sorts out most of them before full sets
-   are read. What it lets through is confirmed on full sets, and the components are found anew.
+   cut into blocks, so a group is one block against one, of bounded size; a bottom-k sketch sorts out
+   most pairs there, before any is handed on. What it lets through is confirmed on full sets, and the
+   components are found anew.
 """
 
 from __future__ import annotations
@@ -137,8 +137,32 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _pairs_across(key, stray, home, rep, comp, n, sig, cuts) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a guest and a home row of one group whose components differ and whose sizes and signatures are near."""
+def _sketches_near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sketches, one a row, leave it open that sets of n and m shingles are linked.
+
+    Rows are sorted; places beyond a set's size hold values above 2^32, no two alike in x and y.
+    """
+    both = np.sort(np.concatenate((x, y), 1), 1)
+    twice = np.zeros(both.shape, bool)
+    twice[:, 1:] = both[:, 1:] == both[:, :-1]
+    rank = np.cumsum(~twice, 1)  # of distinct values
+    whole = np.maximum(n, m) <= SKETCH
+    limit = np.where(whole, 2 * SKETCH, np.minimum(np.minimum(n, m), SKETCH))
+    common = (twice & (rank <= limit[:, None])).sum(1)
+    union = np.where(whole, n + m - common, limit)
+    return common >= union * (SIMILAR / 100 - np.where(whole, 0.01, SKETCH_MARGIN))
+
+
+def _padded(sketches: list[bytes], pad: int) -> np.ndarray:
+    out = np.tile(np.arange(SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64((1 << 32) + pad), (len(sketches), 1))
+    for row, s in zip(out, sketches, strict=True):
+        v = np.frombuffer(s, np.uint32)
+        row[: len(v)] = v
+    return out
+
+
+def _pairs_across(key, stray, home, rep, comp, n, sig, sketch, cuts) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a guest and a home row of one group whose components differ and whose sizes, signatures and sketches are near."""
     group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
     homes = np.bincount(group[home], minlength=len(cuts) - 1)  # they come first in each group
     guests = np.flatnonzero(~home)
@@ -155,8 +179,12 @@ def _pairs_across(key, stray, home, rep, comp, n, sig, cuts) -> tuple[np.ndarray
         # a pair is taken under the first key it shares
         chunk = (by.sum(2) >= PER_CHUNK - 1).argmax(1)
         first = chunk * PER_CHUNK + by[np.arange(len(x)), chunk].argmin(1) == key[x] >> 48
-        a.append(np.minimum(rep[x], rep[y])[first])
-        b.append(np.maximum(rep[x], rep[y])[first])
+        x, y = x[first], y[first]
+        for k in range(0, len(x), 2048):
+            p, q = x[k : k + 2048], y[k : k + 2048]
+            near = _sketches_near(_padded(sketch[p], 0), _padded(sketch[q], 1), n[p], n[q])
+            a.append(np.minimum(rep[p], rep[q])[near])
+            b.append(np.maximum(rep[p], rep[q])[near])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
 
 
@@ -167,7 +195,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hb, gb, stray, home, rep, comp, n = (t.column(c).to_numpy() for c in range(8))
         cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (hb[1:] != hb[:-1]) | (gb[1:] != gb[:-1]), [True])))
         sig = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        a, b = _pairs_across(key, stray, home, rep, comp, n, sig, cuts)
+        sketch = np.array([*t.column(9).to_pylist(), None], object)[:-1]
+        a, b = _pairs_across(key, stray, home, rep, comp, n.astype(np.int64), sig, sketch, cuts)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     rest = None
@@ -189,19 +218,6 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(rest)
 
 
-def _sketches_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) whose sketches, and with them perhaps their sets, are near enough."""
-    for batch in batches:
-        keep = []
-        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            whole = max(n, m) <= SKETCH
-            union = np.union1d(x, y)[: None if whole else min(SKETCH, len(x), len(y))]
-            both = len(np.intersect1d(np.intersect1d(x, y, True), union, True))
-            keep.append(both >= len(union) * (SIMILAR / 100 - (0.01 if whole else SKETCH_MARGIN)))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable over edges (a, b), by alternating large and small stars.
 
@@ -238,7 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles int, set_hash binary, sig binary, sketch binary"), "signed")
-    same = signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
+    # a table of its own, so that the join can split a set that many documents have
+    same = written(signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets")
     some = signed.where("set_hash is not null").select("doc_id", "n_shingles", "set_hash").join(same, "set_hash").select("doc_id", "n_shingles", "rep")
     every = written(some.union(signed.where("set_hash is null").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))), "classes")
     reps = signed.where("set_hash is not null").join(every.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
@@ -269,11 +286,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     homes = left.select("key", "rep", "comp", "stray", block("blocks", 1).alias("hb"), each("guests").alias("gb"), F.lit(True).alias("home"))
     guests = left.where("stray").select("key", "rep", "comp", "stray", each("blocks").alias("hb"), block("guests", 2).alias("gb"), F.lit(False).alias("home"))
-    placed = homes.unionByName(guests).join(reps.select("rep", "n_shingles", "sig"), "rep")
-    dealt = placed.select("key", "hb", "gb", "stray", "home", "rep", "comp", "n_shingles", "sig").repartition("key", "hb", "gb").sortWithinPartitions("key", "hb", "gb", F.desc("home"))
-    near = dealt.mapInArrow(_across, "a long, b long").distinct()
-    x, y = (reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-    more = near.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_sketches_near, "a long, b long")
+    placed = homes.unionByName(guests).join(reps, "rep")
+    dealt = placed.select("key", "hb", "gb", "stray", "home", "rep", "comp", "n_shingles", "sig", "sketch").repartition("key", "hb", "gb").sortWithinPartitions("key", "hb", "gb", F.desc("home"))
+    more = dealt.mapInArrow(_across, "a long, b long").distinct()
     again = written(confirmed(more, sets), "links")
     final = components(links.unionByName(again)).withColumnRenamed("id", "rep")
     out = every.join(final, "rep", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
