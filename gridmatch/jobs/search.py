@@ -72,6 +72,7 @@ def _keep_nearest(grids: np.ndarray, masks: np.ndarray, ids: np.ndarray, keep: i
                 s = b.slice(i, ROWS)
                 record = s.column(0).to_numpy()
                 words = np.stack([s.column(k + 1).to_numpy() for k in range(B.WORDS)], 1)
+                entered = np.zeros(len(record), bool)  # words are kept of rows that some list took
                 for k in range(len(ids)):
                     wrong = np.bitwise_count((words ^ grids[k]) & masks[k]).sum(1).astype(np.int64)
                     d, r = best[k]
@@ -79,13 +80,15 @@ def _keep_nearest(grids: np.ndarray, masks: np.ndarray, ids: np.ndarray, keep: i
                         near = np.flatnonzero((wrong < d[-1]) | ((wrong == d[-1]) & (record < r[-1])))
                         if not len(near):
                             continue
+                        entered[near] = True
                         d, r = np.concatenate((d, wrong[near])), np.concatenate((r, record[near]))
                     else:
+                        entered[:] = True
                         d, r = np.concatenate((d, wrong)), np.concatenate((r, record))
                     order = np.lexsort((r, d))[:keep]
                     best[k] = d[order], r[order]
-                wanted = {x for _, r in best for x in r.tolist()} if len(kept) + len(record) > 4 * keep * len(ids) else None
-                kept.update(zip(record.tolist(), words, strict=True))
+                wanted = {x for _, r in best for x in r.tolist()} if len(kept) + int(entered.sum()) > 4 * keep * len(ids) else None
+                kept.update(zip(record[entered].tolist(), words[entered], strict=True))
                 if wanted is not None:
                     kept = {x: v for x, v in kept.items() if x in wanted}
         for t, (d, r) in zip(ids.tolist(), best, strict=True):
@@ -134,6 +137,27 @@ def top(rows: DataFrame, keep: int = RESULTS) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
 
 
+def merged_top(packed: DataFrame, older: DataFrame, keep: int = RESULTS) -> DataFrame:
+    """The best of both indexes' results (target_id, id, score, place): by score, packed first, then place."""
+    both = packed.select("target_id", "id", "score", "place", F.lit(0).alias("side")).unionByName(older.select("target_id", "id", "score", "place", F.lit(1).alias("side")))
+    w = W.partitionBy("target_id").orderBy(F.desc("score"), "side", "place")
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("target_id", "rank", "id", "score")
+
+
+def turned_shortlist(gallery: DataFrame, targets: DataFrame, keep: int = RESULTS) -> DataFrame:
+    """The `keep` records with fewest mismatches over four turns: target_id, record_no, known, mismatch.
+
+    Each turn of a target is searched as a target of its own; the best of all turns are among the
+    best of each, so only those meet.
+    """
+    turned = rotations(targets).withColumn("target_id", F.col("target_id") * 4 + F.col("turns"))
+    found = shortlist(gallery, turned, keep).select(F.floor(F.col("target_id") / 4).alias("target_id"), "record_no", "mismatch")
+    best = found.groupBy("target_id", "record_no").agg(F.min("mismatch").alias("mismatch"))
+    w = W.partitionBy("target_id").orderBy("mismatch", "record_no")
+    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+    return best.join(targets.select("target_id", "known"), "target_id").select("target_id", "record_no", "known", "mismatch")
+
+
 def named(rows: DataFrame, gallery: DataFrame, sources: DataFrame) -> DataFrame:
     """Record id, display name, code and the high-confidence mark of result rows."""
     d = rows.select("target_id", "rank", "record_no", "score", "tolerant", "final").join(gallery.select("record_no", "source_id", "page", "item_index", "code"), "record_no", "left")

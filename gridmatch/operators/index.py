@@ -110,3 +110,8 @@ def preferred_grids(items: DataFrame, sidecar: DataFrame) -> DataFrame:
 def to_backfill(items: DataFrame, sidecar: DataFrame) -> DataFrame:
     """Items that the sidecar lacks."""
     return items.join(sidecar.select("id"), "id", "left_anti")
+
+
+def backfill_counts(rows: DataFrame) -> DataFrame:
+    """How many rows a backfill kept, built, skipped or failed."""
+    return rows.groupBy("status").agg(F.count("*").alias("n"))

@@ -156,12 +156,7 @@ def _turned_sql(p: str, turn: int) -> str:
 )
 def rotated_match_top5(spark, sf_dir):
     """Best over four turns of the candidate: the target is turned instead."""
-    t = _targets(spark, sf_dir)
-    turned = S.rotations(t).join(t.select("target_id", "known"), "target_id")
-    pairs = X.gallery(spark, sf_dir).crossJoin(F.broadcast(turned)).select("target_id", "record_no", "known", B.mismatches(S.T, S.M, S.G).alias("mismatch"))
-    best = pairs.groupBy("target_id", "record_no", "known").agg(F.min("mismatch").alias("mismatch"))
-    w = W.partitionBy("target_id").orderBy("mismatch", "record_no")
-    best = best.withColumn("n", F.row_number().over(w)).where("n <= 5")
+    best = S.turned_shortlist(X.gallery(spark, sf_dir), _targets(spark, sf_dir))
     return best.select("target_id", "record_no", B.percent(F.col("known") - F.col("mismatch"), F.col("known")).alias("score"))
 
 
@@ -329,7 +324,8 @@ def distinct_targets(spark, sf_dir):
     """Of equal grids (cells and mask) only the first stays; each is there twice."""
     t = X.targets(spark, sf_dir).withColumn("group_id", F.lit(1))
     twice = t.unionByName(t.withColumn("target_id", F.col("target_id") + 1_000_000))
-    return S.distinct_grids(twice).select("target_id", F.lit(2).cast("bigint").alias("n"))
+    same = W.partitionBy("group_id", *S.T, *S.M)
+    return S.distinct_grids(twice.withColumn("n", F.count("*").over(same))).select("target_id", "n")
 
 
 @query(f"WITH {X.GALLERY_SQL}, c AS (SELECT record_no, i % 21 AS x, i // 21 AS y FROM (SELECT record_no, i, {CELL('w')} AS v FROM gallery, range(441) r(i)) WHERE v = 1), b AS (SELECT record_no, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM c GROUP BY record_no) SELECT record_no, w >= 0.68e0 * 21 AND h >= 0.68e0 * 21 AND w / CAST(h AS DOUBLE) BETWEEN 0.7e0 AND 1.45e0 AS square FROM b")
@@ -356,3 +352,26 @@ def attached_codes(spark, sf_dir):
     at = written(d.withColumn("w", within).join(starts, "part").select("doc_id", "code", (F.col("start") + F.col("w")).alias("offset")), "codes")
     records = at.select("doc_id", F.col("offset").alias("code_offset"), F.octet_length("code").alias("code_length"))
     return I.with_codes(records, at.select("offset", "code")).select("doc_id", "code")
+
+
+@query(
+    "WITH p AS (SELECT doc_id % 50 AS target_id, 'qrbin:' || doc_id AS id, CAST(n_chars % 97 AS DOUBLE) AS score, 0 AS side, doc_id AS place FROM documents UNION ALL SELECT doc_id % 50, 'item-' || doc_id, CAST(n_chars % 89 AS DOUBLE), 1, doc_id FROM documents) "
+    "SELECT target_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY score DESC, side, place) AS INT) AS rank, id, score FROM p QUALIFY rank <= 5"
+)
+def merged_results(spark, sf_dir):
+    """The five best of both indexes' results for each target."""
+    i = F.col("doc_id")
+    d = X.table(spark, sf_dir, "documents")
+    of = lambda prefix, most: d.select((i % 50).alias("target_id"), F.concat(F.lit(prefix), i).alias("id"), (F.col("n_chars") % most).cast("double").alias("score"), i.alias("place"))
+    return S.merged_top(of("qrbin:", 97), of("item-", 89))
+
+
+@query(
+    "WITH s AS (SELECT vec_id, CASE WHEN embedding IS NULL OR len(embedding) <> 64 THEN 'failed' WHEN vec_id % 3 = 0 THEN 'kept' ELSE 'built' END AS status FROM embeddings) "
+    "SELECT status, count(*) AS n FROM s GROUP BY status"
+)
+def backfill_report(spark, sf_dir):
+    """Features of one raster in three are known; the rest is computed now, and counted by outcome."""
+    rasters = X.rasters(spark, sf_dir)
+    known = V.raster_features(rasters.where("vec_id % 3 = 0 and size(pixels) = 64"))
+    return I.backfill_counts(V.backfilled(rasters, known))

@@ -38,6 +38,6 @@ def search_queue(targets: DataFrame, search: Callable[[DataFrame], DataFrame], r
 
 
 def unfinished(pages: DataFrame, written: DataFrame) -> DataFrame:
-    """Pages of sources that are not all written, from the first page after the last whole one."""
-    done = written.groupBy("source_hash").agg(F.max("page").alias("_done"))
-    return pages.join(done, "source_hash", "left").where(F.col("page") > F.coalesce("_done", F.lit(0))).drop("_done")
+    """Pages (source_hash, page, items) of which not all items are written, half-written ones too."""
+    done = written.groupBy("source_hash", "page").agg(F.countDistinct("item").alias("_done"))
+    return pages.join(done, ["source_hash", "page"], "left").where(F.coalesce("_done", F.lit(0)) < F.col("items")).drop("_done")

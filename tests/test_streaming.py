@@ -5,12 +5,14 @@ def test_resume_adds_nothing_twice(spark, tmp_path):
     src, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "source_hash string, page int, item int, v int"
     rows = [("a", p, i, p * 10 + i) for p in (1, 2) for i in (1, 2)]
     spark.createDataFrame(rows[:3], schema).write.parquet(out)  # a half-written page
+    expected = spark.createDataFrame([("a", 1, 2), ("a", 2, 2), ("a", 3, 1), ("b", 1, 1)], "source_hash string, page int, items int")
+    assert sorted(r["page"] for r in imports.unfinished(expected, spark.read.parquet(out)).where("source_hash = 'a'").collect()) == [2, 3]
     spark.createDataFrame(rows, schema).write.parquet(src)
     for n in (1, 2):
         imports.resumable_import(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / f"cp{n}")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == rows
-    left = imports.unfinished(spark.createDataFrame([("a", 2), ("a", 3), ("b", 1)], "source_hash string, page int"), spark.read.parquet(out))
-    assert sorted(map(tuple, left.collect())) == [("a", 3), ("b", 1)]
+    left = imports.unfinished(expected, spark.read.parquet(out))
+    assert sorted((r["source_hash"], r["page"]) for r in left.collect()) == [("a", 3), ("b", 1)]
 
 
 def test_queue_answers_once(spark, tmp_path):
