@@ -102,12 +102,12 @@ def _keep_nearest(grids: np.ndarray, masks: np.ndarray, ids: np.ndarray, keep: i
 def shortlist(gallery: DataFrame, targets: DataFrame, keep: int = SHORTLIST) -> DataFrame:
     """The `keep` records with fewest mismatches for each target, ties to the smaller record_no.
 
-    Blocks of targets are read from the (small) target table; each is a pass over the gallery words.
+    Targets are dealt over blocks of about BLOCK by a hash; each block is a pass over the gallery words.
     """
     words = gallery.select("record_no", *[f"w{k}" for k in range(B.WORDS)])
     names = [f"{p}{k}" for p in "tm" for k in range(B.WORDS)]
-    numbered = targets.withColumn("_block", F.floor((F.row_number().over(W.orderBy("target_id")) - 1) / BLOCK))
-    blocks = targets.count() // BLOCK + 1
+    blocks = max(1, -(-targets.count() // BLOCK))
+    numbered = targets.withColumn("_block", F.pmod(F.xxhash64("target_id"), F.lit(blocks)))
     out = None
     schema = "target_id long, record_no long, mismatch long, " + ", ".join(f"w{k} long" for k in range(B.WORDS))
     for b in range(blocks):

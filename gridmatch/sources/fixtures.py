@@ -58,10 +58,10 @@ GALLERY_SQL = f"gallery AS (SELECT doc_id AS record_no, CAST(doc_id % 100 AS INT
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document in 97 is searched for, damaged; one in 97 is hardly known at all."""
+    """Every document whose id is divisible by 20 is searched for, damaged; one in 97 of the others is hardly known."""
     i = F.col("doc_id")
-    sparse = i % 97 == 1
-    d = table(spark, sf_dir, "documents").where((i % 97).isin(0, 1)).select("doc_id")
+    sparse = i % 20 != 0
+    d = table(spark, sf_dir, "documents").where((i % 20 == 0) | (i % 97 == 1)).select("doc_id")
     masks = [F.when(sparse, all_of(i, SPARSE, k)).otherwise(word(i, "m1", k).bitwiseOR(word(i, "m2", k))).alias(f"m{k}") for k in range(WORDS)]
     d = d.select("doc_id", *masks)
     seen = [word(i, "g", k).bitwiseXOR(all_of(i, FLIPS, k)).bitwiseAND(F.col(f"m{k}")).alias(f"t{k}") for k in range(WORDS)]
@@ -69,7 +69,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TARGETS_SQL = (
-    f"masks AS (SELECT doc_id, {', '.join(f'CASE WHEN doc_id % 97 = 1 THEN {all_of_sql("doc_id", SPARSE, k)} ELSE {word_sql("doc_id", "m1", k)} | {word_sql("doc_id", "m2", k)} END AS m{k}' for k in range(WORDS))} FROM documents WHERE doc_id % 97 IN (0, 1)), "
+    f"masks AS (SELECT doc_id, {', '.join(f'CASE WHEN doc_id % 20 <> 0 THEN {all_of_sql("doc_id", SPARSE, k)} ELSE {word_sql("doc_id", "m1", k)} | {word_sql("doc_id", "m2", k)} END AS m{k}' for k in range(WORDS))} FROM documents WHERE doc_id % 20 = 0 OR doc_id % 97 = 1), "
     f"targets AS (SELECT doc_id AS target_id, {', '.join(f'xor({word_sql("doc_id", "g", k)}, {all_of_sql("doc_id", FLIPS, k)}) & m{k} AS t{k}' for k in range(WORDS))}, {', '.join(f'm{k}' for k in range(WORDS))} FROM masks)"
 )
 
