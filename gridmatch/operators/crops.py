@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import labelled, measured
+
 #: Distance within which positions are one row or column, in page pixels.
 TOLERANCE = 60.0
 SCHEMA = "page_id long, index int, text string, left int, top int, width int, height int"
@@ -54,6 +59,65 @@ def crops_from_text(items: DataFrame, page_width: float = 900, page_height: floa
     return trimmed.select("page_id", "str", "x", "y", "width", "height").groupBy("page_id").applyInPandas(one_page, SCHEMA)
 
 
+def dilated(bits: np.ndarray, radius: int) -> np.ndarray:
+    """Set where a pixel of the square of that radius is set."""
+    for axis in (0, 1):
+        total = np.cumsum(np.insert(bits.astype(np.int32), 0, 0, axis), axis)
+        k = np.arange(bits.shape[axis])
+        bits = total.take(np.minimum(k + radius + 1, len(k)), axis) > total.take(np.maximum(k - radius, 0), axis)
+    return bits
+
+
+def pixel_boxes(gray: np.ndarray) -> np.ndarray:
+    """left, top, width and height of what looks like a code on a page, in reading order.
+
+    Rows are told apart by 20 pixels from their first box down.
+    """
+    high, wide = gray.shape
+    black = gray < 105
+    radius = max(2, int(wide / 450 + 0.5))
+    number, many = labelled(dilated(black, radius))
+    r = measured(number, many)
+    ink = np.bincount(number[black], minlength=many + 1)[1:]
+    box = [r[c].astype(int) for c in ("left", "top", "width", "height")]
+    within = lambda v: (v >= max(42, wide * 0.045)) & (v <= max(90, wide * 0.19))
+    fits = within(box[2]) & within(box[3]) & (r["ratio"] >= 0.74) & (r["ratio"] <= 1.26) & (ink >= 0.06 * r["area"])
+    left, top, w, h = (b[fits] for b in box)
+    side = np.maximum(w, h) + radius * 3
+    x, y = (np.maximum(0, np.floor(a + (b - 1) / 2 - side / 2 + 0.5).astype(int)) for a, b in ((left, w), (top, h)))
+    boxes = np.stack([x, y, np.minimum(side, wide - x), np.minimum(side, high - y)], 1)
+    return boxes[_reading_order(x, y)]
+
+
+def _reading_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    row, start = np.zeros(len(y), int), None
+    for k in np.lexsort((x, y)):
+        if start is None or y[k] - start[0] > 20:
+            start = (y[k], 0 if start is None else start[1] + 1)
+        row[k] = start[1]
+    return np.lexsort((y, x, row))
+
+
+def crops_from_pixels(pages: DataFrame) -> DataFrame:
+    """Crops of page rasters (page_id, page_width, pixels: gray bytes, row by row); text is null.
+
+    A page whose bytes are null, empty or no whole number of rows has no crops.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                page, wide, raw = (b.column(c)[i].as_py() for c in range(3))
+                if raw and wide and wide > 0 and len(raw) % wide == 0:
+                    boxes = pixel_boxes(np.frombuffer(raw, np.uint8).reshape(-1, wide))
+                    if len(boxes):
+                        n = len(boxes)
+                        yield pa.RecordBatch.from_arrays([pa.array([page] * n, pa.int64()), pa.array(range(1, n + 1), pa.int32()), pa.nulls(n, pa.string()), *[pa.array(boxes[:, k].astype(np.int32)) for k in range(4)]], names)
+
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return pages.select(F.col("page_id").cast("long"), F.col("page_width").cast("int"), "pixels").mapInArrow(run, SCHEMA)
+
+
 def chosen_crops(from_text: DataFrame, from_pixels: DataFrame) -> DataFrame:
     """Crops from text where a page has any, else those from pixels."""
     return from_text.unionByName(from_pixels.join(from_text.select("page_id").distinct(), "page_id", "left_anti"))

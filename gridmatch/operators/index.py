@@ -33,6 +33,16 @@ def new_files(files: DataFrame, known: DataFrame, mode: str) -> DataFrame:
     return fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+def pdfs_to_import(files: DataFrame, states: DataFrame, sources: DataFrame, mode: str) -> DataFrame:
+    """PDF files, without those whose content was completed in this mode or is a source with records and no state.
+
+    states: hash, status, mode; sources: hash, item_count. A file without a hash stays.
+    """
+    done = states.where((F.col("status") == "completed") & (F.col("mode") == mode)).select("hash")
+    older = sources.where(F.col("item_count") > 0).select("hash").join(states.select("hash"), "hash", "left_anti")
+    return files.where(extension(F.col("path")) == ".pdf").join(done.union(older).distinct(), "hash", "left_anti")
+
+
 def item_id(path: Column, hash_: Column) -> Column:
     return F.substring(F.sha1(F.encode(F.concat_ws("|", path, hash_), "UTF-8")), 1, 16)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .functions import bits as B
+from .jobs import fine as FS
 from .jobs import search as S
 from .operators import crops as C
 from .operators import features as V
@@ -375,3 +376,67 @@ def backfill_report(spark, sf_dir):
     rasters = X.rasters(spark, sf_dir)
     known = V.raster_features(rasters.where("vec_id % 3 = 0 and size(pixels) = 64"))
     return I.backfill_counts(V.backfilled(rasters, known))
+
+
+_AREA = "px2 AS (SELECT vec_id, x, y, CAST(p < mean AS INT) AS bit, CASE WHEN avg(CAST(abs(p - mean) >= 18 AS INT)) OVER (PARTITION BY vec_id) < 0.35e0 THEN 1 ELSE CAST(abs(p - mean) >= 18 AS INT) END AS sure FROM px)"
+
+
+@query(
+    f"WITH {X.RASTERS_SQL}, {_PX}, {_AREA}, c AS (SELECT vec_id, y // 2 * 4 + x // 2 AS k, CAST(sum(bit) / 4e0 >= 0.5e0 AS INT) AS v, CAST(sum(sure) / 4e0 >= 0.45e0 AS INT) AS s FROM px2 GROUP BY ALL), "
+    "g AS (SELECT vec_id, string_agg(CAST(v AS VARCHAR), '' ORDER BY k) AS cells, string_agg(CAST(s AS VARCHAR), '' ORDER BY k) AS known FROM c GROUP BY 1), "
+    "b AS (SELECT vec_id, coalesce(min(x) FILTER (bit = 1), 0) || ' ' || coalesce(min(y) FILTER (bit = 1), 0) || ' ' || coalesce(max(x) FILTER (bit = 1), 7) || ' ' || coalesce(max(y) FILTER (bit = 1), 7) AS box FROM px2 GROUP BY 1) "
+    "SELECT vec_id, cells, known, box FROM g JOIN b USING (vec_id)"
+)
+def area_grids(spark, sf_dir):
+    """Cells by area with their masks, and the box of the black pixels."""
+    box = F.array_join(F.transform("box", lambda v: v.cast("string")), " ")
+    return V.raster_features(X.rasters(spark, sf_dir)).select("vec_id", "cells", "known", box.alias("box"))
+
+
+@query(
+    f"WITH {X.TARGETS_SQL}, c AS (SELECT target_id, i, {CELL('t')} AS v, {CELL('m')} AS s FROM targets, range(441) r(i)) "
+    "SELECT target_id, '<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"260\" height=\"260\" viewBox=\"0 0 260 260\"><rect width=\"100%\" height=\"100%\" fill=\"white\"/><g>' || "
+    "string_agg('<rect x=\"' || (46 + i % 21 * 8) || '\" y=\"' || (46 + i // 21 * 8) || '\" width=\"8\" height=\"8\" fill=\"' || CASE WHEN s = 0 THEN '#b8b8b8' WHEN v = 1 THEN '#000' ELSE '#fff' END || '\"/>', '' ORDER BY i) || '</g></svg>' AS svg FROM c GROUP BY 1"
+)
+def rendered_targets(spark, sf_dir):
+    """Targets as pictures of three states."""
+    return X.targets(spark, sf_dir).select("target_id", R.svg(B.cells(S.T), B.cells(S.M)).alias("svg"))
+
+
+_STATES = f"""f AS (SELECT doc_id AS file_no, CASE WHEN doc_id % 2 = 0 THEN doc_id || '.PDF' ELSE doc_id || '.png' END AS path, sha1(text) AS hash FROM documents),
+states AS (SELECT sha1(text) AS hash, CASE WHEN doc_id % 4 = 0 THEN 'completed' ELSE 'importing' END AS status, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE '{X.MODE}' END AS mode FROM documents WHERE doc_id % 3 = 0),
+known AS (SELECT sha1(text) AS hash, doc_id % 3 AS item_count FROM documents WHERE doc_id % 7 < 3)"""
+
+
+@query(
+    f"WITH {_STATES} SELECT file_no FROM f WHERE path LIKE '%.PDF' AND NOT EXISTS (SELECT 1 FROM states s WHERE s.hash = f.hash AND status = 'completed' AND mode = '{X.MODE}') "
+    "AND NOT EXISTS (SELECT 1 FROM known k WHERE k.hash = f.hash AND item_count > 0 AND NOT EXISTS (SELECT 1 FROM states s WHERE s.hash = k.hash))"
+)
+def pdfs_to_import(spark, sf_dir):
+    i, hash_ = F.col("doc_id"), F.sha1(F.encode("text", "UTF-8")).alias("hash")
+    d = X.table(spark, sf_dir, "documents")
+    files = d.select(i.alias("file_no"), F.concat(i.cast("string"), F.when(i % 2 == 0, ".PDF").otherwise(".png")).alias("path"), hash_)
+    states = d.where(i % 3 == 0).select(hash_, F.when(i % 4 == 0, "completed").otherwise("importing").alias("status"), F.when(i % 5 == 0, "old").otherwise(X.MODE).alias("mode"))
+    sources = d.where(i % 7 < 3).select(hash_, (i % 3).alias("item_count"))
+    return I.pdfs_to_import(files, states, sources, X.MODE).select("file_no")
+
+
+@query(
+    f"WITH {X.GALLERY_SQL}, c AS (SELECT record_no, i % 21 AS x, i // 21 AS y FROM (SELECT record_no, i, {CELL('w')} AS v FROM gallery, range(441) r(i)) WHERE v = 1), "
+    "b AS (SELECT record_no, record_no % 12 % 4 * 220 + 30 + 4 * min(x) - 2 AS x0, record_no % 12 % 4 * 220 + 30 + 4 * max(x) + 5 AS x1, record_no % 12 // 4 * 220 + 30 + 4 * min(y) - 2 AS y0, record_no % 12 // 4 * 220 + 30 + 4 * max(y) + 5 AS y1 FROM c GROUP BY 1), "
+    "s AS (SELECT *, greatest(x1 - x0, y1 - y0) + 7 AS side FROM b) "
+    'SELECT record_no // 12 AS page_id, CAST(row_number() OVER (PARTITION BY record_no // 12 ORDER BY record_no) AS INT) AS "index", CAST(floor((x0 + x1) / 2e0 - side / 2e0 + 0.5e0) AS INT) AS "left", CAST(floor((y0 + y1) / 2e0 - side / 2e0 + 0.5e0) AS INT) AS top, CAST(side AS INT) AS width, CAST(side AS INT) AS height FROM s'
+)
+def crops_from_pixels(spark, sf_dir):
+    """Codes found on pages that show twelve gallery grids each."""
+    pages = R.drawn_pages(X.gallery(spark, sf_dir))
+    return C.crops_from_pixels(pages).select("page_id", "index", "left", "top", "width", "height")
+
+
+@query()
+def fine_nearest(spark, sf_dir):
+    """Gallery grids as images: 200 nearest by features for ids divisible by 20, and the five best of these."""
+    images = R.drawn(X.gallery(spark, sf_dir)).withColumn("width", F.sqrt(F.octet_length("pixels")).cast("int"))
+    items = written(FS.image_features(images), "items")
+    targets = written(FS.image_features(images.where("record_no % 20 = 0"), target=True).withColumnRenamed("record_no", "target_id"), "targets")
+    return FS.fine_top(FS.coarse_list(items, targets, 200), items, targets).select("target_id", "rank", "record_no", "score")
