@@ -436,7 +436,9 @@ def crops_from_pixels(spark, sf_dir):
 @query()
 def fine_nearest(spark, sf_dir):
     """Gallery grids as images: 200 nearest by features for ids divisible by 20, and the five best of these."""
-    images = R.drawn(X.gallery(spark, sf_dir)).withColumn("width", F.sqrt(F.octet_length("pixels")).cast("int"))
+    # 64 bytes a row are spread before each becomes an image, whose features take a core's time.
+    spread = X.gallery(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "record_no")
+    images = R.drawn(spread).withColumn("width", F.sqrt(F.octet_length("pixels")).cast("int"))
     items = written(FS.image_features(images), "items")
     targets = written(FS.image_features(images.where("record_no % 20 = 0"), target=True).withColumnRenamed("record_no", "target_id"), "targets")
     return FS.fine_top(FS.coarse_list(items, targets, 200), items, targets).select("target_id", "rank", "record_no", "score")
