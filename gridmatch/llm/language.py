@@ -84,7 +84,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
         inside = (place[: len(h)] + n <= size[word[: len(h)]]) & ~((seen[: len(h)] == 32) & (n == 1))
         out.append(h[inside] & np.uint32((1 << HASH_BITS) - 1))
         owner.append(word[: len(h)][inside])
-    return np.concatenate(out), np.concatenate(owner)
+    return (np.concatenate(out), np.concatenate(owner)) if out else (np.empty(0, np.uint32), np.empty(0, np.int64))
 
 
 def _ends(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -62,10 +62,10 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     """doc_id, source, size, source_size, target, copies, taken for every document, and its `carried` columns.
 
     A null text has size 0 and a null source is a source of its own. Rows with equal ids are
-    separate documents, ordered arbitrarily among themselves but alike in every column. If all sizes
+    separate documents, ordered by a hash of their texts, so that reruns take the same ones. If all sizes
     are 0 the targets are 0 and nothing is taken; an empty table gives an empty result.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *carried)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"), *carried)
     d = d.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("cell", F.substring("h", 1, 2))
     cells = d.groupBy("source", "size", "cell").agg(F.count("*").alias("n"))
     by_size = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     size_start = by_size.select("source", "size", F.coalesce(F.sum("n").over(start), F.lit(0)).alias("size_start"))
     within = W.partitionBy("source", "size").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     cell_start = cells.select("source", "size", "cell", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("cell_start"))
-    r = d.withColumn("row", F.row_number().over(W.partitionBy("source", "size", "cell").orderBy("h", "doc_id")))
+    r = d.withColumn("row", F.row_number().over(W.partitionBy("source", "size", "cell").orderBy("h", "doc_id", "tie")))
     same = lambda x, y, cols: [x[c].eqNullSafe(y[c]) for c in cols]
     starts = cell_start.join(size_start, same(cell_start, size_start, ["source", "size"])).select(cell_start["source"], cell_start["size"], "cell", (F.col("cell_start") + F.col("size_start")).alias("before"))
     starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"], "size", "cell", "before", "source_size", "target")

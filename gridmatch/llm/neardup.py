@@ -7,8 +7,8 @@ must, by pigeonhole, have a chunk with at most one differing symbol; each chunk
 
 From keys to components without all pairs of a group:
 
-1. Documents with equal shingle sets collapse to their smallest id.
-2. Each key pairs its documents with the key's smallest id only. Pairs with near signatures are
+1. Documents with equal shingle sets collapse to one numbered set.
+2. Each key pairs its sets with the key's smallest number only. Pairs with near signatures are
    confirmed on the full shingle sets, and the components of the confirmed links are found.
 3. Keys that still hold two or more components compare documents across components. Both sides are
    cut into blocks, so a group is one block against one, of bounded size; a bottom-k sketch sorts out
@@ -123,8 +123,8 @@ def _make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = text_bytes(b.column(1))
         for i, j in in_slices(offsets, SLICE):
-            sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
+            sets = [s.tobytes() for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["set_hash", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,21 +245,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: the near-duplicate component of every document.
+    """doc_id, n_shingles, component_id, kept: the near-duplicate component of every row.
 
     A null or empty text, or one without words, has an empty set and is a component of its own.
-    Repeated rows and ties collapse to one set; an empty table gives an empty result. Rows without
-    an id take no part. Ids are whole numbers; other columns are ignored.
+    Rows that repeat an id are one document with the texts of all of them: what is linked to any of
+    them is linked to all. Rows without an id have no component (null), link nothing and are kept.
+    An empty table gives an empty result. Ids are whole numbers; other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles int, set_hash binary, sig binary, sketch binary"), "signed")
-    # a table of its own, so that the join can split a set that many documents have
-    same = written(signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets")
-    some = signed.where("set_hash is not null").select("doc_id", "n_shingles", "set_hash").join(same, "set_hash").select("doc_id", "n_shingles", "rep")
-    every = written(some.union(signed.where("set_hash is null").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))), "classes")
-    reps = signed.where("set_hash is not null").join(every.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
-    reps = written(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "sketch"), "reps")
+    having = signed.where("doc_id is not null and set_hash is not null")
+    # distinct sets get numbers, which are settled when the table is written
+    same = having.groupBy("set_hash").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id())
+    same = written(same, "sets")
+    numbered = having.select("doc_id", "n_shingles", "set_hash", "sig", "sketch").join(same, "set_hash")
+    every = written(numbered.select("doc_id", "n_shingles", "rep", "least"), "classes")
+    # one row of each set stands for it: equal sets have equal signatures
+    reps = written(numbered.where("doc_id = least").dropDuplicates(["rep"]).select("rep", "n_shingles", "sig", "sketch"), "reps")
 
     keys = reps.select("rep", "sig").mapInArrow(_index, "key long, rep long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
@@ -270,9 +273,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.join(x, "a").join(y, "b").where(100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
     pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long")
 
-    wanted = texts.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(wanted.mapInArrow(_make_sets, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
-    links = written(confirmed(pairs, sets), "links")
+    # the texts of the sets that share a key: of each, those of the rows with its least id
+    met = held.select("rep").distinct().join(same, "rep").select("rep", "set_hash", F.col("least").alias("doc_id"))
+    sets = texts.join(met.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_make_sets, "set_hash binary, shingles binary")
+    sets = written(sets.dropDuplicates(["set_hash"]).join(met.select("rep", "set_hash"), "set_hash").select("rep", "shingles"), "sets")
+    links = confirmed(pairs, sets)
+    # texts of one id go together
+    several = every.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a <> last").select("doc_id", "a")
+    links = written(links.unionByName(every.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()), "links")
     comps = components(links)
 
     held = held.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -291,6 +299,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = dealt.mapInArrow(_across, "a long, b long").distinct()
     again = written(confirmed(more, sets), "links")
     final = components(links.unionByName(again)).withColumnRenamed("id", "rep")
-    out = every.join(final, "rep", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
+    # components go by the numbers of sets; their name is the least id of any of theirs
+    named = same.join(final, "rep", "left").select("rep", "least", F.coalesce("comp", "rep").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    by_set = named.join(least, "comp").select("rep", "component_id")
+    out = every.join(by_set, "rep").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
+    # a row without words is where its id's other texts are, if it has any
+    bare = signed.where("doc_id is not null and set_hash is null").select("doc_id")
+    placed = out.join(bare.distinct(), "doc_id", "left_semi").select("doc_id", "component_id").distinct()
+    bare = bare.join(placed, "doc_id", "left").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    lost = signed.where("doc_id is null").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(bare).unionByName(lost).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -408,3 +408,38 @@ def test_pipeline(spark, docs, empty):
     for _, stage in cp.STAGES:
         e = stage(spark, e, "")
     assert e.count() == 0
+
+
+def test_slices_without_words(spark, empty):
+    rows = [(i, "the and was of to in that", "en") for i in range(30)] + [(i, "der und ist nicht groß", "de") for i in range(30, 60)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for texts in ([None], [""], ["the and was of " * 45_000, ""], ["  ", None, "12"]):
+        asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = by_id(language.identify(asked, model), "lang_pred", "score")
+        assert all(got[i] == ("und", 0.0) for i, t in enumerate(texts) if not t or len(t) < 9)
+    lost = language.identify(spark.createDataFrame([(None, "the and was of")], "doc_id long, text string"), model).first()
+    assert lost["lang_pred"] == "en" and spark.range(1).select(language.held_out(F.lit(None).cast("long"))).first()[0] is None
+
+
+def test_several_texts_of_one_id(spark):
+    """Against components found by brute force over ids, with rows without an id or without words."""
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (8, c), (9, c), (9, b), (9, None), (10, None), (None, a), (None, None), (11, ""), (12, c + " z"), (12, c + " z")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    shingles = lambda t: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set()
+    comp = {i: i for i, _ in rows if i is not None}
+    for _ in range(6):
+        for i, s in rows:
+            for j, t in rows:
+                x, y = shingles(s), shingles(t)
+                if None not in (i, j) and (i == j or x and 100 * len(x & y) >= 75 * len(x | y)):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    want = [(i, len(shingles(t)), comp.get(i), i is None or comp[i] == i) for i, t in rows]
+    key = lambda r: tuple(repr(v) for v in r)
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_shingles", "component_id", "kept")) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_mix_takes_the_same_rows_again(spark):
+    rows = [(1, f"t{i} a b", "s0") for i in range(40)] + [(i, "x y z w", "s1") for i in range(9)]
+    took = [sorted(r["text"] for r in mixing.mixed(spark.createDataFrame(g.sample(rows, len(rows)), "doc_id long, text string, source string").repartition(n)).collect()) for g, n in ((random.Random(1), 2), (random.Random(2), 5))]
+    assert took[0] == took[1]
