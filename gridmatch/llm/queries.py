@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, personal, pieces, secrets, suffix_lm
+from . import dialogue, language, personal, pieces, secrets, suffix_lm
 from .common import table
+from .filter_audit import AUDIT_SQL, audit
 from .forest import nearest
 from .jpeg import media_column, media_features
 from .mixing import MIX_SQL, mix
@@ -60,6 +61,14 @@ def op10_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_dial_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_forest": op1_prefix_forest,
     "op2_systematic_mix": op2_systematic_mix,
@@ -71,8 +80,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_hamming": op8_minhash_hamming,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_suffix_array_pieces": op10_suffix_array_pieces,
+    "op11_dial_conversation_repair": op11_dial_conversation_repair,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op2_systematic_mix": MIX_SQL,
+    "op11_dial_conversation_repair": dialogue.REPORT_SQL,
+    "op13_filter_audit": AUDIT_SQL,
 }
