@@ -119,7 +119,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select([0, 1]).filter(pa.array((x != y).sum(1) <= MAX_DISTANCE))
 
 
-def _make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = text_bytes(b.column(1))
         for i, j in in_slices(offsets, SLICE):
@@ -127,14 +127,17 @@ def _make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["set_hash", "shingles"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= SIMILAR * (len(p) + len(q) - both))
-        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _confirm(similar: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(100 * both >= similar * (len(p) + len(q) - both))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _sketches_near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -238,10 +241,32 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough, in percent."""
     x, y = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(similar), "a long, b long")
+
+
+def numbered_sets(having: DataFrame) -> DataFrame:
+    """set_hash, least, rep: distinct sets, their least doc_id, and a number that is settled when the table is written."""
+    return written(having.groupBy("set_hash").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "sets")
+
+
+def by_document(signed: DataFrame, every: DataFrame, same: DataFrame, comps: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of all rows, from the components (id, comp) of sets by number.
+
+    A component's name is the least id of any of its sets. A row without words is where its id's
+    other texts are, if it has any; a row without an id has no component.
+    """
+    named = same.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "least", F.coalesce("comp", "rep").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    size = F.col("n_shingles").cast("long").alias("n_shingles")
+    out = every.join(named.join(least, "comp").select("rep", "component_id"), "rep").select("doc_id", size, "component_id")
+    bare = signed.where("doc_id is not null and set_hash is null").select("doc_id")
+    placed = out.join(bare.distinct(), "doc_id", "left_semi").select("doc_id", "component_id").distinct()
+    bare = bare.join(placed, "doc_id", "left").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    lost = signed.where("doc_id is null").select("doc_id", size, F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(bare).unionByName(lost)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,9 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles int, set_hash binary, sig binary, sketch binary"), "signed")
     having = signed.where("doc_id is not null and set_hash is not null")
-    # distinct sets get numbers, which are settled when the table is written
-    same = having.groupBy("set_hash").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id())
-    same = written(same, "sets")
+    same = numbered_sets(having)
     numbered = having.select("doc_id", "n_shingles", "set_hash", "sig", "sketch").join(same, "set_hash")
     every = written(numbered.select("doc_id", "n_shingles", "rep", "least"), "classes")
     # one row of each set stands for it: equal sets have equal signatures
@@ -275,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the texts of the sets that share a key: of each, those of the rows with its least id
     met = held.select("rep").distinct().join(same, "rep").select("rep", "set_hash", F.col("least").alias("doc_id"))
-    sets = texts.join(met.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_make_sets, "set_hash binary, shingles binary")
+    sets = texts.join(met.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(whole_sets, "set_hash binary, shingles binary")
     sets = written(sets.dropDuplicates(["set_hash"]).join(met.select("rep", "set_hash"), "set_hash").select("rep", "shingles"), "sets")
     links = confirmed(pairs, sets)
     # texts of one id go together
@@ -298,15 +321,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = placed.select("key", "hb", "gb", "stray", "home", "rep", "comp", "n_shingles", "sig", "sketch").repartition("key", "hb", "gb").sortWithinPartitions("key", "hb", "gb", F.desc("home"))
     more = dealt.mapInArrow(_across, "a long, b long").distinct()
     again = written(confirmed(more, sets), "links")
-    final = components(links.unionByName(again)).withColumnRenamed("id", "rep")
-    # components go by the numbers of sets; their name is the least id of any of theirs
-    named = same.join(final, "rep", "left").select("rep", "least", F.coalesce("comp", "rep").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_set = named.join(least, "comp").select("rep", "component_id")
-    out = every.join(by_set, "rep").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
-    # a row without words is where its id's other texts are, if it has any
-    bare = signed.where("doc_id is not null and set_hash is null").select("doc_id")
-    placed = out.join(bare.distinct(), "doc_id", "left_semi").select("doc_id", "component_id").distinct()
-    bare = bare.join(placed, "doc_id", "left").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    lost = signed.where("doc_id is null").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(bare).unionByName(lost).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = by_document(signed, every, same, components(links.unionByName(again)))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -14,6 +14,7 @@ from .forest import nearest
 from .jpeg import media_column, media_features
 from .mixing import MIX_SQL, mix
 from .neardup import near_duplicates
+from .ngram_join import similar_documents
 from .token_files import token_files
 
 
@@ -65,6 +66,10 @@ def op11_dial_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame
     return dialogue.report(table(spark, sf_dir, "conversations"))
 
 
+def op12_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_suffix_array_pieces": op10_suffix_array_pieces,
     "op11_dial_conversation_repair": op11_dial_conversation_repair,
+    "op12_multi_order_join": op12_multi_order_join,
     "op13_filter_audit": op13_filter_audit,
 }
 
