@@ -1,4 +1,4 @@
-"""Where codes are printed on a page, from the numbers under them."""
+"""Where codes are on a page, from the numbers under them or from pixels, and the grids in them."""
 
 from __future__ import annotations
 
@@ -9,12 +9,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from ..functions.bits import CELLS, SIDE, WORDS
+from ..sources.records import to_words
+from ..sources.tables import written
 from .components import labelled, measured
+from .raster import GALLERY, sample
 
 #: Distance within which positions are one row or column, in page pixels.
 TOLERANCE = 60.0
-SCHEMA = "page_id long, index int, text string, left int, top int, width int, height int"
+BOX = "index int, text string, left int, top int, width int, height int"
+#: Crops of one task when pages are cut up.
+CROPS = 500
 
 
 def centres(values: np.ndarray, tolerance: float = TOLERANCE) -> list[float]:
@@ -34,29 +41,34 @@ def upper_median(values: list[float], fallback: float) -> float:
     return some[len(some) // 2] if some else fallback
 
 
-def page_crops(items: pd.DataFrame, page_width: float, page_height: float) -> pd.DataFrame:
-    """One box above each number, numbered before those under 32 pixels are dropped."""
-    items = items.sort_values(["y", "x", "str", "width", "height"], kind="stable")
-    middle = (items["x"] + items["width"] / 2).to_numpy()
-    columns, rows = centres(middle), centres(items["y"].to_numpy())
-    across = upper_median(list(np.diff(columns)), page_width / max(len(columns), 4))
-    down = upper_median(list(np.diff(rows)), page_height / max(len(rows), 3))
-    size = np.maximum(48, np.minimum(items["width"] * 0.58, min(across * 0.42, down * 0.68)))
-    gap = np.maximum(6, items["height"] * 0.35)
-    near = lambda v: np.floor(np.asarray(v) + 0.5).astype(int)
-    left, top = near(np.maximum(0, middle - size / 2)), near(np.maximum(0, items["y"] - gap - size))
-    out = pd.DataFrame({"page_id": items["page_id"], "index": np.arange(1, len(items) + 1), "text": items["str"], "left": left, "top": top, "width": near(np.minimum(size, page_width - left)), "height": near(np.minimum(size, page_height - top))})
-    return out[(out["width"] >= 32) & (out["height"] >= 32)]
+def _spacings(page: pd.DataFrame, width: float, height: float) -> tuple[float, float]:
+    """How far columns and rows of printed numbers are apart on a page."""
+    columns, rows = centres(page["middle"].to_numpy()), centres(page["y"].to_numpy())
+    return upper_median(list(np.diff(columns)), width / max(len(columns), 4)), upper_median(list(np.diff(rows)), height / max(len(rows), 3))
 
 
 def crops_from_text(items: DataFrame, page_width: float = 900, page_height: float = 1200) -> DataFrame:
-    """Crops of every page; items: page_id, str, x, y, width, height. Only numbers of 6 digits count."""
-    trimmed = items.withColumn("str", F.trim("str")).where(F.col("str").rlike("^[0-9]{6,}$") & (F.col("width") > 10))
+    """Crops of every page; items: page_id, str, x, y, width, height. Only numbers of 6 digits count.
 
-    def one_page(group: pd.DataFrame) -> pd.DataFrame:
-        return page_crops(group, page_width, page_height)
+    Boxes stand above the numbers and are numbered down the page, before those under 32 pixels go.
+    A page_id may be of any type; pages are taken to have few items.
+    """
+    numbers = items.select("page_id", F.trim("str").alias("text"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")])
+    numbers = numbers.where(F.col("text").rlike("^[0-9]{6,}$") & (F.col("width") > 10)).withColumn("middle", F.col("x") + F.col("width") / 2)
+
+    def one_page(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        across, down = _spacings(group, page_width, page_height)
+        return pd.DataFrame({"page_id": [key[0]], "across": [across], "down": [down]})
 
-    return trimmed.select("page_id", "str", "x", "y", "width", "height").groupBy("page_id").applyInPandas(one_page, SCHEMA)
+    apart = numbers.select("page_id", "middle", "y").groupBy("page_id").applyInPandas(one_page, f"page_id {dict(items.dtypes)['page_id']}, across double, down double")
+    near = lambda c: F.floor(c + 0.5).cast("int")
+    size = F.greatest(F.lit(48.0), F.least(F.col("width") * 0.58, F.col("across") * 0.42, F.col("down") * 0.68))
+    d = numbers.join(apart, "page_id").withColumn("size", size)
+    d = d.withColumn("index", F.row_number().over(W.partitionBy("page_id").orderBy("y", "x", "text", "width", "height")))
+    d = d.withColumn("left", near(F.greatest(F.lit(0.0), F.col("middle") - F.col("size") / 2)))
+    d = d.withColumn("top", near(F.greatest(F.lit(0.0), F.col("y") - F.greatest(F.lit(6.0), F.col("height") * 0.35) - F.col("size"))))
+    d = d.select("page_id", "index", "text", "left", "top", near(F.least("size", page_width - F.col("left"))).alias("width"), near(F.least("size", page_height - F.col("top"))).alias("height"))
+    return d.where("width >= 32 and height >= 32")
 
 
 def dilated(bits: np.ndarray, radius: int) -> np.ndarray:
@@ -98,6 +110,12 @@ def _reading_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.lexsort((y, x, row))
 
 
+def page_raster(pixels: bytes | None, width: int | None) -> np.ndarray | None:
+    """Gray pixels as rows; None if they are null, empty or no whole number of rows."""
+    whole = pixels and width and width > 0 and len(pixels) % width == 0
+    return np.frombuffer(pixels, np.uint8).reshape(-1, width) if whole else None
+
+
 def crops_from_pixels(pages: DataFrame) -> DataFrame:
     """Crops of page rasters (page_id, page_width, pixels: gray bytes, row by row); text is null.
 
@@ -107,17 +125,72 @@ def crops_from_pixels(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                page, wide, raw = (b.column(c)[i].as_py() for c in range(3))
-                if raw and wide and wide > 0 and len(raw) % wide == 0:
-                    boxes = pixel_boxes(np.frombuffer(raw, np.uint8).reshape(-1, wide))
-                    if len(boxes):
-                        n = len(boxes)
-                        yield pa.RecordBatch.from_arrays([pa.array([page] * n, pa.int64()), pa.array(range(1, n + 1), pa.int32()), pa.nulls(n, pa.string()), *[pa.array(boxes[:, k].astype(np.int32)) for k in range(4)]], names)
+                gray = page_raster(b.column(2)[i].as_py(), b.column(1)[i].as_py())
+                boxes = pixel_boxes(gray) if gray is not None else []
+                if len(boxes):
+                    n = len(boxes)
+                    page = b.column(0).take(pa.array([i] * n))
+                    yield pa.RecordBatch.from_arrays([page, pa.array(range(1, n + 1), pa.int32()), pa.nulls(n, pa.string()), *[pa.array(boxes[:, k].astype(np.int32)) for k in range(4)]], names)
 
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    return pages.select(F.col("page_id").cast("long"), F.col("page_width").cast("int"), "pixels").mapInArrow(run, SCHEMA)
+    names = ["page_id", *[c.split()[0] for c in BOX.split(", ")]]
+    return pages.select("page_id", F.col("page_width").cast("int"), "pixels").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, {BOX}")
 
 
 def chosen_crops(from_text: DataFrame, from_pixels: DataFrame) -> DataFrame:
     """Crops from text where a page has any, else those from pixels."""
     return from_text.unionByName(from_pixels.join(from_text.select("page_id").distinct(), "page_id", "left_anti"))
+
+
+def crop_grids(pages: DataFrame, crops: DataFrame | None = None, preset: dict | None = None) -> DataFrame:
+    """The grid in every crop of page rasters: page_id, index, text, status, error, known, words (w0 ...) and mask (m0 ...).
+
+    pages: page_id, page_width, pixels; crops: page_id and the columns of BOX. A page without crops
+    is looked through for codes by its pixels. Each raster travels once, to the task that cuts it up;
+    tasks are as many as crops ask for. status is `indexed` or `failed`; besides, each page has a row
+    without an index, `page` or, if it has no raster, `failed`, and its crops then have none. A crop
+    that doesn't lie within its page fails. Crops of unknown pages are failures of those.
+    """
+    preset = GALLERY if preset is None else preset
+    kind = dict(pages.dtypes)["page_id"]
+    words = [f"{p}{k}" for p in "wm" for k in range(WORDS)]
+    boxes = F.sort_array(F.collect_list(F.struct("index", "text", "left", "top", "width", "height")))
+    rasters = pages.select("page_id", F.col("page_width").cast("int").alias("page_width"), "pixels")
+    if crops is None:
+        joined = rasters.withColumn("boxes", F.lit(None).cast(f"array<struct<{BOX.replace(' ', ':')}>>".replace(",:", ",")))
+    else:
+        given = written(crops.select("page_id", *[F.col(c.split()[0]).cast(c.split()[1]) for c in BOX.split(", ")]), "crops")
+        n = max(1, -(-given.count() // CROPS))
+        lists = given.repartition(n, "page_id").groupBy("page_id").agg(boxes.alias("boxes"))  # of one page each
+        joined = rasters.repartition(n, "page_id").join(lists, "page_id", "full").select("page_id", "page_width", "pixels", "boxes")
+
+    def cut(gray: np.ndarray, box: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray] | None:
+        left, top, width, height = box
+        if min(left, top) < 0 or min(width, height) < 1 or left + width > gray.shape[1] or top + height > gray.shape[0]:
+            return None
+        return sample(gray[top : top + height, left : left + width], SIDE, **preset)
+
+    def one(page: pa.Array, wide: int | None, pixels: bytes | None, given: list[dict] | None) -> pa.RecordBatch:
+        gray = page_raster(pixels, wide)
+        if gray is None:
+            rows, grids = [(None, None, "failed", "no raster")], [None]
+        else:
+            at = [(c["index"], c["text"], (c["left"], c["top"], c["width"], c["height"])) for c in given] if given else [(k, None, tuple(b)) for k, b in enumerate(pixel_boxes(gray).tolist(), 1)]
+            grids = [None, *[cut(gray, box) for _, _, box in at]]
+            rows = [(None, None, "page", None), *[(k, t, *(("failed", "outside the page") if g is None else ("indexed", None))) for (k, t, _), g in zip(at, grids[1:], strict=True)]]
+        flat, lost = np.zeros((2, len(rows), 448), np.uint8), np.array([g is None for g in grids])
+        for k, g in enumerate(grids):
+            if g is not None:
+                flat[0, k, :CELLS], flat[1, k, :CELLS] = g[0].ravel(), g[1].ravel()
+        known = pa.array(flat[1].sum(1, dtype=np.int32), mask=lost)
+        both = [to_words(np.packbits(v, 1, "little")) for v in flat]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)]
+        return pa.RecordBatch.from_arrays([page.take(pa.array([0] * len(rows))), *columns, known, *[pa.array(np.ascontiguousarray(v[:, k]), mask=lost) for v in both for k in range(WORDS)]], names)
+
+    names = ["page_id", "index", "text", "status", "error", "known", *words]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield one(b.column(0).slice(i, 1), *(b.column(k)[i].as_py() for k in (1, 2, 3)))
+
+    return joined.mapInArrow(run, f"page_id {kind}, index int, text string, status string, error string, known int, " + ", ".join(f"{w} long" for w in words))

@@ -14,6 +14,7 @@ from .jobs import search as S
 from .operators import crops as C
 from .operators import features as V
 from .operators import index as I
+from .operators import order as O
 from .operators import raster as R
 from .sources import fixtures as X
 from .sources import records as P
@@ -203,11 +204,22 @@ def new_files(spark, sf_dir):
 
 @query(f"WITH {X.FILES_SQL} SELECT path, row_number() OVER (ORDER BY CAST(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT)) AS place FROM files")
 def natural_order(spark, sf_dir):
-    """Places by range: rows are counted for each leading part of the key before they are ranked."""
-    f = X.files(spark, sf_dir).withColumn("key", I.natural_key(F.col("path"))).withColumn("part", F.expr("substring(key, 1, 18)"))
-    counts = f.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return f.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("key"))).join(before, "part").select("path", (F.col("before") + F.col("r")).alias("place"))
+    """Places from 1, ranked within ranges of the key."""
+    f = X.files(spark, sf_dir).withColumn("key", I.natural_key(F.col("path")))
+    return O.placed(f, ["key", "path"]).select("path", (F.col("place") + 1).alias("place"))
+
+
+_SCANS = "scans AS (SELECT doc_id, 'in/' || doc_id % 7 || '/Scan of the archive, shelf and box ' || doc_id % 97 || '-' || lpad(CAST(doc_id % 1000 AS VARCHAR), CAST(3 + doc_id % 5 AS INT), '0') || CASE WHEN doc_id % 2 = 0 THEN '.PNG' ELSE 'b.png' END AS path FROM documents)"
+
+
+@query(f"WITH {_SCANS} SELECT doc_id, row_number() OVER (ORDER BY doc_id % 97, doc_id % 1000, doc_id % 2, path, doc_id) - 1 AS place FROM scans")
+def places_of_scans(spark, sf_dir):
+    """Names that share 35 characters and differ in numbers, some with zeros before them."""
+    i = F.col("doc_id")
+    number = F.lpad((i % 1000).cast("string"), (3 + i % 5).cast("int"), "0")
+    path = F.concat(F.lit("in/"), i % 7, F.lit("/Scan of the archive, shelf and box "), i % 97, F.lit("-"), number, F.when(i % 2 == 0, ".PNG").otherwise("b.png"))
+    d = X.table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    return O.placed(d.withColumn("key", I.natural_key(F.col("path"))), ["key", "path", "doc_id"]).select("doc_id", "place")
 
 
 @query("SELECT doc_id, 'qrbin:' || doc_id AS id, doc_id AS parsed, true AS refused, '/srv/app/' || CASE WHEN doc_id % 3 = 0 THEN source || '/' || doc_id ELSE 'data/' || doc_id END AS moved, CASE WHEN doc_id % 3 = 0 THEN source || '/' || doc_id ELSE 'data/' || doc_id END AS stored FROM documents WHERE doc_id % 3 <> 2 UNION ALL SELECT doc_id, 'qrbin:' || doc_id, doc_id, true, '/other/' || doc_id, '/other/' || doc_id FROM documents WHERE doc_id % 3 = 2")
@@ -442,3 +454,10 @@ def fine_nearest(spark, sf_dir):
     items = written(FS.image_features(images), "items")
     targets = written(FS.image_features(images.where("record_no % 20 = 0"), target=True).withColumnRenamed("record_no", "target_id"), "targets")
     return FS.fine_top(FS.coarse_list(items, targets, 200), items, targets).select("target_id", "rank", "record_no", "score")
+
+
+@query(f"WITH {X.GALLERY_SQL} SELECT record_no // 12 AS page_id, CAST(record_no % 12 + 1 AS INT) AS item, 'indexed' AS status, CAST(441 AS INT) AS known, {', '.join(f'w{k}' for k in N)} FROM gallery")
+def grids_of_pages(spark, sf_dir):
+    """Codes found on pages that show twelve gallery grids each, cut out and sampled: the gallery again."""
+    found = C.crop_grids(R.drawn_pages(X.gallery(spark, sf_dir)))
+    return found.where("index is not null").select("page_id", F.col("index").alias("item"), "status", "known", *S.G)

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -18,24 +19,36 @@ from .records import to_words
 WORD_NAMES = [f"w{k}" for k in range(WORDS)]
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def plain_path() -> Column:
+    """The path of a file source's row, as it is written in the file system (there, it is an escaped URI)."""
+    at = F.col("_metadata.file_path")
+    return F.coalesce(F.try_url_decode(F.replace(at, F.lit("+"), F.lit("%2B"))), at)
+
+
+def read_images(spark: SparkSession, path: str, keep_invalid: bool = False, modified_after: str | None = None) -> DataFrame:
     """path, width, height and gray pixels (a byte each) of the image files under a folder.
 
-    Files that are no image are dropped. Colours are weighted as luminance.
+    Files that are no image are dropped, or kept without pixels. Colours are weighted as luminance.
+    modified_after leaves out older files before any is opened.
     """
-    files = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
+    files = spark.read.format("image").option("dropInvalid", not keep_invalid).option("recursiveFileLookup", True)
+    files = (files.option("modifiedAfter", modified_after) if modified_after else files).load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             gray = []
             for w, h, n, data in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+                if n < 1:
+                    gray.append(None)
+                    continue
                 p = np.frombuffer(data, np.uint8).reshape(h, w, n).astype(np.float64)  # blue, green, red (, alpha)
                 g = p[:, :, 0] if n == 1 else p[:, :, :3] @ np.array([0.114, 0.587, 0.299])
                 gray.append(np.clip(np.floor(g + 0.5), 0, 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(gray, pa.binary())], ["path", "width", "height", "pixels"])
+            lost = pa.array([g is None for g in gray])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pc.if_else(lost, None, b.column(k)) for k in (1, 2)], pa.array(gray, pa.binary())], ["path", "width", "height", "pixels"])
 
     i = F.col("image")
-    flat = files.select(i["origin"].alias("path"), i["width"].alias("width"), i["height"].alias("height"), i["nChannels"].alias("n"), i["data"].alias("data"))
+    flat = files.select(plain_path().alias("path"), i["width"].alias("width"), i["height"].alias("height"), i["nChannels"].alias("n"), i["data"].alias("data"))
     return flat.mapInArrow(run, "path string, width int, height int, pixels binary")
 
 

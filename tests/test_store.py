@@ -143,7 +143,7 @@ def test_crops_from_text_one_by_one(spark):
                 want[page, k, text, left, top, width, height] += 1
     crops = C.crops_from_text(items)
     assert want and Counter(map(tuple, crops.collect())) == want
-    pixels = spark.createDataFrame([(-1, 1, "p", 0, 0, 50, 50), (next(iter(want))[0], 1, "p", 0, 0, 50, 50)], C.SCHEMA)
+    pixels = spark.createDataFrame([(-1, 1, "p", 0, 0, 50, 50), (next(iter(want))[0], 1, "p", 0, 0, 50, 50)], f"page_id long, {C.BOX}")
     chosen = C.chosen_crops(crops, pixels)
     assert chosen.where("text = 'p'").count() == 1 and chosen.count() == sum(want.values()) + 1
     assert C.upper_median([3.0, -1.0, 5.0, float("nan"), 4.0], 9) == 4.0 and C.upper_median([3.0, 5.0], 9) == 5.0 and C.upper_median([0.0], 9) == 9
