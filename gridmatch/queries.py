@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .functions import bits as B
+from .jobs import build as BD
 from .jobs import fine as FS
 from .jobs import search as S
 from .operators import crops as C
@@ -18,7 +20,8 @@ from .operators import order as O
 from .operators import raster as R
 from .sources import fixtures as X
 from .sources import records as P
-from .sources.tables import written
+from .sources.living import Store
+from .sources.tables import shared_dir, written
 
 N = range(B.WORDS)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -461,3 +464,23 @@ def grids_of_pages(spark, sf_dir):
     """Codes found on pages that show twelve gallery grids each, cut out and sampled: the gallery again."""
     found = C.crop_grids(R.drawn_pages(X.gallery(spark, sf_dir)))
     return found.where("index is not null").select("page_id", F.col("index").alias("item"), "status", "known", *S.G)
+
+
+@query(
+    f"WITH {X.GALLERY_SQL}, r AS (SELECT *, record_no // 48 AS s, record_no // 12 % 4 + 1 AS p, record_no % 12 + 1 AS i FROM gallery), "
+    "b AS (SELECT *, CASE WHEN s % 3 = 0 OR (s % 3 = 1 AND p > 2) THEN 1 ELSE 0 END AS batch, CASE WHEN s % 3 = 0 THEN 1 ELSE 0 END AS late FROM r), "
+    "ids AS (SELECT s, row_number() OVER (ORDER BY late, s) - 1 AS source_id FROM (SELECT DISTINCT s, late FROM b)) "
+    f"SELECT row_number() OVER (ORDER BY batch, s, p, i) - 1 AS record_no, ids.source_id, CAST(p AS INT) AS page, CAST(i AS INT) AS item_index, {', '.join(f'w{k}' for k in N)} FROM b JOIN ids USING (s)"
+)
+def imported_in_parts(spark, sf_dir):
+    """The gallery drawn on pages of documents, imported in two batches: some documents come later, some in two parts."""
+    number = F.col("page_id")
+    pages = R.drawn_pages(X.gallery(spark, sf_dir)).select(F.concat(F.lit("h"), F.floor(number / 4)).alias("hash"), (number % 4 + 1).cast("int").alias("page"), "page_width", "pixels")
+    of = F.expr("cast(substring(hash, 2) as long)")
+    pages = written(pages.withColumn("page_count", F.max("page").over(W.partitionBy("hash"))), "pages")
+    files = pages.select("hash").distinct().select(F.concat(F.lit("docs/Document "), of, F.lit(".pdf")).alias("path"), "hash")
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    no_images = spark.createDataFrame([], "path string, width int, height int, pixels binary")
+    BD.import_batch(store, "first", X.MODE, files.where(of % 3 != 0), no_images, pages.where((of % 3 == 2) | (F.col("page") <= 2)))
+    BD.import_batch(store, "second", X.MODE, files, no_images, pages)
+    return store.gallery().select("record_no", "source_id", "page", "item_index", *S.G)
