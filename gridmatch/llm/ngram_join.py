@@ -38,8 +38,8 @@ from .neardup import by_document, components, confirmed, numbered_sets, shingle_
 
 #: Two sets are linked if 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
-#: Bits of the parity bitmap of a set.
-BITS = 2048
+#: Bits of the parity bitmap of a set, and of its folded form, which goes with every key.
+BITS, FOLDED = 2048, 512
 #: Kept tokens of a bucket and of a flush; occurrences from which a token ranks as frequent.
 BUCKET, FLUSH, CAPPED = 2_000_000, 2_000_000, 64
 #: Bytes of text hashed at once.
@@ -88,6 +88,11 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8).tobytes()
 
 
+def folded(bits: bytes) -> bytes:
+    """The parity bitmap of fewer classes: each is several of the others."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(BITS // FOLDED, -1)).tobytes()
+
+
 def _keeps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """set_hash, n, parity bitmap and kept tokens (mixed, so that they spread over all values) of each text that has words."""
     for b in batches:
@@ -190,9 +195,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rep, n, bits, keys by rarity, and the prefixes by two hashes, of the sets that may have a partner."""
+    """rep, n, bits, folded bits, keys by rarity, and the prefixes by two hashes, of the sets that may have a partner."""
     for b in batches:
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for rep, n, bits, tokens, seen in zip(*(b.column(k) for k in range(5)), strict=True):
             t, s = tokens.values.to_numpy().view(np.uint64), seen.values.to_numpy()
             least = int(sure(n.as_py()))
@@ -201,10 +206,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = len(t) - least + 1  # before them come the tokens of no other set
             by_rarity = np.lexsort((ranked(t, 0), s))[:first]
             more = [np.sort(np.sort(ranked(t, k))[:first] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for k in (1, 2)]
-            for column, v in zip(out, (rep.as_py(), n.as_py(), bits.as_py(), t[by_rarity].view(np.int64).tolist(), *more), strict=True):
+            for column, v in zip(out, (rep.as_py(), n.as_py(), bits.as_py(), folded(bits.as_py()), t[by_rarity].view(np.int64).tolist(), *more), strict=True):
                 column.append(v)
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["rep", "n", "bits", "keys", "by_two", "by_three"])
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["rep", "n", "bits", "few", "keys", "by_two", "by_three"])
 
 
 def possible(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
@@ -230,55 +235,64 @@ def _meet(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
-def _words(bits: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
+def _words(bits: list[bytes], many: int = BITS) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, many // 64)
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) that pass the other filters; two columns for each of n, bits and the two prefixes."""
+def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sizes and bitmaps allow a link."""
     for b in batches:
         if b.num_rows:
             n, m = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-            keep = np.flatnonzero(possible(n, m, _words(b.column(4).to_pylist()), _words(b.column(5).to_pylist())))
-            for k in (6, 8):
-                x, y = (b.column(c).take(pa.array(keep)).to_pylist() for c in (k, k + 1))
-                keep = keep[_meet(x, y)]
-            yield b.select([0, 1]).take(pa.array(keep))
+            yield b.select([0, 1]).filter(pa.array(possible(n, m, _words(b.column(4).to_pylist()), _words(b.column(5).to_pylist()))))
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose prefixes meet under both other orders."""
+    for b in batches:
+        keep = np.arange(b.num_rows)
+        for k in (2, 4):
+            keep = keep[_meet(*(b.column(c).take(pa.array(keep)).to_pylist() for c in (k, k + 1)))]
+        yield b.select([0, 1]).take(pa.array(keep))
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) from rows sorted by key and blocks, home rows first; a group has about 2 * BLOCK rows."""
+    """(a, b) from rows sorted by key and blocks; a group has about 2 * BLOCK rows. Only sizes and folded bitmaps are looked at."""
 
-    def compared(rows: list) -> pa.RecordBatch:
-        # key, hb, gb, home, stray, rep, comp, n, bits, by_two, by_three
-        home, stray, rep, comp, n = (np.array([r[k] for r in rows]) for k in range(3, 8))
-        bits = _words([r[8] for r in rows])
+    def compared(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        home, stray, rep, comp, n = (t.column(c).to_numpy() for c in range(3, 8))
+        bits, n = _words(t.column(8).to_pylist(), FOLDED), n.astype(np.int64)
         guests, homes, a, b = np.flatnonzero(~home), np.flatnonzero(home), [], []
         for i, j in in_slices(np.arange(len(guests) + 1) * len(homes), PAIRS):
             x, y = np.repeat(guests[i:j], len(homes)), np.tile(homes, j - i)
             may = (comp[x] != comp[y]) & (~stray[y] | (rep[x] > rep[y]))  # two strays meet twice: once is enough
             x, y = x[may], y[may]
-            for p, q in in_slices(np.arange(len(x) + 1), PAIRS // 8):
-                u, v = x[p:q], y[p:q]
-                near = possible(n[u], n[v], bits[u], bits[v])
-                u, v = u[near], v[near]
-                for k in (9, 10):
-                    near = _meet([rows[r][k] for r in u], [rows[r][k] for r in v])
-                    u, v = u[near], v[near]
-                a.append(np.minimum(rep[u], rep[v]))
-                b.append(np.maximum(rep[u], rep[v]))
-        found = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), 1), axis=0) if a else np.empty((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["a", "b"])
-
-    group: list = []
+            near = possible(n[x], n[y], bits[x], bits[y])
+            a.append(np.minimum(rep[x], rep[y])[near])
+            b.append(np.maximum(rep[x], rep[y])[near])
+        return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        """Of a batch's groups, each pair once."""
+        keys = [t.column(c).to_numpy() for c in range(3)]
+        cuts = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], 0), [True])))
+        a, b = (np.concatenate(v) for v in zip(*(compared(t.slice(i, j - i)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+        both = np.unique(np.stack((a, b), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(2)], ["a", "b"])
+
+    rest = None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if group and row[:3] != group[0][:3]:
-                yield compared(group)
-                group = []
-            group.append(row)
-    if group:
-        yield compared(group)
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        if not t.num_rows:
+            continue
+        last = np.all([(k := t.column(c).to_numpy()) == k[-1] for c in range(3)], 0)  # this group may go on
+        end = 0 if last.all() else t.num_rows - int(last[::-1].argmin())
+        if end:
+            yield found(t.slice(0, end))
+        rest = t.slice(end)
+    if rest is not None and rest.num_rows:
+        yield found(rest)
 
 
 def _leaders(held: DataFrame) -> DataFrame:
@@ -309,15 +323,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "rep long, token long, seen int")
     lists = repeated.groupBy("rep").agg(F.collect_list(F.struct("token", "seen")).alias("t"))  # a set's own tokens
     joined = lists.join(sets.select("rep", "n", "bits"), "rep").where(F.size("t") >= F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * SIMILAR + 99) / 100) / 6)))
-    reps = joined.select("rep", "n", "bits", F.col("t.token").alias("tokens"), F.col("t.seen").alias("seen")).mapInArrow(_prefixes, "rep long, n int, bits binary, keys array<long>, by_two binary, by_three binary")
+    reps = joined.select("rep", "n", "bits", F.col("t.token").alias("tokens"), F.col("t.seen").alias("seen")).mapInArrow(_prefixes, "rep long, n int, bits binary, few binary, keys array<long>, by_two binary, by_three binary")
     reps = written(reps, "reps")
 
     held = reps.select("rep", F.explode("keys").alias("key"))
     held = written(held.join(_leaders(held), "key"), "held")
     pairs = held.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    x, y = (reps.select(F.col("rep").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("n", "bits", "by_two", "by_three")]) for c in "ab")
-    both = [f"{v}_{c}" for v in ("n", "bits", "by_two", "by_three") for c in "ab"]
-    pairs = pairs.join(x, "a").join(y, "b").select("a", "b", *both).mapInArrow(_near, "a long, b long")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those that the other filters let pass: first the small ones, then the prefixes."""
+        for names, passes in ((("n", "bits"), _allowed), (("by_two", "by_three"), _meeting)):
+            x, y = (reps.select(F.col("rep").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in names]) for c in "ab")
+            pairs = pairs.join(x, "a").join(y, "b").select("a", "b", *[f"{v}_{c}" for v in names for c in "ab"]).mapInArrow(passes, "a long, b long")
+        return pairs
+
+    pairs = near(pairs)
 
     met = held.select("rep").distinct().join(same, "rep").select("rep", "set_hash", F.col("least").alias("doc_id"))
     whole = texts.join(met.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(whole_sets, "set_hash binary, shingles binary")
@@ -336,8 +356,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     homes = left.select("key", place("blocks", 1).alias("hb"), each("guests").alias("gb"), F.lit(True).alias("home"), "stray", "rep", "comp")
     guests = left.where("stray").select("key", each("blocks").alias("hb"), place("guests", 2).alias("gb"), F.lit(False).alias("home"), "stray", "rep", "comp")
-    placed = homes.unionByName(guests).join(reps.drop("keys"), "rep")
-    dealt = placed.select("key", "hb", "gb", "home", "stray", "rep", "comp", "n", "bits", "by_two", "by_three").repartition("key", "hb", "gb").sortWithinPartitions("key", "hb", "gb")
-    more = dealt.mapInArrow(_across, "a long, b long").distinct()
+    placed = homes.unionByName(guests).join(reps.select("rep", "n", "few"), "rep")
+    dealt = placed.select("key", "hb", "gb", "home", "stray", "rep", "comp", "n", "few").repartition("key", "hb", "gb").sortWithinPartitions("key", "hb", "gb")
+    more = near(dealt.mapInArrow(_across, "a long, b long").distinct())
     final = components(links.unionByName(confirmed(more, whole, SIMILAR)))
     return by_document(signed, every, same, final)
