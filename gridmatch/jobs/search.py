@@ -1,8 +1,9 @@
 """Masked nearest-neighbour search of many damaged grids in a gallery.
 
-The gallery is never shuffled. Targets are a stated query set, handled in blocks of a fixed size, so
-what is broadcast is bounded; each task keeps a running shortlist per target, and only tasks x
-targets x SHORTLIST rows are shuffled. Names and codes are joined after the top rows are known.
+Targets are a stated query set. A few thousand go to the gallery's tasks, which then isn't shuffled;
+each task keeps a running shortlist per target. More of them meet the gallery in blocks that Spark
+deals out. Either way only tasks x targets x SHORTLIST rows are shuffled on. Names and codes are
+joined after the top rows are known.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ HIGH = 95.0
 BLOCK = 4096
 #: Gallery rows compared at once with one target block.
 ROWS = 4096
+#: By blocks: records of a group and targets of a block, rows of a slice, and records compared at once.
+GROUP, TARGETS, SLICE, CHUNK = 1_000_000, 16_384, 8192, 32_768
 
 T, M, G = B.cols("t"), B.cols("m"), B.cols("w")
 
@@ -102,24 +105,119 @@ def _keep_nearest(grids: np.ndarray, masks: np.ndarray, ids: np.ndarray, keep: i
 def shortlist(gallery: DataFrame, targets: DataFrame, keep: int = SHORTLIST) -> DataFrame:
     """The `keep` records with fewest mismatches for each target, ties to the smaller record_no.
 
-    Targets are dealt over blocks of about BLOCK by a hash; each block is a pass over the gallery words.
+    Up to BLOCK targets go to the gallery's own tasks, which keep running lists. More of them meet
+    slices of the gallery by blocks, see by_blocks(); either way the gallery is scanned once.
     """
-    words = gallery.select("record_no", *[f"w{k}" for k in range(B.WORDS)])
-    names = [f"{p}{k}" for p in "tm" for k in range(B.WORDS)]
-    blocks = max(1, -(-targets.count() // BLOCK))
-    numbered = targets.withColumn("_block", F.pmod(F.xxhash64("target_id"), F.lit(blocks)))
-    out = None
-    schema = "target_id long, record_no long, mismatch long, " + ", ".join(f"w{k} long" for k in range(B.WORDS))
-    for b in range(blocks):
-        t = (numbered.where(F.col("_block") == b) if blocks > 1 else targets).select("target_id", *names).toArrow()
-        grids, masks = (np.stack([t.column(f"{p}{k}").to_numpy() for k in range(B.WORDS)], 1) for p in "tm")
-        part = words.mapInArrow(_keep_nearest(grids, masks, t.column("target_id").to_numpy(), keep), schema)
-        out = part if out is None else out.unionByName(part)
+    few = targets.limit(BLOCK + 1).count() <= BLOCK
+    out = _beside(gallery, targets, keep) if few else by_blocks(gallery, targets, keep)
     w = W.partitionBy("target_id").orderBy("mismatch", "record_no")
     best = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
     return best.join(targets, "target_id")
 
 
+_LISTED = "target_id long, record_no long, mismatch long, " + ", ".join(f"w{k} long" for k in range(B.WORDS))
+
+
+def _beside(gallery: DataFrame, targets: DataFrame, keep: int) -> DataFrame:
+    """The lists of each of the gallery's tasks, for BLOCK targets at most."""
+    words = gallery.select("record_no", *[f"w{k}" for k in range(B.WORDS)])
+    t = targets.select("target_id", *T, *M).toArrow()
+    grids, masks = (np.stack([t.column(f"{p}{k}").to_numpy() for k in range(B.WORDS)], 1) for p in "tm")
+    return words.mapInArrow(_keep_nearest(grids, masks, t.column("target_id").to_numpy(), keep), _LISTED)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole numbers as runs of up to SLICE rows: how many, and their bytes, column by column."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            s = b.slice(i, SLICE)
+            content = np.stack([c.to_numpy() for c in s.columns]).astype(np.int64).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([s.num_rows]), pa.array([content], pa.binary())], ["n", "content"])
+
+
+def _unpacked(content: list[bytes], columns: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(c, np.int64).reshape(columns, -1) for c in content], 1)
+
+
+class _Group:
+    """Records in order of their black cells, in chunks whose blacks bound how near they can be."""
+
+    def __init__(self, rows: np.ndarray):
+        by_record = rows[:, np.argsort(rows[0], kind="stable")]
+        black = np.bitwise_count(by_record[1:]).sum(0, dtype=np.int64)
+        self.rank = np.argsort(black, kind="stable")  # of each place by black, the place by record
+        self.rows, self.words, self.black = by_record, np.ascontiguousarray(by_record[1:, self.rank]), black[self.rank]
+        self.first = np.arange(0, len(self.rank), CHUNK)
+        self.least, self.most = self.black[self.first], self.black[np.minimum(self.first + CHUNK, len(self.rank)) - 1]
+
+    def nearest(self, grid: np.ndarray, mask: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mismatches and places by record of the `keep` nearest, ties to the smaller record."""
+        known, black = (int(np.bitwise_count(v).sum()) for v in (mask, grid & mask))
+        # a record that has fewer black cells than the target lacks some; so it does for white ones
+        bound = np.maximum(0, np.maximum(black - self.most, self.least - (black + B.CELLS - known)))
+        best, cut = np.empty(0, np.int64), B.CELLS
+        for c in np.argsort(bound, kind="stable").tolist():
+            if bound[c] > cut:
+                break
+            part = slice(self.first[c], self.first[c] + CHUNK)
+            wrong = np.zeros(len(self.black[part]), np.uint16)
+            for w, g, m in zip(self.words, grid, mask, strict=True):
+                wrong += np.bitwise_count((w[part] ^ g) & m)
+            near = np.flatnonzero(wrong <= cut)
+            best = np.concatenate((best, wrong[near].astype(np.int64) << 32 | self.rank[part][near]))
+            if len(best) > keep:
+                best = np.partition(best, keep - 1)[:keep]
+            if len(best) == keep:
+                cut = int(best.max() >> 32)
+        return best >> 32, best & 0xFFFFFFFF
+
+
+def _by_group(keep: int):
+    """Lists of each group's targets; rows are sorted by group and block, slices of the gallery first."""
+
+    def lists(group: _Group, targets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for t in targets.T:
+            wrong, place = group.nearest(t[1 : 1 + B.WORDS], t[1 + B.WORDS :], keep)
+            found = group.rows[:, place]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), t[0])), pa.array(found[0]), pa.array(wrong), *[pa.array(w) for w in found[1:]]], ["target_id", "record_no", "mismatch", *G])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, slices, group = None, [], None
+        for b in batches:
+            for g, k, is_target, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (g, k) != now:
+                    now, slices, group = (g, k), [], None
+                if not is_target:
+                    slices.append(content)
+                    continue
+                if slices:
+                    group, slices = _Group(_unpacked(slices, 1 + B.WORDS)), []
+                if group is not None:
+                    yield from lists(group, _unpacked([content], 1 + 2 * B.WORDS))
+
+    return run
+
+
+def by_blocks(gallery: DataFrame, targets: DataFrame, keep: int = SHORTLIST, group: int | None = None, block: int | None = None) -> DataFrame:
+    """Lists of `keep` records of each target in each group of the gallery.
+
+    The gallery is packed into slices, which are dealt over groups, and targets into blocks; each
+    group meets each block in one task, which holds a group's words and one slice of targets. Nothing
+    goes through the driver. Groups and blocks are sized so that what is shuffled (a record once for
+    each block, a target once for each group) is little beside comparing them.
+    """
+    slices = written(gallery.select("record_no", *G).mapInArrow(_packed, "n long, content binary"), "slices")
+    asked = written(targets.select("target_id", *T, *M).mapInArrow(_packed, "n long, content binary"), "asked")
+    size = lambda df, of: max(1, -(-(df.agg(F.sum("n")).first()[0] or 0) // of))
+    groups, blocks = size(slices, group or GROUP), size(asked, block or TARGETS)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("content"), F.lit(n)).cast("int")
+    left = slices.select(dealt(groups).alias("g"), "content").select("g", each(blocks).alias("k"), F.lit(False).alias("is_target"), "content")
+    right = asked.select(dealt(blocks).alias("k"), "content").select(each(groups).alias("g"), "k", F.lit(True).alias("is_target"), "content")
+    met = left.unionByName(right).repartition(groups * blocks, "g", "k").sortWithinPartitions("g", "k", "is_target")
+    return met.mapInArrow(_by_group(keep), _LISTED)
+
+
 def rescored(rows: DataFrame) -> DataFrame:
     """Adds near (mismatches a neighbour makes up for), score and tolerant; a supported cell counts 0.6."""
     d = rows.withColumn("near", B.supported(T, M, G))
