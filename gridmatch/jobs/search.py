@@ -9,6 +9,7 @@ joined after the top rows are known.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import bits as B
 from ..sources.tables import written
+from .blocks import met, packed, parts
 
 SHORTLIST, RESULTS = 200, 5
 HIGH = 95.0
@@ -54,12 +56,31 @@ def active(sources: DataFrame, mode: str) -> DataFrame:
 
 
 def scored_pairs(gallery: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every target of a block against every record: mismatches and score. For a few targets."""
-    pairs = gallery.crossJoin(F.broadcast(targets))
+    """Every target against every record: mismatches and score. Targets are broadcast, BLOCK of them at once."""
+    blocks = max(1, -(-targets.count() // (BLOCK // 2)))  # a hash deals them out unevenly
+    block = F.pmod(F.xxhash64("target_id"), F.lit(blocks))
+    pairs = reduce(DataFrame.unionByName, [gallery.crossJoin(F.broadcast(targets.where(block == k))) for k in range(blocks)])
     pairs = pairs.withColumn("mismatch", B.mismatches(T, M, G))
     return pairs.withColumn("score", B.percent(F.col("known") - F.col("mismatch"), F.col("known")))
 
 
+def best_scores(gallery: DataFrame, targets: DataFrame) -> DataFrame:
+    """record_no, best: each record's best score for any target, by blocks. Needs with_counts()."""
+
+    def answer(rows: np.ndarray, content: bytes) -> Iterator[pa.RecordBatch]:
+        best = np.zeros(rows.shape[1])
+        for t in _rows([content], 2 * B.WORDS).T:
+            known = int(np.bitwise_count(t[B.WORDS :]).sum())
+            if known:
+                wrong = sum(np.bitwise_count((w ^ g) & m).astype(np.int64) for w, g, m in zip(rows[1:], t, t[B.WORDS :], strict=False))
+                best = np.maximum(best, np.floor((known - wrong) / known * 10000.0 + 0.5) / 100.0)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(best)], ["record_no", "best"])
+
+    slices, asked = packed(gallery.select("record_no", *G), _columns, SLICE), packed(targets.select(*T, *M), _columns, SLICE)
+    found = met(slices, asked, parts(slices, GROUP // 16), parts(asked, TARGETS), lambda s: _rows(s, 1 + B.WORDS), answer, "record_no long, best double")
+    return found.groupBy("record_no").agg(F.max("best").alias("best"))
+
+
 def shortlist_sql(gallery: DataFrame, targets: DataFrame, keep: int = SHORTLIST) -> DataFrame:
     """The shortlist by column expressions alone: every pair is sorted, so for one block of targets."""
     w = W.partitionBy("target_id").orderBy("mismatch", "record_no")
@@ -126,16 +147,12 @@ def _beside(gallery: DataFrame, targets: DataFrame, keep: int) -> DataFrame:
     return words.mapInArrow(_keep_nearest(grids, masks, t.column("target_id").to_numpy(), keep), _LISTED)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole numbers as runs of up to SLICE rows: how many, and their bytes, column by column."""
-    for b in batches:
-        for i in range(0, b.num_rows, SLICE):
-            s = b.slice(i, SLICE)
-            content = np.stack([c.to_numpy() for c in s.columns]).astype(np.int64).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([s.num_rows]), pa.array([content], pa.binary())], ["n", "content"])
+def _columns(b: pa.RecordBatch) -> bytes:
+    """Rows of whole numbers, column by column."""
+    return np.stack([c.to_numpy() for c in b.columns]).astype(np.int64).tobytes()
 
 
-def _unpacked(content: list[bytes], columns: int) -> np.ndarray:
+def _rows(content: list[bytes], columns: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(c, np.int64).reshape(columns, -1) for c in content], 1)
 
 
@@ -172,50 +189,20 @@ class _Group:
         return best >> 32, best & 0xFFFFFFFF
 
 
-def _by_group(keep: int):
-    """Lists of each group's targets; rows are sorted by group and block, slices of the gallery first."""
+def by_blocks(gallery: DataFrame, targets: DataFrame, keep: int = SHORTLIST) -> DataFrame:
+    """Lists of `keep` records of each target in each group of the gallery."""
 
-    def lists(group: _Group, targets: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for t in targets.T:
+    def gather(slices: list[bytes]) -> _Group:
+        return _Group(_rows(slices, 1 + B.WORDS))
+
+    def answer(group: _Group, content: bytes) -> Iterator[pa.RecordBatch]:
+        for t in _rows([content], 1 + 2 * B.WORDS).T:
             wrong, place = group.nearest(t[1 : 1 + B.WORDS], t[1 + B.WORDS :], keep)
             found = group.rows[:, place]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), t[0])), pa.array(found[0]), pa.array(wrong), *[pa.array(w) for w in found[1:]]], ["target_id", "record_no", "mismatch", *G])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, slices, group = None, [], None
-        for b in batches:
-            for g, k, is_target, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (g, k) != now:
-                    now, slices, group = (g, k), [], None
-                if not is_target:
-                    slices.append(content)
-                    continue
-                if slices:
-                    group, slices = _Group(_unpacked(slices, 1 + B.WORDS)), []
-                if group is not None:
-                    yield from lists(group, _unpacked([content], 1 + 2 * B.WORDS))
-
-    return run
-
-
-def by_blocks(gallery: DataFrame, targets: DataFrame, keep: int = SHORTLIST, group: int | None = None, block: int | None = None) -> DataFrame:
-    """Lists of `keep` records of each target in each group of the gallery.
-
-    The gallery is packed into slices, which are dealt over groups, and targets into blocks; each
-    group meets each block in one task, which holds a group's words and one slice of targets. Nothing
-    goes through the driver. Groups and blocks are sized so that what is shuffled (a record once for
-    each block, a target once for each group) is little beside comparing them.
-    """
-    slices = written(gallery.select("record_no", *G).mapInArrow(_packed, "n long, content binary"), "slices")
-    asked = written(targets.select("target_id", *T, *M).mapInArrow(_packed, "n long, content binary"), "asked")
-    size = lambda df, of: max(1, -(-(df.agg(F.sum("n")).first()[0] or 0) // of))
-    groups, blocks = size(slices, group or GROUP), size(asked, block or TARGETS)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda n: F.pmod(F.xxhash64("content"), F.lit(n)).cast("int")
-    left = slices.select(dealt(groups).alias("g"), "content").select("g", each(blocks).alias("k"), F.lit(False).alias("is_target"), "content")
-    right = asked.select(dealt(blocks).alias("k"), "content").select(each(groups).alias("g"), "k", F.lit(True).alias("is_target"), "content")
-    met = left.unionByName(right).repartition(groups * blocks, "g", "k").sortWithinPartitions("g", "k", "is_target")
-    return met.mapInArrow(_by_group(keep), _LISTED)
+    slices, asked = packed(gallery.select("record_no", *G), _columns, SLICE), packed(targets.select("target_id", *T, *M), _columns, SLICE)
+    return met(slices, asked, parts(slices, GROUP), parts(asked, TARGETS), gather, answer, _LISTED)
 
 
 def rescored(rows: DataFrame) -> DataFrame:

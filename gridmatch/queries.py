@@ -105,7 +105,7 @@ def tolerant_scores(spark, sf_dir):
 
 @query(f"WITH {X.GALLERY_SQL}, {X.TARGETS_SQL}, {COUNTED}, {USABLE} SELECT record_no, max({percent_sql('(known - ' + count_sql('(xor(w{k}, t{k}) & m{k})') + ')', 'known')}) AS best FROM gallery, usable GROUP BY record_no")
 def best_score_of_record(spark, sf_dir):
-    return S.scored_pairs(X.gallery(spark, sf_dir), _targets(spark, sf_dir)).groupBy("record_no").agg(F.max("score").alias("best"))
+    return S.best_scores(X.gallery(spark, sf_dir), _targets(spark, sf_dir))
 
 
 @query(f"{BASE}, {NEAR}, {TOP} SELECT target_id, CAST(count(*) FILTER (final >= 95) AS BIGINT) AS n_high, max(final) AS best FROM top GROUP BY target_id")
@@ -290,17 +290,11 @@ def raster_blocks(spark, sf_dir):
     return V.raster_features(X.rasters(spark, sf_dir)).select("vec_id", joined("blocks"), joined("rows"), joined("cols"))
 
 
-def _feature_pairs(spark, sf_dir):
-    """Each target's features (ids divisible by 20) beside every vector's."""
-    f = written(V.raster_features(X.rasters(spark, sf_dir)).select("vec_id", F.struct("blocks", "rows", "cols", "density", "edge").alias("f")), "features")
-    t = f.where("vec_id % 20 = 0").select(F.col("vec_id").alias("target_id"), F.col("f").alias("t"))
-    return f.withColumnRenamed("f", "c").crossJoin(F.broadcast(t))
-
-
-def _nearest(pairs, distance, keep=20):
-    d = pairs.withColumn("d", F.round(distance, 9))
-    w = W.partitionBy("target_id").orderBy("d", "vec_id")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("target_id", "rank", "vec_id", "d")
+def _nearest(spark, sf_dir, damaged: bool, keep: int = 20):
+    """The nearest of all vectors' features for each target (ids divisible by 20)."""
+    f = written(V.raster_features(X.rasters(spark, sf_dir)).withColumnRenamed("vec_id", "record_no").withColumn("error", F.lit(None).cast("string")), "features")
+    t = f.where("record_no % 20 = 0").withColumnRenamed("record_no", "target_id")
+    return FS.coarse_list(f, t, keep, damaged).select("target_id", F.col("place").alias("rank"), F.col("record_no").alias("vec_id"), F.col("distance").alias("d"))
 
 
 _FEATURES = f"{X.RASTERS_SQL}, {_PX}, b AS (SELECT *, CAST(p < mean AS INT) AS bit FROM px), n AS (SELECT *, lag(bit) OVER (PARTITION BY vec_id, y ORDER BY x) AS l, lag(bit) OVER (PARTITION BY vec_id, x ORDER BY y) AS u FROM b), de AS (SELECT vec_id, sum(bit) / 64e0 AS density, (count(*) FILTER (l <> bit) + count(*) FILTER (u <> bit)) / 112e0 AS edge FROM n GROUP BY vec_id), v AS (SELECT vec_id, 'b' AS kind, y // 2 * 4 + x // 2 AS k, floor(sum(bit) / 4e0 * 255e0 + 0.5e0) AS v FROM b GROUP BY ALL UNION ALL SELECT vec_id, 'r', y, floor(sum(bit) / 8e0 * 255e0 + 0.5e0) FROM b GROUP BY ALL UNION ALL SELECT vec_id, 'c', x, floor(sum(bit) / 8e0 * 255e0 + 0.5e0) FROM b GROUP BY ALL)"
@@ -308,12 +302,12 @@ _FEATURES = f"{X.RASTERS_SQL}, {_PX}, b AS (SELECT *, CAST(p < mean AS INT) AS b
 
 @query(f"WITH {_FEATURES}, p AS (SELECT t.vec_id AS target_id, c.vec_id, sqrt(sum((t.v - c.v) * (t.v - c.v)) FILTER (t.kind = 'b') / 16e0) + sum(abs(t.v - c.v)) FILTER (t.kind <> 'b') / 128e0 AS s FROM v t JOIN v c USING (kind, k) WHERE t.vec_id % 20 = 0 GROUP BY ALL), d AS (SELECT target_id, p.vec_id, round(s + abs(x.density - y.density) * 1800 + abs(x.edge - y.edge) * 900, 9) AS d FROM p JOIN de x ON x.vec_id = target_id JOIN de y ON y.vec_id = p.vec_id) SELECT target_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY d, vec_id) AS INT) AS rank, vec_id, d FROM d QUALIFY rank <= 20")
 def coarse_nearest(spark, sf_dir):
-    return _nearest(_feature_pairs(spark, sf_dir), V.coarse_distance("t", "c"))
+    return _nearest(spark, sf_dir, damaged=False)
 
 
 @query(f"WITH {_FEATURES}, p AS (SELECT t.vec_id AS target_id, c.vec_id, t.kind, t.k, t.v AS x, c.v AS y FROM v t JOIN v c USING (kind, k) WHERE t.vec_id % 20 = 0), q AS (SELECT target_id, vec_id, sqrt(sum((greatest(0, x - y) ** 2 + (greatest(0, y - x) * 0.18e0) ** 2) * (0.35e0 + x / 255e0)) FILTER (kind = 'b' AND x / 255e0 >= 0.08e0 AND k NOT IN (0, 3, 12)) / count(*) FILTER (kind = 'b' AND x / 255e0 >= 0.08e0 AND k NOT IN (0, 3, 12))) AS block, sum(greatest(0, x - y) + greatest(0, y - x) * 0.12e0) FILTER (kind <> 'b' AND x > 18) / count(*) FILTER (kind <> 'b' AND x > 18) AS projection FROM p GROUP BY ALL), d AS (SELECT target_id, q.vec_id, round(coalesce(block, 999) + coalesce(projection, 999) + greatest(0, a.density - b.density) * 500, 9) AS d FROM q JOIN de a ON a.vec_id = target_id JOIN de b ON b.vec_id = q.vec_id) SELECT target_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY d, vec_id) AS INT) AS rank, vec_id, d FROM d QUALIFY rank <= 20")
 def damaged_nearest(spark, sf_dir):
-    return _nearest(_feature_pairs(spark, sf_dir), V.damaged_distance("t", "c"))
+    return _nearest(spark, sf_dir, damaged=True)
 
 
 @query(f"WITH {X.GALLERY_SQL} SELECT record_no, source_id, coalesce(page, 0) AS page, coalesce(item_index, 0) AS item_index, {', '.join(f'w{k}' for k in N)} FROM gallery")

@@ -193,3 +193,25 @@ def test_fine_search_finds_damaged_codes(spark):
 
 def test_square_padding():
     assert FS.square_padded(np.zeros((3, 8), np.uint8)).shape == (8, 8) and FS.square_padded(np.zeros((8, 3), np.uint8))[:, 2:5].sum() == 0
+
+
+def test_long_lists_are_a_full_sort(spark):
+    """More than half of all items for each target, with ties, by bins and by sorting everything."""
+    g = np.random.default_rng(4)
+    n, keep = 900, 560
+    v = {"blocks": g.integers(0, 256, (n, 16)), "rows": g.integers(0, 256, (n, 8)), "cols": g.integers(0, 256, (n, 8))}
+    for k in v:
+        v[k][600:] = v[k][:300]  # pairs that tie
+    rows = [(i, *(v[k][i].tolist() for k in v), float(i % 7) / 7, 0.5, None if i % 50 else "bad") for i in range(n)]
+    items = spark.createDataFrame(rows, "record_no long, blocks array<int>, rows array<int>, cols array<int>, density double, edge double, error string").repartition(4)
+    targets = items.where("record_no in (3, 4, 601)").withColumnRenamed("record_no", "target_id")
+    vectors = {k: x.astype(float) for k, x in v.items()} | {"density": np.array([r[4] for r in rows]), "edge": np.full(n, 0.5)}
+    fine = np.array([r[6] is None for r in rows])
+    for damaged, distance in ((True, FS.damaged_distances), (False, FS.coarse_distances)):
+        got = {}
+        for r in FS.coarse_list(items, targets, keep, damaged).orderBy("target_id", "place").collect():
+            got.setdefault(r["target_id"], []).append((r["distance"], r["record_no"]))
+        assert set(got) == {3, 4, 601}
+        for t, mine in got.items():
+            d = np.round(distance({k: x[t] for k, x in vectors.items()}, vectors), 9)
+            assert mine == sorted((d[i], i) for i in range(n) if fine[i])[:keep]
