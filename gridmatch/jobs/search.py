@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import bits as B
+from ..operators.index import preferred_grids
 from ..sources.tables import written
 from .blocks import met, packed, parts
 
@@ -229,6 +230,22 @@ def merged_top(packed: DataFrame, older: DataFrame, keep: int = RESULTS) -> Data
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("target_id", "rank", "id", "score")
 
 
+def search_both(gallery: DataFrame, sources: DataFrame, mode: str, items: DataFrame, sidecar: DataFrame, targets: DataFrame, keep: int = RESULTS) -> DataFrame:
+    """The best of the packed gallery and of the older items for each usable target: target_id, rank, id, score.
+
+    Records of active sources score as in search(). Older items (id, words; null without a grid) have
+    the sidecar's grid where there is one, else their own, and score by their best of four turns; an
+    item without either has no score. Ties: packed first, then by rank, then by item id.
+    """
+    asked = written(usable(with_counts(targets)), "asked")
+    packed_ = search(gallery, asked, sources, mode).select("target_id", "id", F.col("final").alias("score"), F.col("rank").cast("long").alias("place"))
+    grid = F.when(F.col("w0").isNotNull(), F.struct(*G)).alias("grid")
+    older = preferred_grids(items.select("id", grid), sidecar.select("id", grid)).where("grid is not null").select(F.col("id").alias("record_no"), "grid.*")
+    turned = turned_shortlist(older, asked, keep)
+    turned = turned.select("target_id", F.concat(F.lit("item-"), "record_no").alias("id"), B.percent(F.col("known") - F.col("mismatch"), F.col("known")).alias("score"), F.col("record_no").alias("place"))
+    return merged_top(packed_, turned, keep)
+
+
 def turned_shortlist(gallery: DataFrame, targets: DataFrame, keep: int = RESULTS) -> DataFrame:
     """The `keep` records with fewest mismatches over four turns: target_id, record_no, known, mismatch.
 

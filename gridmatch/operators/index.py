@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .order import placed
+
 #: The extensions that are imported.
 IMAGES = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
 PDF = ".pdf"
@@ -74,13 +76,12 @@ def clamped_crop(x: Column, y: Column, w: Column, h: Column, width: Column, heig
 def numbered(records: DataFrame) -> DataFrame:
     """record_no in (source, page, item) order and each source's start_record.
 
-    Sources are summed up from their counts (few rows); rows are only ranked within a source's page,
-    after a prefix sum over pages, so no window holds all rows.
+    Sources are summed up from their counts, in ranges of them; rows are only ranked within a source's
+    page, after a prefix sum over its pages, so no window holds all rows.
     """
     pages = records.groupBy("source_id", "page").agg(F.count("*").alias("n"))
     per = pages.groupBy("source_id").agg(F.sum("n").alias("n"))
-    before = W.orderBy("source_id").rowsBetween(W.unboundedPreceding, -1)
-    starts = per.select("source_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start_record"))
+    starts = placed(per, ["source_id"], total="n", total_name="start_record").select("source_id", "start_record")
     within = W.partitionBy("source_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
     offsets = pages.select("source_id", "page", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("before"))
     ranked = records.withColumn("_r", F.row_number().over(W.partitionBy("source_id", "page").orderBy("item")) - 1)

@@ -478,3 +478,40 @@ def imported_in_parts(spark, sf_dir):
     BD.import_batch(store, "first", X.MODE, files.where(of % 3 != 0), no_images, pages.where((of % 3 == 2) | (F.col("page") <= 2)))
     BD.import_batch(store, "second", X.MODE, files, no_images, pages)
     return store.gallery().select("record_no", "source_id", "page", "item_index", *S.G)
+
+
+_OLDER = f"""own AS (SELECT doc_id AS id, {', '.join(f'CASE WHEN doc_id % 5 <> 0 THEN {X.word_sql("doc_id", "o", k)} END AS w{k}' for k in N)} FROM documents),
+side AS (SELECT doc_id AS id, {', '.join(f'xor({X.word_sql("(doc_id // 60 * 60)", "g", k)}, {X.all_of_sql("doc_id", X.FLIPS[:3], k)}) AS w{k}' for k in N)} FROM documents WHERE doc_id % 3 = 0),
+older AS (SELECT o.id, {', '.join(f'coalesce(s.w{k}, o.w{k}) AS w{k}' for k in N)} FROM own o LEFT JOIN side s USING (id) WHERE s.id IS NOT NULL OR o.w0 IS NOT NULL)"""
+
+
+@query(
+    f"{BASE}, {NEAR}, {TOP}, {_OLDER}, "
+    + "tc AS (SELECT target_id, known, i, turns, CASE turns " + " ".join(f"WHEN {r} THEN {_turned_sql('t', (4 - r) % 4)}" for r in range(4)) + " END AS t, CASE turns " + " ".join(f"WHEN {r} THEN {_turned_sql('m', (4 - r) % 4)}" for r in range(4)) + " END AS m FROM usable, range(441) r(i), range(4) q(turns)), "
+    + "tw AS (SELECT target_id, known, turns, " + ", ".join(f"CAST(sum(CASE WHEN i // 63 = {k} THEN {v} << (i % 63) ELSE 0 END) AS BIGINT) AS {v}{k}" for k in N for v in "tm") + " FROM tc GROUP BY ALL), "
+    + f"p AS (SELECT target_id, id, known, min({count_sql('(xor(w{k}, t{k}) & m{k})')}) AS mismatch FROM tw, older GROUP BY ALL), "
+    + f"both_ AS (SELECT target_id, 'qrbin:' || record_no AS id, final AS score, 0 AS side, rank AS place FROM top UNION ALL SELECT target_id, 'item-' || id, {percent_sql('(known - mismatch)', 'known')}, 1, id FROM p) "
+    + "SELECT target_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY score DESC, side, place) AS INT) AS rank, id, score FROM both_ QUALIFY rank <= 5"
+)
+def search_of_both_indexes(spark, sf_dir):
+    """Targets against the packed gallery and against older items, whose sidecar grids resemble some targets, turned or not."""
+    i = F.col("doc_id")
+    d = X.table(spark, sf_dir, "documents").select("doc_id")
+    own = written(d.select(i.alias("id"), *[F.when(i % 5 != 0, X.word(i, "o", k)).alias(f"w{k}") for k in N]), "own")
+    like = (F.floor(i / 60) * 60).cast("bigint")
+    side = written(d.where(i % 3 == 0).select(i.alias("id"), *[X.word(like, "g", k).bitwiseXOR(X.all_of(i, X.FLIPS[:3], k)).alias(f"w{k}") for k in N]), "side")
+    return S.search_both(X.gallery(spark, sf_dir), latest(X.sources_log(spark, sf_dir)), X.MODE, own, side, X.targets(spark, sf_dir))
+
+
+@query(
+    f"WITH {X.OUTCOMES_SQL}, p AS (SELECT DISTINCT source_id, page + 1 AS page FROM outcomes WHERE status <> 'skipped'), s AS (SELECT source_id, count(*) FILTER (status = 'indexed') AS item_count FROM outcomes GROUP BY 1), "
+    "m AS (SELECT s.source_id, min(k) AS missing FROM s, range(1, 15) r(k) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.source_id = s.source_id AND p.page = k) GROUP BY 1) "
+    "SELECT source_id, CAST(missing - 1 AS INT) AS completed_page, item_count, coalesce(sum(item_count) OVER (ORDER BY source_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_record FROM s JOIN m USING (source_id)"
+)
+def source_states(spark, sf_dir):
+    """Each source's records, where they start, and its last page before a gap."""
+    o = X.outcomes(spark, sf_dir).withColumn("hash", F.col("source_id"))
+    gone = o.where("status <> 'skipped'").select("hash", (F.col("page") + 1).cast("int").alias("page")).distinct()
+    pages = BD.last_whole_page(gone)
+    counts = O.placed(o.groupBy("source_id").agg(F.count(F.when(F.col("status") == "indexed", 1)).alias("item_count")), ["source_id"], total="item_count", total_name="start_record")
+    return counts.join(pages, F.col("source_id") == F.col("hash"), "left").select("source_id", F.coalesce("completed_page", F.lit(0)).alias("completed_page"), "item_count", "start_record")
