@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,5 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for paths in _watching:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_watching: list[list[str]] = []
+
+
+@contextmanager
+def tables_removed(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the tables written on the way inside; what reads them must be done or written elsewhere by then."""
+    paths: list[str] = []
+    _watching.append(paths)
+    try:
+        yield
+    finally:
+        _watching.remove(paths)
+        for p in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

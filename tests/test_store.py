@@ -4,6 +4,7 @@ import json
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from gridmatch.operators import raster as R
 from gridmatch.sources import fixtures as X
 from gridmatch.sources import records as P
 from gridmatch.sources import store
-from gridmatch.sources.tables import shared_dir
+from gridmatch.sources.tables import shared_dir, tables_removed, written
 
 
 def png(gray):
@@ -194,3 +195,20 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def test_tables_on_the_way_are_removed(spark):
+    there = lambda df: [Path(f.removeprefix("file:")).exists() for f in df.inputFiles()]
+    before = written(spark.range(3), "kept")
+    with tables_removed(spark):
+        outer = written(spark.range(5), "gone")
+        with tables_removed(spark):
+            inner = written(outer, "gone")
+            count, files = inner.count(), inner.inputFiles()
+        assert count == 5 and not any(Path(f.removeprefix("file:")).exists() for f in files) and all(there(outer))
+        files = outer.inputFiles()
+    assert not any(Path(f.removeprefix("file:")).exists() for f in files) and all(there(before)) and before.count() == 3
+    with pytest.raises(ZeroDivisionError), tables_removed(spark):
+        files = written(spark.range(2), "gone").inputFiles()
+        raise ZeroDivisionError
+    assert not any(Path(f.removeprefix("file:")).exists() for f in files)
