@@ -95,6 +95,14 @@ def report(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("source_id").agg(F.count("*").alias("scanned"), is_("indexed").alias("indexed"), is_("skipped").alias("skipped"), is_("failed").alias("failed"), F.array_join(F.sort_array(F.collect_set("error")), ";").alias("errors"))
 
 
+def index_totals(sources: DataFrame, older: DataFrame, mode: str) -> DataFrame:
+    """active_records, older_items, total: one row."""
+    live = (F.col("item_count") > 0) & (F.col("mode") == mode)
+    packed = sources.agg(F.coalesce(F.sum(F.when(live, F.col("item_count"))), F.lit(0)).alias("active_records"), F.lit(0).cast("long").alias("older_items"))
+    both = packed.unionByName(older.agg(F.lit(0).cast("long").alias("active_records"), F.count("*").alias("older_items")))
+    return both.agg(F.sum("active_records").alias("active_records"), F.sum("older_items").alias("older_items")).withColumn("total", F.col("active_records") + F.col("older_items"))
+
+
 def page_report(outcomes: DataFrame) -> DataFrame:
     """Detected, indexed and failed of each page of a source."""
     return outcomes.groupBy("source_id", "page").agg(F.count("*").alias("detected"), F.sum((F.col("status") == "indexed").cast("bigint")).alias("indexed"), F.sum((F.col("status") == "failed").cast("bigint")).alias("failed"))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from .functions import bits as B
 from .jobs import build as BD
 from .jobs import fine as FS
+from .jobs import preview as PV
 from .jobs import search as S
 from .operators import crops as C
 from .operators import features as V
@@ -444,13 +445,14 @@ def crops_from_pixels(spark, sf_dir):
 
 @query()
 def fine_nearest(spark, sf_dir):
-    """Gallery grids as images: 200 nearest by features for ids divisible by 20, and the five best of these."""
+    """Gallery grids as images. Targets, ids divisible by 100: turned and with a blot. The five best of each coarse list of the library's length."""
     # 64 bytes a row are spread before each becomes an image, whose features take a core's time.
     spread = X.gallery(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "record_no")
     images = R.drawn(spread).withColumn("width", F.sqrt(F.octet_length("pixels")).cast("int"))
     items = written(FS.image_features(images), "items")
-    targets = written(FS.image_features(images.where("record_no % 20 = 0"), target=True).withColumnRenamed("record_no", "target_id"), "targets")
-    return FS.fine_top(FS.coarse_list(items, targets, 200), items, targets).select("target_id", "rank", "record_no", "score")
+    asked = R.blotted(images.where("record_no % 100 = 0"), F.floor(F.col("record_no") / 100) % 4)
+    targets = written(FS.image_features(asked, target=True).withColumnRenamed("record_no", "target_id"), "targets")
+    return FS.fine_top(FS.coarse_list(items, targets), items, targets).select("target_id", "rank", "record_no", "score")
 
 
 @query(f"WITH {X.GALLERY_SQL} SELECT record_no // 12 AS page_id, CAST(record_no % 12 + 1 AS INT) AS item, 'indexed' AS status, CAST(441 AS INT) AS known, {', '.join(f'w{k}' for k in N)} FROM gallery")
@@ -515,3 +517,30 @@ def source_states(spark, sf_dir):
     pages = BD.last_whole_page(gone)
     counts = O.placed(o.groupBy("source_id").agg(F.count(F.when(F.col("status") == "indexed", 1)).alias("item_count")), ["source_id"], total="item_count", total_name="start_record")
     return counts.join(pages, F.col("source_id") == F.col("hash"), "left").select("source_id", F.coalesce("completed_page", F.lit(0)).alias("completed_page"), "item_count", "start_record")
+
+
+_HALF = lambda v: f"CAST(floor({v} + 0.5e0) AS INT)"
+
+
+@query(
+    f"WITH {X.GALLERY_SQL}, c AS (SELECT record_no, i % 21 AS x, i // 21 AS y FROM (SELECT record_no, i, {CELL('w')} AS v FROM gallery, range(441) r(i)) WHERE v = 1), "
+    f"b AS (SELECT record_no, greatest(0, {_HALF('(record_no % 40) - 5.5e0')}) AS l, greatest(0, {_HALF('(record_no % 31) - 3e0')}) AS t FROM gallery), "
+    f"s AS (SELECT *, greatest(8, least({_HALF('(record_no % 300) + 4.5e0')}, 420 - l)) AS w, greatest(8, least(CAST(record_no % 200 * 3 AS INT), 420 - t)) AS h FROM b) "
+    "SELECT s.record_no, w AS width, h AS height, CAST(sum(greatest(0, least(l + w, 20 * x + 20) - greatest(l, 20 * x)) * greatest(0, least(t + h, 20 * y + 20) - greatest(t, 20 * y))) AS INT) AS black FROM s JOIN c USING (record_no) GROUP BY ALL"
+)
+def cropped_images(spark, sf_dir):
+    """Gallery grids as images, each cut to a crop that may begin or end outside: sizes and black pixels."""
+    i = F.col("record_no")
+    images = R.drawn(X.gallery(spark, sf_dir)).withColumns({"width": F.lit(420), "height": F.lit(420)})
+    crops = images.withColumns({"x": i % 40 - F.lit(5.5), "y": (i % 31 - 3).cast("double"), "w": i % 300 + F.lit(4.5), "h": (i % 200 * 3).cast("double")})
+    black = F.length(F.replace(F.decode("pixels", "ISO-8859-1"), F.lit("\u00ff"))).cast("int")
+    return PV.cropped(crops).select("record_no", "width", "height", black.alias("black"))
+
+
+@query(
+    f"WITH {X.GALLERY_SQL}, {X.SOURCES_SQL}, a AS (SELECT coalesce(sum(item_count), 0) AS n FROM sources WHERE item_count > 0 AND mode = '{X.MODE}'), o AS (SELECT count(*) AS n FROM embeddings) "
+    "SELECT CAST(a.n AS BIGINT) AS active_records, o.n AS older_items, CAST(a.n + o.n AS BIGINT) AS total FROM a, o"
+)
+def index_totals(spark, sf_dir):
+    """Records of active sources, items of the older index, and both."""
+    return I.index_totals(latest(X.sources_log(spark, sf_dir)), X.table(spark, sf_dir, "embeddings"), X.MODE)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridmatch.functions.bits import in_finder_zone
 from gridmatch.jobs import fine as FS
+from gridmatch.jobs import preview as PV
 from gridmatch.operators import crops as C
 from gridmatch.operators import features as V
 from gridmatch.operators import finders as D
@@ -215,3 +216,34 @@ def test_long_lists_are_a_full_sort(spark):
         for t, mine in got.items():
             d = np.round(distance({k: x[t] for k, x in vectors.items()}, vectors), 9)
             assert mine == sorted((d[i], i) for i in range(n) if fine[i])[:keep]
+
+
+def test_previews(spark):
+    """A code with finders is seen by them, a wide image too; bars by area; no raster is no preview."""
+    upright = np.kron(1 - code(3), np.full((10, 10), 255)).astype(np.uint8)
+    wide = np.pad(upright, ((0, 0), (40, 40)), constant_values=255)
+    bars = np.tile(np.repeat(np.array([0, 255], np.uint8), 26), (260, 5))
+    rows = [(1, 250, upright.tobytes()), (2, 330, wide.tobytes()), (3, 260, bars.tobytes()), (4, 7, b"123"), (5, None, None)]
+    got = {r["record_no"]: r for r in PV.target_previews(spark.createDataFrame(rows, "record_no long, width int, pixels binary")).collect()}
+    assert [got[k]["by"] for k in range(1, 6)] == ["finders", "finders", "area", None, None] and got[4]["svg"] is None
+    assert got[1]["svg"].count("#000") == got[1]["black"] == int(code(3).sum()) and abs(got[2]["black"] - got[1]["black"]) <= 12
+
+
+def test_crops_as_slices(spark):
+    gray = np.arange(40 * 30, dtype=np.int64).reshape(30, 40).astype(np.uint8)
+    boxes = [(1, None, None, None, None), (2, 3.4, 2.5, 10.0, 12.0), (3, -5.0, -0.6, 20.0, 9.0), (4, 36.0, 5.0, 9.0, 9.0), (5, 10.0, 10.0, 500.0, 3.0), (6, 1.0, 1.0, None, 2.0)]
+    t = spark.createDataFrame([(*b, 40, 30, gray.tobytes(), "k") for b in boxes] + [(7, 0.0, 0.0, 9.0, 9.0, 40, 30, b"short", "k")], "record_no long, x double, y double, w double, h double, width int, height int, pixels binary, note string")
+    got = {r["record_no"]: (r["width"], r["height"], r["pixels"] and bytes(r["pixels"])) for r in PV.cropped(t).collect()}
+    cut = lambda left, top, w, h: (w, h, gray[top : top + h, left : left + w].tobytes())
+    assert got == {1: cut(0, 0, 40, 30), 2: cut(3, 3, 10, 12), 3: cut(0, 0, 20, 9), 4: (None, None, None), 5: cut(10, 10, 30, 8), 6: cut(0, 0, 40, 30), 7: (None, None, None)}
+    assert "note" in PV.cropped(t).columns
+
+
+def test_turned_and_blotted_targets_find_themselves(spark):
+    images = R.drawn(X.gallery(spark, SF).where("record_no < 90")).withColumn("width", F.lit(420))
+    items = FS.image_features(images).cache()
+    asked = R.blotted(images.where("record_no % 15 = 0"), F.floor(F.col("record_no") / 15) % 4)
+    targets = FS.image_features(asked, target=True).withColumnRenamed("record_no", "target_id").cache()
+    best = FS.fine_top(FS.coarse_list(items, targets), items, targets).where("rank <= 2").collect()
+    first = {r["target_id"]: (r["record_no"], r["score"]) for r in best if r["rank"] == 1}
+    assert first.keys() == {0, 15, 30, 45, 60, 75} and sum(t == r for t, (r, _) in first.items()) >= 5
