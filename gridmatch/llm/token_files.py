@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ SEQUENCE = 1024
 RECORDS = 256
 FILE_IDS = 1 << 24
 END_ID = 0
-#: Pieces whose ids a worker remembers; at the bound it starts anew.
-CACHE = 900_000
+#: Pieces whose ids a worker remembers for good, and later ones, of which it starts anew at the bound.
+CACHE, LATE = 750_000, 150_000
 
 _known: dict[tuple[str, bool], _Encoder] = {}
 
@@ -60,26 +61,37 @@ class _Pieces(dict):
         super().__init__()
         self.library, self.kind, self.before = library, kind, before
         self.word, self.after = library.model.tokenize, self
+        self.late: dict[str, bytes] = {}
+        self.code = "I" if kind.itemsize == 4 else "H"
 
     def tokens(self, p: str) -> bytes:
-        return np.array([t.id for t in self.word("".join([_LETTER[b] for b in p.encode()]))], self.kind).tobytes()
+        plain = p.isascii() and p.isprintable()  # then only a space is written in another way
+        letters = p.replace(" ", _LETTER[32]) if plain else "".join([_LETTER[b] for b in p.encode()])
+        return array(self.code, [t.id for t in self.word(letters)]).tobytes()
+
+    def keep(self, p: str, ids: bytes) -> bytes:
+        """Remembers ids: the first pieces, which are the common ones, for good, later ones until there are too many."""
+        if len(self) < CACHE:
+            self[p] = ids
+        else:
+            if len(self.late) >= LATE:
+                self.late.clear()
+            self.late[p] = ids
+        return ids
 
     def __missing__(self, p: str) -> bytes | None:
         if not p or p[0].isspace() or p[-1].isspace():
             return None
-        if len(self) >= CACHE:
-            self.clear()
-        if p.isalpha() and max(p) < "\u0250":  # one pre-token: the library's model alone
-            ids = self[p] = self.tokens(self.before + p)
-            return ids
+        if p in self.late:
+            return self.late[p]
+        if p.isalpha() and (p.isascii() or max(p) < "\u0250"):  # one pre-token: the library's model alone
+            return self.keep(p, self.tokens(self.before + p))
         if p[-1] in ".,;:!?" and p[:-1].isalpha():  # a mark after a letter is a token of its own
-            ids = self[p] = self[p[:-1]] + self.tokens(p[-1])
-            return ids
+            return self.keep(p, self[p[:-1]] + self.tokens(p[-1]))
         left, line, right = p.partition("\n")
         if line and left and right and p.count(line) < 50 and not left[-1].isspace() and not right[0].isspace():  # so is a line's end between others
             return self[left] + self.tokens(line) + self.after[right]
-        ids = self[p] = np.array(self.library.encode(self.before + p, add_special_tokens=False).ids, self.kind).tobytes()
-        return ids
+        return self.keep(p, np.array(self.library.encode(self.before + p, add_special_tokens=False).ids, self.kind).tobytes())
 
 
 class _Encoder:
