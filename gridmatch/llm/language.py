@@ -46,6 +46,7 @@ _SEEN[128:] = np.arange(128, 256)
 
 
 def held_out(doc_id: Column) -> Column:
+    """Null without an id: such a row is labelled, but not learned from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 

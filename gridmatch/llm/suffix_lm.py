@@ -293,7 +293,8 @@ def _rare(a: Alphabet, frequent, common):
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    Null texts are empty and consist of their end. Rows that repeat get the same scores. Without
+    Null texts are empty and consist of their end. Rows that repeat get the same scores. A row without
+    an id is scored, but has a null held_out and is not learned from. Without
     training documents every count is 0 and the tree is uniform; an empty table gives an empty result.
     """
     spark = docs.sparkSession
