@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.bits import CELLS, SIDE, WORDS
 from ..operators import raster as R
+from ..operators.index import natural_key
 from .records import to_words
 
 WORD_NAMES = [f"w{k}" for k in range(WORDS)]
@@ -87,9 +88,10 @@ def image_records(images: DataFrame, preset: dict | None = None) -> DataFrame:
 def read_lines(spark: SparkSession, path: str, schema: T.StructType | str, key: str = "id") -> DataFrame:
     """Rows of JSON lines, of each key the last one in the file; blank lines and rows without a key go.
 
-    The order of lines is that of their files and places: the start of a task's part, then the line in it.
+    The order of lines is that of their files, in natural order (part-2 before part-10), and places:
+    the start of a task's part, then the line in it.
     """
-    text = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    text = spark.read.text(path).select("value", F.struct(natural_key(F.col("_metadata.file_path")).alias("key"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
     rows = text.where(F.trim("value") != "").select(F.from_json("value", schema).alias("row"), "at").where(F.col(f"row.{key}").isNotNull())
     last = F.row_number().over(W.partitionBy(f"row.{key}").orderBy(F.desc("at")))
     return rows.withColumn("n", last).where("n = 1").select("row.*")

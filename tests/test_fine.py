@@ -247,3 +247,90 @@ def test_turned_and_blotted_targets_find_themselves(spark):
     best = FS.fine_top(FS.coarse_list(items, targets), items, targets).where("rank <= 2").collect()
     first = {r["target_id"]: (r["record_no"], r["score"]) for r in best if r["rank"] == 1}
     assert first.keys() == {0, 15, 30, 45, 60, 75} and sum(t == r for t, (r, _) in first.items()) >= 5
+
+
+def slow_sample(gray, side, black, white, gray_share, margin=0, shift=(0, 0), scale=1.0, expand=0, full=False):
+    """Cells and mask pixel by pixel, of a raster that already has the size it is sampled at."""
+    size = len(gray)
+    dark = [(x, y) for y in range(size) for x in range(size) if gray[y][x] <= black]
+    cx = cy = size / 2
+    length = max(side, size - 2 * margin) if full else size
+    if dark and not full:
+        xs, ys = [x for x, _ in dark], [y for _, y in dark]
+        cx, cy, length = (min(xs) + max(xs)) / 2, (min(ys) + max(ys)) / 2, max(max(xs) - min(xs), max(ys) - min(ys)) + 1
+    length *= scale
+    left, top, cell = cx + shift[0] - length / 2, cy + shift[1] - length / 2, length / side
+    values, mask = [[0] * side for _ in range(side)], [[0] * side for _ in range(side)]
+    for j in range(side):
+        for i in range(side):
+            span = lambda start, k: range(max(0, min(size, int(np.floor(start + k * cell + cell / 4)))), max(0, min(size, int(np.ceil(start + (k + 1) * cell - cell / 4)))))
+            inside = [gray[y][x] for y in span(top, j) for x in span(left, i)]
+            mean = sum(inside) / max(1, len(inside))
+            values[j][i], mask[j][i] = int(mean <= black), int(mean <= black or mean >= white)
+            if gray_share is not None and sum(black < v < white for v in inside) / max(1, len(inside)) >= gray_share:
+                mask[j][i] = 0
+    lost = [(i, j) for j in range(side) for i in range(side) if not mask[j][i]]
+    for i, j in lost:
+        for y in range(max(0, j - expand), min(side, j + expand + 1)):
+            for x in range(max(0, i - expand), min(side, i + expand + 1)):
+                mask[y][x] = 0
+    return np.array(values) * np.array(mask), np.array(mask)
+
+
+@pytest.mark.parametrize("options", [{}, {"full": True, "margin": 9}, {"shift": (6, -4)}, {"scale": 0.9}, {"expand": 1}, {"shift": (40, 40), "scale": 1.2, "expand": 2}])
+@pytest.mark.parametrize("preset", [R.GALLERY, R.TARGET])
+def test_samples_pixel_by_pixel(options, preset):
+    g = np.random.default_rng(len(options))
+    cells = (g.random((13, 13)) < 0.5) * 255
+    gray = np.full((260, 260), 255, np.uint8)
+    gray[26:247, 20:241] = np.kron(cells, np.ones((17, 17)))
+    gray[60:120, 90:150] = 140
+    gray[180:186, 60:200] = 120
+    want = slow_sample(gray.astype(float).tolist(), 13, preset["black"], preset["white"], preset["gray_share"], **options)
+    plain = {k: v for k, v in options.items() if k != "full"} | ({"fit": "full"} if "full" in options else {})
+    got = R.sample(gray, 13, **(preset | {"stretch": False}), **plain)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_feature_bundle_part_by_part():
+    """cells and mask of an image's features are the grids by area and by sampling, one after the other; blocks and lines are shares."""
+    gray = np.pad(np.kron(1 - code(5), np.full((9, 9), 230)).astype(np.uint8) + 20, ((3, 3), (20, 20)), constant_values=250)
+    for target in (False, True):
+        f, image_ = FS.image_feature(gray, target), FS.square_padded(gray) if target else gray
+        low, high = (R.resized(image_, n) for n in (64, 260))
+        bits = [(R.stretched(p) < R.stretched(p).mean()).astype(np.uint8) for p in (low, high)]
+        masks = []
+        for p, b in zip((low, high), bits, strict=True):
+            sure = np.abs(p - p.mean()) >= 18
+            sure = np.ones_like(sure) if sure.mean() < 0.35 else sure
+            masks.append(FS.without_white_damage(b, sure.astype(np.uint8)) if target else np.ones_like(b))
+        at = 0
+        cells, mask = (np.unpackbits(np.frombuffer(f[k], np.uint8), bitorder="little") for k in ("cells", "mask"))
+        for n, pad in FS.GRIDS:
+            k = int((n, pad) in FS.FROM_HIGH)
+            if pad is None:
+                edge = [int(v * (64 / n)) for v in range(n + 1)]
+                share = lambda a: np.array([[a[edge[y] : edge[y + 1], edge[x] : edge[x + 1]].mean() for x in range(n)] for y in range(n)])  # noqa: B023, E731
+                want = (share(bits[0]) >= 0.5).astype(int), (share(masks[0]) >= 0.45).astype(int)
+            else:
+                want = D.grid_by_sampling(bits[k], masks[k], n, pad)
+            for mine, w in zip((cells, mask), want, strict=True):
+                assert (mine[at : at + n * n].reshape(n, n) == w).all(), (n, pad, target)
+            at += n * n
+        assert f["blocks"].tolist() == [int(np.floor(bits[0][y : y + 4, x : x + 4].mean() * 255 + 0.5)) for y in range(0, 64, 4) for x in range(0, 64, 4)]
+        assert f["rows"].tolist() == [int(np.floor(r.mean() * 255 + 0.5)) for r in bits[0]] and f["density"] == bits[0].mean()
+
+
+def test_fine_score_is_the_best_of_all_grids():
+    g = np.random.default_rng(9)
+    some = [FS.image_feature(R.draw(code(k, 21)[None], 12, 0)[0], target=k < 3) for k in range(6)]
+    t, c = some[:3] * 3, [some[3 + k // 3] for k in range(9)]
+    got = FS.fine_scores(FS.unpacked([x["cells"] for x in t]), FS.unpacked([x["mask"] for x in t]), FS.unpacked([x["cells"] for x in c]), [x["finders"] for x in t], [x["finders"] for x in c])
+    for k, (x, y) in enumerate(zip(t, c, strict=True)):
+        a, m, b = (FS.unpacked([v])[0] for v in (x["cells"], x["mask"], y["cells"]))
+        scores = [FS.finder_scores([x["finders"]], [y["finders"]])[0]]
+        for i, (n, pad) in enumerate(FS.GRIDS):
+            part = slice(FS.ENDS[i], FS.ENDS[i + 1])
+            scores.append(slow_score(*(v[part].reshape(n, n).tolist() for v in (a, m, b)), *((0.72, 0.28) if pad is None else (0.92, 0.08))))
+        assert got[k] == pytest.approx(max(scores), abs=0.011)
+    assert g is not None and len(FS.GRIDS) == 16

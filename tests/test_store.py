@@ -57,6 +57,10 @@ def test_json_lines_keep_the_last_row(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text("\n".join(json.dumps(x) if x else "  " for x in lines) + "\n\n")
     got = sorted(map(tuple, store.read_sources(spark, str(tmp_path / "s.jsonl")).collect()))
     assert got == [(1, "c", 7, "m"), (2, "b", None, None)]
+    (tmp_path / "log").mkdir()
+    for k in (1, 2, 9, 10, 11):
+        (tmp_path / "log" / f"part-{k}.jsonl").write_text(json.dumps({"id": 1 + k % 2, "name": f"n{k}"}) + "\n")
+    assert sorted((r["id"], r["name"]) for r in store.read_sources(spark, str(tmp_path / "log")).collect()) == [(1, "n10"), (2, "n11")]
     (tmp_path / "f.jsonl").write_text('{"id": "x"}\n{"id": "y", "kind": "pdf", "width": 3}\n')
     got = {r["id"]: (r["code"], r["kind"], r["width"], r["height"]) for r in store.read_feature_index(spark, str(tmp_path / "f.jsonl")).collect()}
     assert got == {"x": (None, "image", 0, 0), "y": (None, "pdf", 3, 0)}
