@@ -8,10 +8,12 @@ those rows.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import crops as C
 from ..operators import index as I
@@ -19,6 +21,7 @@ from ..operators.order import placed
 from ..operators.raster import TARGET
 from ..sources import store as images_
 from ..sources.living import Store
+from ..sources.records import read_packed_index
 from ..sources.tables import written
 from .search import search
 
@@ -170,6 +173,46 @@ def _report(files: DataFrame, fresh: DataFrame, outcomes: DataFrame, expected: D
     return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("scanned", "total_files", "indexed", "skipped", "failed")])
 
 
+def import_packed_index(store: Store, batch: str, shards: str, codes: str, sources_log: str) -> None:
+    """Takes a packed index over into an empty store: shard files, the codes file, and the JSON lines of its sources.
+
+    Record and source numbers stay as they are; the last line of a source counts. A batch that is
+    there is not written again.
+    """
+    if store.has(batch):
+        return
+    if store.totals() != (0, 0, 0):
+        raise ValueError("the store has records: their numbers would meet those of the packed index")
+    spark = store.spark
+    log = images_.read_lines(spark, sources_log, "id long, path string, name string, hash string, startRecord long, itemCount long, extractionMode string")
+    log = written(log.withColumnsRenamed({"startRecord": "start_record", "itemCount": "item_count", "extractionMode": "mode"}), "log")
+    rows = read_packed_index(spark, shards, codes).join(log.select(F.col("id").alias("source_id"), "hash"), "source_id", "left")
+    store.write("gallery", rows.repartitionByRange("record_no").sortWithinPartitions("record_no"), batch)
+    of_pdf = F.when(I.extension(F.col("path")) == I.PDF, "pdf").otherwise("image")
+    # no state is known of these: a PDF with records is done, as is an image
+    s = log.select("*", F.lit(0).alias("seq"), of_pdf.alias("kind"), F.lit(None).cast("int").alias("page_count"), F.lit(None).cast("int").alias("completed_page"), F.lit(None).cast("string").alias("status"))
+    store.write("sources", s, batch)
+
+
+def import_stream(store: Store, folder: str, mode: str, checkpoint: str, files: int = 1000) -> StreamingQuery:
+    """Imports the images that come into a folder, so many files at a time; a trigger that broke off is run again as the same batch."""
+    spark = store.spark
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files)
+    run = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+
+    hashed = stream.load(folder).select("path", images_.plain_path().alias("plain"), F.sha1("content").alias("hash"))
+
+    def one(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        listing = written(batch, "files")
+        paths = [r["path"] for r in listing.select("path").limit(files).collect()]  # as many as a trigger takes
+        if paths:
+            pictures = images_.read_images(session, paths, keep_invalid=True)
+            import_batch(Store(session, store.folder), f"{run}-{number}", mode, listing.select(F.col("plain").alias("path"), "hash"), pictures)
+
+    return hashed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def import_folder(store: Store, batch: str, mode: str, folder: str, pages: DataFrame | None = None, texts: DataFrame | None = None, page_size: tuple[float, float] = (900, 1200), modified_after: str | None = None) -> DataFrame:
     """import_batch() of the files under a folder; Spark decodes the images."""
     spark = store.spark

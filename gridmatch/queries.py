@@ -544,3 +544,16 @@ def cropped_images(spark, sf_dir):
 def index_totals(spark, sf_dir):
     """Records of active sources, items of the older index, and both."""
     return I.index_totals(latest(X.sources_log(spark, sf_dir)), X.table(spark, sf_dir, "embeddings"), X.MODE)
+
+
+@query(f"WITH {X.GALLERY_SQL} SELECT record_no, source_id, coalesce(page, 0) AS page, coalesce(item_index, 0) AS item_index, code, {', '.join(f'w{k}' for k in N)} FROM gallery")
+def packed_index_again(spark, sf_dir):
+    """The gallery as 80-byte records and files of code lines, and both read again: codes are found by byte offsets."""
+    g = X.gallery(spark, sf_dir)
+    lines = O.placed(g.select("record_no", F.coalesce("code", F.lit("")).alias("line")).withColumn("size", F.octet_length("line").cast("long") + 1), ["record_no"], total="size", total_name="code_offset")
+    at = f"{shared_dir(spark)}/codes-{uuid.uuid4().hex}"
+    lines.orderBy("record_no").select("line").write.text(at)
+    coded = g.join(lines.select("record_no", "code_offset", F.octet_length("line").alias("code_length")), "record_no")
+    shards = P.packed_records(coded.drop("code").repartitionByRange("record_no").sortWithinPartitions("record_no"))
+    back = I.with_codes(P.parse_records(shards, codes=True), P.line_offsets(spark, at))
+    return back.select("record_no", "source_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("page", "item_index")], "code", *S.G)

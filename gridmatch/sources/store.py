@@ -26,7 +26,7 @@ def plain_path() -> Column:
     return F.coalesce(F.try_url_decode(F.replace(at, F.lit("+"), F.lit("%2B"))), at)
 
 
-def read_images(spark: SparkSession, path: str, keep_invalid: bool = False, modified_after: str | None = None) -> DataFrame:
+def read_images(spark: SparkSession, path: str | list[str], keep_invalid: bool = False, modified_after: str | None = None) -> DataFrame:
     """path, width, height and gray pixels (a byte each) of the image files under a folder.
 
     Files that are no image are dropped, or kept without pixels. Colours are weighted as luminance.

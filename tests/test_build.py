@@ -138,3 +138,56 @@ def test_crops_that_fail_and_pages_that_are_not_there(spark, grids):
     by_pixels = C.crop_grids(pages).where("index is not null").select("page_id", F.col("index").alias("i"), *[f"w{k}" for k in range(B.WORDS)])
     assert sorted(tuple(r) for r in by_pixels.collect()) == [("p", 1, *grid_words(grids[0])), ("p", 2, *grid_words(grids[1])), ("r", 1, *grid_words(grids[2]))]
     assert C.crop_grids(pages.limit(0)).count() == 0 and R.GALLERY["black"] == 95 and P.SHARD == 100_000
+
+
+def test_a_packed_index_is_taken_over(spark, tmp_path, grids):
+    """Shards, codes and sources byte by byte, two shards, lines of several bytes a letter; then an import goes on after them."""
+    store, codes, records = Store(spark, str(tmp_path / "store")), b"", [[], []]
+    at = {0: "123456", 1: "", 2: "ключ 7", 3: "9" * 70, 4: ""}
+    for n, text in at.items():
+        r = np.zeros(1, P.RECORD)
+        bits = np.zeros(448, np.uint8)
+        bits[:441] = grids[n].ravel()
+        r["grid"], r["code_offset"] = np.packbits(bits, bitorder="little"), np.frombuffer(len(codes).to_bytes(6, "little"), np.uint8)
+        r["code_length"], r["source_id"], r["page"], r["item_index"] = len(text.encode()), n % 2, n, n + 1
+        codes += text.encode() + b"\n"
+        records[n >= 3].append(r.tobytes())
+    (tmp_path / "shards").mkdir()
+    for k, part in enumerate(records):
+        (tmp_path / "shards" / f"codes-{k}.bin").write_bytes(b"".join(part) + b"cut" * k)
+    (tmp_path / "codes.txt").write_bytes(codes)
+    log = ['{"id":0,"name":"a","path":"/x/a.pdf","hash":"ha","startRecord":0,"itemCount":0,"extractionMode":"m1"}', "", '{"id":1,"name":"b","path":"/x/b.png","hash":"h9","startRecord":1,"itemCount":2,"extractionMode":"m1"}', '{"id":0,"name":"a","path":"/x/a.pdf","hash":"ha","startRecord":0,"itemCount":3,"extractionMode":"m1"}']
+    (tmp_path / "sources.jsonl").write_text("\n".join(log) + "\n")
+    for _ in range(2):  # the second time does nothing
+        build.import_packed_index(store, "old", str(tmp_path / "shards"), str(tmp_path / "codes.txt"), str(tmp_path / "sources.jsonl"))
+    got = found(store)
+    assert {n: (r["source_id"], r["page"], r["item_index"], r["code"]) for n, r in got.items()} == {n + 99_997 * (n >= 3): (n % 2, n or None, n + 1, t or None) for n, t in at.items()}
+    assert [got[100_000][f"w{k}"] for k in range(7)] == grid_words(grids[3]) and store.totals()[:2] == (5, 2)
+    # b.png is known, c.png is not
+    files = spark.createDataFrame([("in/b.png", "h9"), ("in/c.png", "h10"), ("in/a.pdf", "ha")], "path string, hash string")
+    pictures = spark.createDataFrame([(f"in/{n}.png", 312, 312, framed(grids[9]).tobytes()) for n in "bc"], "path string, width int, height int, pixels binary")
+    assert build.import_batch(store, "more", MODE, files, pictures).first().asDict() == {"scanned": 3, "total_files": 3, "indexed": 1, "skipped": 2, "failed": 0}
+    assert {r["name"]: r["id"] for r in store.sources().collect()} == {"a": 0, "b": 1, "c.png": 2}
+    with pytest.raises(ValueError):
+        build.import_packed_index(store, "again", str(tmp_path / "shards"), str(tmp_path / "codes.txt"), str(tmp_path / "sources.jsonl"))
+
+
+def test_images_that_come_in(spark, tmp_path, grids):
+    source, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    source.mkdir()
+
+    def come(*numbers):
+        for i in numbers:
+            (source / f"img {i}.png").write_bytes(png(framed(grids[i])))
+        for _ in range(2):  # the second trigger finds nothing new
+            build.import_stream(store, str(source), MODE, str(tmp_path / "checkpoint"), files=2).awaitTermination()
+
+    come(0, 1, 2)
+    assert sorted(found(store)) == [0, 1, 2]
+    (source / "copy.png").write_bytes(png(framed(grids[1])))
+    (source / "bad.png").write_bytes(b"none")
+    come(3)
+    names = {r["id"]: r["name"] for r in store.sources().collect()}
+    assert sorted(found(store)) == [0, 1, 2, 3] and sorted(names.values()) == [f"img {i}.png" for i in range(4)]
+    for r in found(store).values():
+        assert [r[f"w{k}"] for k in range(7)] == grid_words(grids[int(names[r["source_id"]][4])])
