@@ -26,8 +26,8 @@ SHORTLIST, RESULTS = 200, 5
 HIGH = 95.0
 #: Targets of one block: 7 + 7 words each, 460 KB broadcast.
 BLOCK = 4096
-#: Gallery rows compared at once with one target block.
-ROWS = 4096
+#: Records that a task gathers before it compares them with its targets.
+HELD = 131_072
 #: By blocks: records of a group and targets of a block, rows of a slice, and records compared at once.
 GROUP, TARGETS, SLICE, CHUNK = 1_000_000, 16_384, 8192, 32_768
 
@@ -89,37 +89,32 @@ def shortlist_sql(gallery: DataFrame, targets: DataFrame, keep: int = SHORTLIST)
 
 
 def _keep_nearest(grids: np.ndarray, masks: np.ndarray, ids: np.ndarray, keep: int):
+    """The lists of a task's records, which are gathered to groups of HELD and then meet all targets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
-        kept: dict[int, np.ndarray] = {}
+        best = [np.empty((2 + B.WORDS, 0), np.int64) for _ in ids]  # mismatches, records and words of each target
+
+        def meet(held: list[np.ndarray]) -> None:
+            group = _Group(np.concatenate(held, 1))
+            for k, old in enumerate(best):
+                wrong, place = group.nearest(grids[k], masks[k], keep, int(old[0, -1]) if old.shape[1] == keep else B.CELLS)
+                if len(place):
+                    every = np.concatenate((old, np.concatenate((wrong[None], group.rows[:, place]))), 1)
+                    best[k] = every[:, np.lexsort((every[1], every[0]))[:keep]]
+
+        held, many = [], 0
         for b in batches:
-            for i in range(0, b.num_rows, ROWS):
-                s = b.slice(i, ROWS)
-                record = s.column(0).to_numpy()
-                words = np.stack([s.column(k + 1).to_numpy() for k in range(B.WORDS)], 1)
-                entered = np.zeros(len(record), bool)  # words are kept of rows that some list took
-                for k in range(len(ids)):
-                    wrong = np.bitwise_count((words ^ grids[k]) & masks[k]).sum(1).astype(np.int64)
-                    d, r = best[k]
-                    if len(d) == keep:
-                        near = np.flatnonzero((wrong < d[-1]) | ((wrong == d[-1]) & (record < r[-1])))
-                        if not len(near):
-                            continue
-                        entered[near] = True
-                        d, r = np.concatenate((d, wrong[near])), np.concatenate((r, record[near]))
-                    else:
-                        entered[:] = True
-                        d, r = np.concatenate((d, wrong)), np.concatenate((r, record))
-                    order = np.lexsort((r, d))[:keep]
-                    best[k] = d[order], r[order]
-                wanted = {x for _, r in best for x in r.tolist()} if len(kept) + int(entered.sum()) > 4 * keep * len(ids) else None
-                kept.update(zip(record[entered].tolist(), words[entered], strict=True))
-                if wanted is not None:
-                    kept = {x: v for x, v in kept.items() if x in wanted}
-        for t, (d, r) in zip(ids.tolist(), best, strict=True):
-            if len(r):
-                w = np.stack([kept[x] for x in r.tolist()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), t)), pa.array(r), pa.array(d), *[pa.array(np.ascontiguousarray(w[:, k])) for k in range(B.WORDS)]], ["target_id", "record_no", "mismatch", *[f"w{k}" for k in range(B.WORDS)]])
+            if b.num_rows:
+                held.append(np.stack([c.to_numpy() for c in b.columns]).astype(np.int64))
+                many += b.num_rows
+            if many >= HELD:
+                meet(held)
+                held, many = [], 0
+        if many:
+            meet(held)
+        for t, (wrong, record, *words) in zip(ids.tolist(), best, strict=True):
+            if len(record):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(record), t)), *[pa.array(c) for c in (record, wrong, *words)]], ["target_id", "record_no", "mismatch", *G])
 
     return run
 
@@ -168,12 +163,12 @@ class _Group:
         self.first = np.arange(0, len(self.rank), CHUNK)
         self.least, self.most = self.black[self.first], self.black[np.minimum(self.first + CHUNK, len(self.rank)) - 1]
 
-    def nearest(self, grid: np.ndarray, mask: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-        """Mismatches and places by record of the `keep` nearest, ties to the smaller record."""
+    def nearest(self, grid: np.ndarray, mask: np.ndarray, keep: int, cut: int = B.CELLS) -> tuple[np.ndarray, np.ndarray]:
+        """Mismatches and places by record of the `keep` nearest, ties to the smaller record; none with more than cut."""
         known, black = (int(np.bitwise_count(v).sum()) for v in (mask, grid & mask))
         # a record that has fewer black cells than the target lacks some; so it does for white ones
         bound = np.maximum(0, np.maximum(black - self.most, self.least - (black + B.CELLS - known)))
-        best, cut = np.empty(0, np.int64), B.CELLS
+        best = np.empty(0, np.int64)
         for c in np.argsort(bound, kind="stable").tolist():
             if bound[c] > cut:
                 break
@@ -203,7 +198,11 @@ def by_blocks(gallery: DataFrame, targets: DataFrame, keep: int = SHORTLIST) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), t[0])), pa.array(found[0]), pa.array(wrong), *[pa.array(w) for w in found[1:]]], ["target_id", "record_no", "mismatch", *G])
 
     slices, asked = packed(gallery.select("record_no", *G), _columns, SLICE), packed(targets.select("target_id", *T, *M), _columns, SLICE)
-    return met(slices, asked, parts(slices, GROUP), parts(asked, TARGETS), gather, answer, _LISTED)
+    blocks = parts(asked, TARGETS)
+    # groups for every core, if there are slices for them
+    cores = gallery.sparkSession.sparkContext.defaultParallelism
+    groups = max(parts(slices, GROUP), min(parts(slices, SLICE), -(-2 * cores // blocks)))
+    return met(slices, asked, groups, blocks, gather, answer, _LISTED)
 
 
 def rescored(rows: DataFrame) -> DataFrame:
