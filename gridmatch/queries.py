@@ -557,3 +557,42 @@ def packed_index_again(spark, sf_dir):
     shards = P.packed_records(coded.drop("code").repartitionByRange("record_no").sortWithinPartitions("record_no"))
     back = I.with_codes(P.parse_records(shards, codes=True), P.line_offsets(spark, at))
     return back.select("record_no", "source_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("page", "item_index")], "code", *S.G)
+
+
+@query(f"WITH {X.GALLERY_SQL} SELECT record_no, CAST(record_no % 12 + 1 AS INT) AS item, lpad(CAST(record_no AS VARCHAR), 7, '7') AS code, CAST(441 AS INT) AS known, {', '.join(f'w{k}' for k in N)} FROM gallery")
+def printed_codes(spark, sf_dir):
+    """Pages that show twelve grids with a number under each: numbers find the boxes, which are cut out and sampled."""
+    g = X.gallery(spark, sf_dir)
+    place, i = F.col("record_no") % 12, F.col("record_no")
+    # a box of 87 pixels, 6 above a number of 150 x 12, lies around the 84 of a grid
+    left, top = (place % 4) * 220 + 30, F.floor(place / 4) * 220 + 30
+    numbers = g.select(F.floor(i / 12).alias("page_id"), F.concat(F.lit(" "), F.lpad(i.cast("string"), 7, "7")).alias("str"), (left + 42 - 75).cast("double").alias("x"), (top + 84 + 7).cast("double").alias("y"), F.lit(150.0).alias("width"), F.lit(12.0).alias("height"))
+    noise = numbers.select("page_id", F.lit("page 12345").alias("str"), "x", (F.col("y") + 40).alias("y"), "width", "height")
+    found = C.crop_grids(R.drawn_pages(g), C.crops_from_text(numbers.unionByName(noise), 910, 690)).where("status = 'indexed'")
+    return found.select((F.col("page_id") * 12 + F.col("index") - 1).alias("record_no"), F.col("index").alias("item"), F.col("text").alias("code"), "known", *S.G)
+
+
+@query(
+    "WITH f AS (SELECT doc_id, n_chars, doc_id % 10 AS kind, CASE WHEN doc_id % 10 = 9 THEN doc_id - 9 ELSE doc_id END AS content FROM documents), p AS (SELECT doc_id AS s, k AS page, (doc_id + k) % 4 AS many FROM f, range(1, 4) r(k) WHERE kind IN (2, 3)), "
+    "s AS (SELECT s, sum(many) FILTER (many > 0) AS detected FROM p GROUP BY s), d AS (SELECT CAST(coalesce(sum(many) FILTER (many < 3), 0) AS BIGINT) AS fine, count(*) FILTER (many = 3) AS lost FROM p), "
+    "e AS (SELECT count(*) AS n FROM (SELECT s FROM p GROUP BY s HAVING coalesce(sum(many) FILTER (many < 3), 0) = 0)), "
+    "i AS (SELECT count(*) FILTER (kind IN (0, 1)) AS good, count(*) FILTER (kind = 4) AS bad, count(*) FILTER (kind = 5) AS alone, count(*) FILTER (kind IN (6, 7, 8)) AS other, count(*) FILTER (kind = 9) AS again, count(*) AS n FROM f) "
+    "SELECT i.n AS scanned, i.n - i.other AS total_files, i.good + d.fine AS indexed, i.other + i.again AS skipped, i.bad + d.lost + i.alone + e.n AS failed FROM i, d, e"
+)
+def build_report(spark, sf_dir):
+    """Images that decode or don't, documents with 0 to 2 codes a page, pages that can't be rendered, documents without pages, copies and other files."""
+    i = F.col("doc_id")
+    kind = i % 10
+    content = F.when(kind == 9, i - 9).otherwise(i)
+    ext = F.when(kind.isin(2, 3, 5), ".pdf").when(kind.isin(6, 7, 8), ".txt").otherwise(".png")
+    d = X.table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), F.concat(F.lit("in/"), i, ext).alias("path"), F.concat(F.lit("h"), content).alias("hash"))
+    whole = F.col("kind") != 4
+    raster = F.encode(F.repeat(F.lit("\u00ff"), 900), "ISO-8859-1")
+    images = d.where("kind in (0, 1, 4)").select("path", *[F.when(whole, v).alias(c) for c, v in (("width", F.lit(30)), ("height", F.lit(30)), ("pixels", raster))])
+    pages = d.where("kind in (2, 3)").select("hash", "doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page"))
+    many = (F.col("doc_id") + F.col("page")) % 4
+    pages = pages.select("hash", "page", F.lit(300).alias("page_width"), F.when(many < 3, F.encode(F.repeat(F.lit("\u00ff"), 90_000), "ISO-8859-1")).alias("pixels"), many.alias("many"))
+    box = F.explode(F.when(F.col("many").isin(1, 2), F.sequence(F.lit(1), F.col("many").cast("int"))).otherwise(F.array().cast("array<int>")))
+    texts = pages.select("hash", "page", box.alias("n")).select("hash", "page", F.lit("123456").alias("str"), (F.col("n") * 100 - 50).cast("double").alias("x"), F.lit(200.0).alias("y"), F.lit(90.0).alias("width"), F.lit(12.0).alias("height"))
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    return BD.import_batch(store, "first", X.MODE, d.select("path", "hash"), images, pages.drop("many"), texts, (300, 300))
