@@ -41,7 +41,7 @@ SIMILAR = 80
 #: Bits of the parity bitmap of a set, and of its folded form, which goes with every key.
 BITS, FOLDED = 2048, 512
 #: Kept tokens of a bucket and of a flush; occurrences from which a token ranks as frequent.
-BUCKET, FLUSH, CAPPED = 2_000_000, 2_000_000, 64
+BUCKET, FLUSH, CAPPED = 500_000, 4_000_000, 64
 #: Bytes of text hashed at once.
 SLICE = 2 << 20
 #: Sets of one key on either side of a group, and pairs that a task compares at once.
