@@ -18,9 +18,12 @@ sets of one token from a flush.
 
 From keys to components without all pairs of a key: sets that are equal are one; each key pairs its
 sets with one leader, and after those links are known only keys that still hold several components
-compare sets across them, block against block. A pair is handed on if its sizes, a parity bitmap of
-the whole sets (a bound on how much they differ) and orders 3 and 4 allow a link; every link is
-confirmed on the whole sets. All filters are exact: no link is lost.
+compare sets across them, block against block. The leader is the set with the least share of tokens
+that no other set has: of copies that were each changed elsewhere, the original, which more of them
+are linked to than to each other. A pair is handed on if its sizes, a parity bitmap of the whole sets
+(a bound on how much they differ) and orders 3 and 4 allow a link; every link is confirmed on the
+whole sets. A pair that shares many keys is left to the least of them that both sets list among their
+FIRST least, so it is handed on about once and not once a key. All filters are exact: no link is lost.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ BUCKET, FLUSH, CAPPED = 500_000, 4_000_000, 64
 SLICE = 2 << 20
 #: Sets of one key on either side of a group, and pairs that a task compares at once.
 BLOCK, PAIRS = 512, 50_000
+#: Least keys of a set that go with it, and what fills the list of a set with fewer: no key is above it.
+FIRST, NO_KEY = 8, np.int64(2**63 - 1)
 
 _ORDERS = [np.uint64(v) for v in np.random.default_rng(20250311).integers(1, 2**63, 3, dtype=np.uint64)]
 
@@ -194,22 +199,33 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from counted(parts)
 
 
+def least_keys(keys: np.ndarray) -> bytes:
+    """The FIRST least keys of a set, in a list of that length."""
+    return np.append(np.sort(keys)[:FIRST], np.full(max(0, FIRST - len(keys)), NO_KEY)).tobytes()
+
+
+def met_before(key: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets, by their lists of least keys, meet under a key below this one."""
+    return ((x[:, :, None] == y[:, None, :]) & (x < key)[:, :, None]).any((1, 2))
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rep, n, bits, folded bits, keys by rarity, and the prefixes by two hashes, of the sets that may have a partner."""
+    """rep, n, share of tokens of no other set, bits, folded bits, keys by rarity, the least of them, and the prefixes by two hashes, of the sets that may have a partner."""
     for b in batches:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(9)]
         for rep, n, bits, tokens, seen in zip(*(b.column(k) for k in range(5)), strict=True):
             t, s = tokens.values.to_numpy().view(np.uint64), seen.values.to_numpy()
             least = int(sure(n.as_py()))
             if len(t) < least:
                 continue
             first = len(t) - least + 1  # before them come the tokens of no other set
-            by_rarity = np.lexsort((ranked(t, 0), s))[:first]
+            keys = t[np.lexsort((ranked(t, 0), s))[:first]].view(np.int64)
+            lone = 1 - len(t) / int(kept(n.as_py()))
             more = [np.sort(np.sort(ranked(t, k))[:first] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for k in (1, 2)]
-            for column, v in zip(out, (rep.as_py(), n.as_py(), bits.as_py(), folded(bits.as_py()), t[by_rarity].view(np.int64).tolist(), *more), strict=True):
+            for column, v in zip(out, (rep.as_py(), n.as_py(), lone, bits.as_py(), folded(bits.as_py()), keys.tolist(), least_keys(keys), *more), strict=True):
                 column.append(v)
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["rep", "n", "bits", "few", "keys", "by_two", "by_three"])
+        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["rep", "n", "lone", "bits", "few", "keys", "first", "by_two", "by_three"])
 
 
 def possible(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
@@ -257,19 +273,22 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) from rows sorted by key and blocks; a group has about 2 * BLOCK rows. Only sizes and folded bitmaps are looked at."""
+    """(a, b) from rows sorted by key and blocks; a group has about 2 * BLOCK rows. Only sizes, folded bitmaps and least keys are looked at."""
 
     def compared(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        home, stray, rep, comp, n = (t.column(c).to_numpy() for c in range(3, 8))
+        key, (home, stray, rep, comp, n) = t.column(0)[0].as_py(), (t.column(c).to_numpy() for c in range(3, 8))
         bits, n = _words(t.column(8).to_pylist(), FOLDED), n.astype(np.int64)
+        first = np.frombuffer(b"".join(t.column(9).to_pylist()), np.int64).reshape(-1, FIRST)
         guests, homes, a, b = np.flatnonzero(~home), np.flatnonzero(home), [], []
         for i, j in in_slices(np.arange(len(guests) + 1) * len(homes), PAIRS):
             x, y = np.repeat(guests[i:j], len(homes)), np.tile(homes, j - i)
             may = (comp[x] != comp[y]) & (~stray[y] | (rep[x] > rep[y]))  # two strays meet twice: once is enough
             x, y = x[may], y[may]
             near = possible(n[x], n[y], bits[x], bits[y])
-            a.append(np.minimum(rep[x], rep[y])[near])
-            b.append(np.maximum(rep[x], rep[y])[near])
+            x, y = x[near], y[near]
+            now = ~met_before(key, first[x], first[y])
+            a.append(np.minimum(rep[x], rep[y])[now])
+            b.append(np.maximum(rep[x], rep[y])[now])
         return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
 
     def found(t: pa.Table) -> pa.RecordBatch:
@@ -296,8 +315,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaders(held: DataFrame) -> DataFrame:
-    """key, n and the least rep of each key that several sets have."""
-    return held.groupBy("key").agg(F.count("*").alias("n_key"), F.min("rep").alias("leader")).where("n_key > 1")
+    """key, n and leader of each key that several sets have: the set with the least share of tokens of its own, and of those the least rep."""
+    return held.groupBy("key").agg(F.count("*").alias("n_key"), F.min(F.struct("lone", "rep")).alias("best")).where("n_key > 1").select("key", "n_key", F.col("best.rep").alias("leader"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,11 +342,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "rep long, token long, seen int")
     lists = repeated.groupBy("rep").agg(F.collect_list(F.struct("token", "seen")).alias("t"))  # a set's own tokens
     joined = lists.join(sets.select("rep", "n", "bits"), "rep").where(F.size("t") >= F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * SIMILAR + 99) / 100) / 6)))
-    reps = joined.select("rep", "n", "bits", F.col("t.token").alias("tokens"), F.col("t.seen").alias("seen")).mapInArrow(_prefixes, "rep long, n int, bits binary, few binary, keys array<long>, by_two binary, by_three binary")
+    reps = joined.select("rep", "n", "bits", F.col("t.token").alias("tokens"), F.col("t.seen").alias("seen")).mapInArrow(_prefixes, "rep long, n int, lone double, bits binary, few binary, keys array<long>, first binary, by_two binary, by_three binary")
     reps = written(reps, "reps")
 
-    held = reps.select("rep", F.explode("keys").alias("key"))
-    held = written(held.join(_leaders(held), "key"), "held")
+    held = reps.select("rep", "lone", F.explode("keys").alias("key"))
+    held = written(held.select("key", "rep").join(_leaders(held), "key"), "held")
     pairs = held.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -356,8 +375,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     homes = left.select("key", place("blocks", 1).alias("hb"), each("guests").alias("gb"), F.lit(True).alias("home"), "stray", "rep", "comp")
     guests = left.where("stray").select("key", each("blocks").alias("hb"), place("guests", 2).alias("gb"), F.lit(False).alias("home"), "stray", "rep", "comp")
-    placed = homes.unionByName(guests).join(reps.select("rep", "n", "few"), "rep")
-    dealt = placed.select("key", "hb", "gb", "home", "stray", "rep", "comp", "n", "few").repartition("key", "hb", "gb").sortWithinPartitions("key", "hb", "gb")
+    placed = homes.unionByName(guests).join(reps.select("rep", "n", "few", "first"), "rep")
+    dealt = placed.select("key", "hb", "gb", "home", "stray", "rep", "comp", "n", "few", "first").repartition("key", "hb", "gb").sortWithinPartitions("key", "hb", "gb")
     more = near(dealt.mapInArrow(_across, "a long, b long").distinct())
     final = components(links.unionByName(confirmed(more, whole, SIMILAR)))
     return by_document(signed, every, same, final)

@@ -87,3 +87,28 @@ def test_occurrences_in_many_flushes(monkeypatch):
             got[rep][token] = seen
     count = Counter(t for s in sets.values() for t in s)
     assert got == {r: {t: min(count[t], J.CAPPED) for t in s if count[t] > 1} for r, s in sets.items()}
+
+
+def test_pairs_leave_their_groups_about_once():
+    """Sets that share many keys are handed on under few of them, and no pair is lost."""
+    g = random.Random(11)
+    common = [g.randrange(-(2**63), 2**63 - 1) for _ in range(60)]
+    keys = [sorted(g.sample(common, 45) if r < 40 else g.sample(common, r % 4 + 1)) for r in range(60)]
+    groups = {k: [r for r in range(60) if k in keys[r]] for k in common}
+    first = [J.least_keys(np.array(k, np.int64)) for k in keys]
+    bits = J.folded(bytes(J.BITS // 8))  # sizes and bitmaps let every pair pass
+    names, got, apart = ["key", "hb", "gb", "home", "stray", "rep", "comp", "n", "few", "first"], Counter(), 0
+    for k, held in groups.items():
+        sides = [(True, r) for r in held] + [(False, r) for r in held[1:]]  # every set is a component, the first one the main one
+        rows = [(k, 0, 0, home, r != held[0], r, r, 50, bits, first[r]) for home, r in sides]
+        t = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+        for b in J._across(iter(t.to_batches(max_chunksize=16))):
+            got.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        apart += len(held) * (len(held) - 1) // 2
+    assert set(got) == {(a, b) for b in range(60) for a in range(b) if set(keys[a]) & set(keys[b])}
+    assert apart > 15 * len(got) and sum(got.values()) <= 2 * len(got)
+
+
+def test_leaders_have_fewest_tokens_of_their_own(spark):
+    held = spark.createDataFrame([(5, 1, 0.2), (5, 2, 0.0), (5, 3, 0.0), (6, 4, 0.1), (7, 1, 0.2), (7, 9, 0.3)], "key long, rep long, lone double")
+    assert sorted(tuple(r) for r in J._leaders(held).select("key", "n_key", "leader").collect()) == [(5, 3, 2), (7, 2, 1)]
