@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,30 +40,84 @@ def upper_median(values: list[float], fallback: float) -> float:
     return some[len(some) // 2] if some else fallback
 
 
-def _spacings(page: pd.DataFrame, width: float, height: float) -> tuple[float, float]:
-    """How far columns and rows of printed numbers are apart on a page."""
-    columns, rows = centres(page["middle"].to_numpy()), centres(page["y"].to_numpy())
-    return upper_median(list(np.diff(columns)), width / max(len(columns), 4)), upper_median(list(np.diff(rows)), height / max(len(rows), 3))
+def spacings(values: np.ndarray, first: np.ndarray, size: float, least: int, tolerance: float = TOLERANCE) -> np.ndarray:
+    """How far the cluster centres of each page's values are apart: their upper median, or size by their number, `least` or more.
+
+    first: where each page's values begin. Pages advance together, a value at a time, as centres() does for one.
+    """
+    many = np.diff(np.append(first, len(values)))
+    v = values[np.lexsort((values, np.repeat(np.arange(len(first)), many)))]
+    by = np.argsort(-many, kind="stable")  # those that go on longest come first
+    total, n, clusters, last = np.zeros(len(by)), np.zeros(len(by)), np.zeros(len(by), np.int64), np.full(len(by), np.nan)
+    pages, gaps = [], []
+
+    def closed(at: np.ndarray) -> None:
+        centre = total[at] / n[at]
+        gap = centre - last[at]
+        some = np.isfinite(gap) & (gap > 0)
+        pages.append(by[at[some]])
+        gaps.append(gap[some])
+        last[at] = centre
+
+    for k in range(int(many.max(initial=0))):
+        going = int(np.searchsorted(-many[by], -k))
+        x = v[first[by[:going]] + k]
+        if k:
+            new = ~(np.abs(total[:going] / n[:going] - x) <= tolerance)
+            closed(np.flatnonzero(new))
+        else:
+            new = np.ones(going, bool)
+        total[:going], n[:going] = np.where(new, x, total[:going] + x), np.where(new, 1, n[:going] + 1)
+        clusters[:going] += new
+    closed(np.arange(len(by)))
+    out = np.empty(len(by))
+    out[by] = size / np.maximum(clusters, least)
+    page, gap = np.concatenate(pages), np.concatenate(gaps)
+    order = np.lexsort((gap, page))
+    some, at, count = np.unique(page[order], return_index=True, return_counts=True)
+    out[some] = gap[order][at + count // 2]
+    return out
 
 
 def crops_from_text(items: DataFrame, page_width: float = 900, page_height: float = 1200) -> DataFrame:
     """Crops of every page; items: page_id, str, x, y, width, height. Only numbers of 6 digits count.
 
     Boxes stand above the numbers and are numbered down the page, before those under 32 pixels go.
-    A page_id may be of any type; pages are taken to have few items.
+    A page_id may be of any type; pages are taken to have few items. Items travel once; all pages of a
+    batch are worked on together.
     """
-    numbers = items.select("page_id", F.trim("str").alias("text"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")])
+    numbers = items.where(F.col("page_id").isNotNull()).select("page_id", F.trim("str").alias("text"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")])
     numbers = numbers.where(F.col("text").rlike("^[0-9]{6,}$") & (F.col("width") > 10)).withColumn("middle", F.col("x") + F.col("width") / 2)
+    ordered = numbers.withColumn("index", F.row_number().over(W.partitionBy("page_id").orderBy("y", "x", "text", "width", "height")))
+    columns = ["page_id", "index", "text", "y", "width", "height", "middle"]
+
+    def apart(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole pages with their spacings."""
+        t = pa.Table.from_batches(rows)
+        if not t.num_rows:
+            return
+        first = np.flatnonzero(t.column("index").to_numpy() == 1)
+        each = np.diff(np.append(first, t.num_rows))
+        for name, c, size, least in (("across", "middle", page_width, 4), ("down", "y", page_height, 3)):
+            t = t.append_column(name, pa.array(np.repeat(spacings(t.column(c).to_numpy(), first, size, least), each)))
+        yield from t.combine_chunks().to_batches()
 
-    def one_page(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        across, down = _spacings(group, page_width, page_height)
-        return pd.DataFrame({"page_id": [key[0]], "across": [across], "down": [down]})
-
-    apart = numbers.select("page_id", "middle", "y").groupBy("page_id").applyInPandas(one_page, f"page_id {dict(items.dtypes)['page_id']}, across double, down double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # from the start of a page on
+        for b in batches:
+            starts = np.flatnonzero(b.column(1).to_numpy() == 1)
+            if len(starts):
+                yield from apart([*held, b.slice(0, starts[-1])])
+                held, b = [], b.slice(starts[-1])
+            held.append(b)
+        if held:
+            yield from apart(held)
+
+    # a window's rows come page by page, in its order
+    d = ordered.select(columns).mapInArrow(run, f"page_id {dict(items.dtypes)['page_id']}, index int, text string, y double, width double, height double, middle double, across double, down double")
     near = lambda c: F.floor(c + 0.5).cast("int")
     size = F.greatest(F.lit(48.0), F.least(F.col("width") * 0.58, F.col("across") * 0.42, F.col("down") * 0.68))
-    d = numbers.join(apart, "page_id").withColumn("size", size)
-    d = d.withColumn("index", F.row_number().over(W.partitionBy("page_id").orderBy("y", "x", "text", "width", "height")))
+    d = d.withColumn("size", size)
     d = d.withColumn("left", near(F.greatest(F.lit(0.0), F.col("middle") - F.col("size") / 2)))
     d = d.withColumn("top", near(F.greatest(F.lit(0.0), F.col("y") - F.greatest(F.lit(6.0), F.col("height") * 0.35) - F.col("size"))))
     d = d.select("page_id", "index", "text", "left", "top", near(F.least("size", page_width - F.col("left"))).alias("width"), near(F.least("size", page_height - F.col("top"))).alias("height"))

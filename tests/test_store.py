@@ -216,3 +216,22 @@ def test_tables_on_the_way_are_removed(spark):
         files = written(spark.range(2), "gone").inputFiles()
         raise ZeroDivisionError
     assert not any(Path(f.removeprefix("file:")).exists() for f in files)
+
+
+def test_text_crops_of_all_pages_together(spark):
+    """Pages cut by batches and a page longer than a batch give what one page at a time gives; no call for each page."""
+    g = np.random.default_rng(6)
+    pages = [g.normal(0, 300, n).round(1) for n in (1, 2, 900, *g.integers(1, 9, 200))]
+    pages[1][:] = np.nan
+    first = np.cumsum([0, *map(len, pages)])[:-1]
+    want = [C.upper_median(list(np.diff(C.centres(v))), 900 / max(len(C.centres(v)), 4)) for v in pages]
+    assert C.spacings(np.concatenate(pages), first, 900, 4).tolist() == want
+    items = spark.createDataFrame([(f"p{k}", "123456", float(x), float(y), 90.0, 12.0) for k, v in enumerate(pages) for x, y in zip(v, v[::-1], strict=True)], "page_id string, str string, x double, y double, width double, height double")
+    whole, most = sorted(map(tuple, C.crops_from_text(items).collect())), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        crops = C.crops_from_text(items)
+        assert sorted(map(tuple, crops.collect())) == whole and len(whole) > 500
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert "FlatMapGroupsInPandas" not in crops._jdf.queryExecution().toString()
