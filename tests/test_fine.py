@@ -334,3 +334,30 @@ def test_fine_score_is_the_best_of_all_grids():
             scores.append(slow_score(*(v[part].reshape(n, n).tolist() for v in (a, m, b)), *((0.72, 0.28) if pad is None else (0.92, 0.08))))
         assert got[k] == pytest.approx(max(scores), abs=0.011)
     assert g is not None and len(FS.GRIDS) == 16
+
+
+def test_sharp_rasters_are_sampled_without_resizing_them(spark, monkeypatch):
+    """Sums of interpolated pixels as weighted sums of pixels: as by resizing all, of which only strips are left; drawing is spread."""
+    g, whole, pixels = np.random.default_rng(12), R.resized, []
+
+    def counted(gray, size, *parts):
+        out = whole(gray, size, *parts)
+        pixels.append(out.size)
+        return out
+
+    monkeypatch.setattr(R, "resized", counted)
+    cases = []
+    for n in range(60):
+        side, scale = int(g.integers(8, 26)), int(g.integers(2, 22))
+        gray = np.pad(np.kron(g.random((side, side)) < 0.5, np.ones((scale, scale))), g.integers(0, 9, (2, 2)))
+        gray = (255 * (1 - gray)).astype(np.uint8)
+        gray[: side // 3, : side // 2] = g.integers(0, 256)
+        cases.append((gray, {} if n % 3 else {"fit": "full", "margin": n / 10}))
+    mine = [R.sample(gray, **options) for gray, options in cases]
+    assert max(pixels) < 420 * 60
+    monkeypatch.setattr(R, "_has_full_contrast", lambda gray, size: False)
+    for (gray, options), got in zip(cases, mine, strict=True):
+        want = R.sample(gray, **options)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    gallery = X.gallery(spark, SF).coalesce(1)
+    assert R.drawn(gallery).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
