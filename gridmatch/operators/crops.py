@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window as W
 from ..functions.bits import CELLS, SIDE, WORDS
 from ..sources.records import to_words
 from ..sources.tables import written
-from .components import labelled, measured
+from .components import measured, runs
 from .raster import GALLERY, sample
 
 #: Distance within which positions are one row or column, in page pixels.
@@ -126,10 +127,14 @@ def crops_from_text(items: DataFrame, page_width: float = 900, page_height: floa
 
 def dilated(bits: np.ndarray, radius: int) -> np.ndarray:
     """Set where a pixel of the square of that radius is set."""
+    bits = bits != 0
     for axis in (0, 1):
-        total = np.cumsum(np.insert(bits.astype(np.int32), 0, 0, axis), axis)
-        k = np.arange(bits.shape[axis])
-        bits = total.take(np.minimum(k + radius + 1, len(k)), axis) > total.take(np.maximum(k - radius, 0), axis)
+        near, by_axis = bits.copy(), np.moveaxis(bits, axis, 0)
+        out = np.moveaxis(near, axis, 0)  # a view
+        for k in range(1, min(radius, len(by_axis) - 1) + 1):
+            out[k:] |= by_axis[:-k]
+            out[:-k] |= by_axis[k:]
+        bits = near
     return bits
 
 
@@ -141,9 +146,11 @@ def pixel_boxes(gray: np.ndarray) -> np.ndarray:
     high, wide = gray.shape
     black = gray < 105
     radius = max(2, int(wide / 450 + 0.5))
-    number, many = labelled(dilated(black, radius))
-    r = measured(number, many)
-    ink = np.bincount(number[black], minlength=many + 1)[1:]
+    grown = dilated(black, radius)
+    rows, starts, ends, number, many = runs(grown)
+    r = measured(rows, starts, ends, number, many)
+    first = np.cumsum(ends - starts) - (ends - starts)  # of each run's pixels among all set ones
+    ink = np.bincount(number, np.add.reduceat(black[grown], first, dtype=np.int64) if many else None, many)
     box = [r[c].astype(int) for c in ("left", "top", "width", "height")]
     within = lambda v: (v >= max(42, wide * 0.045)) & (v <= max(90, wide * 0.19))
     fits = within(box[2]) & within(box[3]) & (r["ratio"] >= 0.74) & (r["ratio"] <= 1.26) & (ink >= 0.06 * r["area"])
@@ -169,6 +176,37 @@ def page_raster(pixels: bytes | None, width: int | None) -> np.ndarray | None:
     return np.frombuffer(pixels, np.uint8).reshape(-1, width) if whole else None
 
 
+def whole_squares(gray: np.ndarray, boxes: list[tuple[int, int, int, int]], black: float, side: int = SIDE) -> list[tuple[float, float, float] | None]:
+    """left, top and side of codes whose outermost lines are white, by the others on the page; None for all others.
+
+    The dark pixels of such a code are narrower (or lower) than a square, and don't tell on which side
+    a line is missing. Codes in the same column that are whole and as large do, if they all agree;
+    likewise those in the same row of codes that are too low.
+    """
+    out: list[tuple[float, float, float] | None] = [None] * len(boxes)
+    if len(boxes) < 2:
+        return out
+    dark, box = gray <= black, np.zeros((len(boxes), 2, 2))  # across and down, first pixel and end
+    for k, (left, top, width, height) in enumerate(boxes):
+        part = dark[max(0, top) : top + height, max(0, left) : left + width]
+        for axis, start in ((0, max(0, left)), (1, max(0, top))):
+            at = np.flatnonzero(part.any(axis))
+            box[k, axis] = (start + at[0], start + at[-1] + 1) if len(at) else np.nan
+    length = box[:, :, 1] - box[:, :, 0]
+    most = length.max(1)
+    cell = most / side
+    whole = most - length.min(1) <= cell / 2
+    for k in np.flatnonzero(most - length.min(1) > cell / 2):
+        axis, near = int(length[k].argmin()), cell[k] / 4
+        first, end = box[:, axis].T
+        like = whole & (np.abs(most - most[k]) <= near) & (first <= first[k] + near) & (end >= end[k] - near)
+        if like.any() and np.ptp(first[like]) <= near:
+            corner = box[k, :, 0].copy()
+            corner[axis] = np.median(first[like])
+            out[k] = (*corner.tolist(), float(most[k]))
+    return out
+
+
 def crops_from_pixels(pages: DataFrame) -> DataFrame:
     """Crops of page rasters (page_id, page_width, pixels: gray bytes, row by row); text is null.
 
@@ -201,7 +239,8 @@ def crop_grids(pages: DataFrame, crops: DataFrame | None = None, preset: dict |
     is looked through for codes by its pixels. Each raster travels once, to the task that cuts it up;
     tasks are as many as crops ask for. status is `indexed` or `failed`; besides, each page has a row
     without an index, `page` or, if it has no raster, `failed`, and its crops then have none. A crop
-    that doesn't lie within its page fails. Crops of unknown pages are failures of those.
+    that doesn't lie within its page fails. Crops of unknown pages are failures of those. A code with
+    a white line at its edge gets its square from the page's others, see whole_squares().
     """
     preset = GALLERY if preset is None else preset
     kind = dict(pages.dtypes)["page_id"]
@@ -216,11 +255,12 @@ def crop_grids(pages: DataFrame, crops: DataFrame | None = None, preset: dict |
         lists = given.repartition(n, "page_id").groupBy("page_id").agg(boxes.alias("boxes"))  # of one page each
         joined = rasters.repartition(n, "page_id").join(lists, "page_id", "full").select("page_id", "page_width", "pixels", "boxes")
 
-    def cut(gray: np.ndarray, box: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray] | None:
+    def cut(gray: np.ndarray, box: tuple[int, int, int, int], whole: tuple[float, float, float] | None) -> tuple[np.ndarray, np.ndarray] | None:
         left, top, width, height = box
         if min(left, top) < 0 or min(width, height) < 1 or left + width > gray.shape[1] or top + height > gray.shape[0]:
             return None
-        return sample(gray[top : top + height, left : left + width], SIDE, **preset)
+        square = (whole[0] - left, whole[1] - top, whole[2]) if whole and width == height else None
+        return sample(gray[top : top + height, left : left + width], SIDE, **preset, square=square)
 
     def one(page: pa.Array, wide: int | None, pixels: bytes | None, given: list[dict] | None) -> pa.RecordBatch:
         gray = page_raster(pixels, wide)
@@ -228,7 +268,8 @@ def crop_grids(pages: DataFrame, crops: DataFrame | None = None, preset: dict |
             rows, grids = [(None, None, "failed", "no raster")], [None]
         else:
             at = [(c["index"], c["text"], (c["left"], c["top"], c["width"], c["height"])) for c in given] if given else [(k, None, tuple(b)) for k, b in enumerate(pixel_boxes(gray).tolist(), 1)]
-            grids = [None, *[cut(gray, box) for _, _, box in at]]
+            boxes = [box for *_, box in at]
+            grids = [None, *map(cut, repeat(gray), boxes, whole_squares(gray, boxes, preset["black"]))]
             rows = [(None, None, "page", None), *[(k, t, *(("failed", "outside the page") if g is None else ("indexed", None))) for (k, t, _), g in zip(at, grids[1:], strict=True)]]
         flat, lost = np.zeros((2, len(rows), 448), np.uint8), np.array([g is None for g in grids])
         for k, g in enumerate(grids):

@@ -191,3 +191,25 @@ def test_images_that_come_in(spark, tmp_path, grids):
     assert sorted(found(store)) == [0, 1, 2, 3] and sorted(names.values()) == [f"img {i}.png" for i in range(4)]
     for r in found(store).values():
         assert [r[f"w{k}"] for k in range(7)] == grid_words(grids[int(names[r["source_id"]][4])])
+
+
+def edged(seed: int) -> np.ndarray:
+    """Pages of twelve random grids; four of them have a white line or two at an edge."""
+    cells = (np.random.default_rng(seed).random((12, 21, 21)) < 0.5).astype(np.uint8)
+    cells[:, [0, 0, 20, 20], [0, 20, 0, 20]] = 1
+    cells[1, :, 20] = cells[4, :, :2] = cells[6, 0] = cells[11, 19:] = 0
+    return cells
+
+
+def gallery_of(spark, cells: np.ndarray):
+    rows = [(k, *(int(w) for w in P.to_words(np.packbits(np.pad(c.ravel(), (0, 7)), bitorder="little")[None])[0])) for k, c in enumerate(cells)]
+    return spark.createDataFrame(rows, "record_no long, " + ", ".join(f"w{k} long" for k in range(7)))
+
+
+def test_codes_with_white_edges_under_printed_numbers(spark):
+    """printed_codes: the square of a code whose outermost lines are white comes from the page's others."""
+    g = gallery_of(spark, edged(3))
+    boxes = [(0, k + 1, f"70000{k}", k % 4 * 220 + 29, k // 4 * 220 + 28, 87, 87) for k in range(12)]
+    found = C.crop_grids(R.drawn_pages(g), spark.createDataFrame(boxes, f"page_id long, {C.BOX}")).where("index is not null")
+    assert sorted((r["index"] - 1, *[r[f"w{k}"] for k in range(7)]) for r in found.collect()) == sorted(map(tuple, g.collect()))
+    assert found.where("known = 441").count() == 12
