@@ -213,3 +213,17 @@ def test_codes_with_white_edges_under_printed_numbers(spark):
     found = C.crop_grids(R.drawn_pages(g), spark.createDataFrame(boxes, f"page_id long, {C.BOX}")).where("index is not null")
     assert sorted((r["index"] - 1, *[r[f"w{k}"] for k in range(7)]) for r in found.collect()) == sorted(map(tuple, g.collect()))
     assert found.where("known = 441").count() == 12
+
+
+def test_codes_with_white_edges_found_by_pixels(spark):
+    """grids_of_pages: so it does where pixels tell where codes are; without others on the page, nothing is known."""
+    for seed in (3, 4):
+        g = gallery_of(spark, edged(seed))
+        found = C.crop_grids(R.drawn_pages(g)).where("index is not null")
+        assert sorted((r["index"] - 1, *[r[f"w{k}"] for k in range(7)]) for r in found.collect()) == sorted(map(tuple, g.collect()))
+    gray = np.full((300, 700), 255, np.uint8)
+    gray[30:114, 30:110] = gray[200:284, 240:324] = gray[30:114, 500:584] = 0
+    boxes = [(25, 25, 95, 95), (235, 195, 95, 95), (495, 25, 95, 95)]
+    assert C.whole_squares(gray, boxes, 95) == [None] * 3 and C.whole_squares(gray, boxes[:1], 95) == [None]
+    gray[200:284, 26:110] = 0
+    assert C.whole_squares(gray, [*boxes, (20, 195, 95, 95)], 95) == [(26, 30, 84), None, None, None]
