@@ -227,3 +227,23 @@ def test_codes_with_white_edges_found_by_pixels(spark):
     assert C.whole_squares(gray, boxes, 95) == [None] * 3 and C.whole_squares(gray, boxes[:1], 95) == [None]
     gray[200:284, 26:110] = 0
     assert C.whole_squares(gray, [*boxes, (20, 195, 95, 95)], 95) == [(26, 30, 84), None, None, None]
+
+
+def test_pages_are_drawn_across_batches(spark):
+    """Pages that batches cut, some not full, one by one; no call for each page."""
+    cells, numbers = (np.random.default_rng(8).random((90, 21, 21)) < 0.5).astype(np.uint8), [k for k in range(100, 300) if k % 12 and k % 7 < 3][:90]
+    words = P.to_words(np.packbits(np.pad(cells.reshape(90, -1), ((0, 0), (0, 7))), 1, bitorder="little"))
+    g = spark.createDataFrame([(n, *w) for n, w in zip(numbers, words[: len(numbers)].tolist(), strict=True)], "record_no long, " + ", ".join(f"w{k} long" for k in range(7)))
+    want = {}
+    for n, c in zip(numbers, cells, strict=False):
+        y, x = (v * 220 + 30 for v in divmod(n % 12, 4))
+        want.setdefault(n // 12, np.full((690, 910), 255, np.uint8))[y : y + 84, x : x + 84] = 255 * (1 - np.kron(c, np.ones((4, 4))))
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+        pages = R.drawn_pages(g)
+        got = {r["page_id"]: (r["page_width"], bytes(r["pixels"])) for r in pages.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert got == {k: (910, v.tobytes()) for k, v in want.items()} and len(got) > 10
+    assert "FlatMapGroupsInPandas" not in pages._jdf.queryExecution().toString() and R.drawn_pages(g.limit(0)).count() == 0
