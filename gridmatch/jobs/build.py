@@ -79,12 +79,14 @@ def pdf_outcomes(fresh: DataFrame, pages: DataFrame, texts: DataFrame | None, go
     Pages that the store went through before are left alone. A page without a raster has failed.
     """
     key = F.concat_ws(":", "hash", F.col("page").cast("string"))
-    own = pages.join(fresh.where("kind = 'pdf'").select("hash").distinct(), "hash", "left_semi")
-    own = own.join(gone_through.select("hash", "page"), ["hash", "page"], "left_anti")
+    todo = pages.select("hash", "page").distinct().join(fresh.where("kind = 'pdf'").select("hash").distinct(), "hash", "left_semi")
+    todo = todo.join(gone_through.select("hash", "page"), ["hash", "page"], "left_anti")
+    # rasters are shuffled once, if at all, and never sorted
+    own = pages.join(todo.hint("shuffle_hash"), ["hash", "page"], "left_semi")
     rasters = own.select(key.alias("page_id"), "page_width", "pixels")
     boxes = None
     if texts is not None:
-        there = texts.join(own.select("hash", "page").distinct(), ["hash", "page"], "left_semi")
+        there = texts.join(todo, ["hash", "page"], "left_semi")
         boxes = C.crops_from_text(there.select(key.alias("page_id"), "str", "x", "y", "width", "height"), *page_size)
     found = C.crop_grids(rasters, boxes)
     page = F.element_at(F.split("page_id", ":"), -1).cast("int")

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.bits import CELLS, SIDE, WORDS
 from ..sources.records import to_words
-from ..sources.tables import written
+from ..sources.tables import short_batches, written
 from .components import measured, runs
 from .raster import GALLERY, sample
 
@@ -224,6 +224,7 @@ def crops_from_pixels(pages: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([page, pa.array(range(1, n + 1), pa.int32()), pa.nulls(n, pa.string()), *[pa.array(boxes[:, k].astype(np.int32)) for k in range(4)]], names)
 
     names = ["page_id", *[c.split()[0] for c in BOX.split(", ")]]
+    short_batches(pages.sparkSession)
     return pages.select("page_id", F.col("page_width").cast("int"), "pixels").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, {BOX}")
 
 
@@ -236,13 +237,14 @@ def crop_grids(pages: DataFrame, crops: DataFrame | None = None, preset: dict |
     """The grid in every crop of page rasters: page_id, index, text, status, error, known, words (w0 ...) and mask (m0 ...).
 
     pages: page_id, page_width, pixels; crops: page_id and the columns of BOX. A page without crops
-    is looked through for codes by its pixels. Each raster travels once, to the task that cuts it up;
+    is looked through for codes by its pixels. Each raster travels once, unsorted, to the task that cuts it up;
     tasks are as many as crops ask for. status is `indexed` or `failed`; besides, each page has a row
     without an index, `page` or, if it has no raster, `failed`, and its crops then have none. A crop
     that doesn't lie within its page fails. Crops of unknown pages are failures of those. A code with
     a white line at its edge gets its square from the page's others, see whole_squares().
     """
     preset = GALLERY if preset is None else preset
+    short_batches(pages.sparkSession)
     kind = dict(pages.dtypes)["page_id"]
     words = [f"{p}{k}" for p in "wm" for k in range(WORDS)]
     boxes = F.sort_array(F.collect_list(F.struct("index", "text", "left", "top", "width", "height")))
@@ -253,7 +255,7 @@ def crop_grids(pages: DataFrame, crops: DataFrame | None = None, preset: dict |
         given = written(crops.select("page_id", *[F.col(c.split()[0]).cast(c.split()[1]) for c in BOX.split(", ")]), "crops")
         n = max(1, -(-given.count() // CROPS))
         lists = given.repartition(n, "page_id").groupBy("page_id").agg(boxes.alias("boxes"))  # of one page each
-        joined = rasters.repartition(n, "page_id").join(lists, "page_id", "full").select("page_id", "page_width", "pixels", "boxes")
+        joined = rasters.repartition(n, "page_id").join(lists.hint("shuffle_hash"), "page_id", "full").select("page_id", "page_width", "pixels", "boxes")
 
     def cut(gray: np.ndarray, box: tuple[int, int, int, int], whole: tuple[float, float, float] | None) -> tuple[np.ndarray, np.ndarray] | None:
         left, top, width, height = box

@@ -247,3 +247,32 @@ def test_pages_are_drawn_across_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
     assert got == {k: (910, v.tobytes()) for k, v in want.items()} and len(got) > 10
     assert "FlatMapGroupsInPandas" not in pages._jdf.queryExecution().toString() and R.drawn_pages(g.limit(0)).count() == 0
+
+
+def test_rasters_are_read_in_short_groups_and_not_sorted(spark, tmp_path):
+    """imported_in_parts: a task holds few rasters at once, and no sort or window holds any."""
+    from pyarrow import parquet
+
+    from gridmatch.sources.tables import written
+
+    pages = R.drawn_pages(gallery_of(spark, edged(3)).crossJoin(spark.range(100).withColumnRenamed("id", "n")).selectExpr("record_no + n * 12 as record_no", "40 as page_count", *[f"w{k}" for k in range(7)]).coalesce(1), keep=("page_count",))
+    table = written(pages.withColumns({"hash": F.lit("h"), "page": (F.col("page_id") + 1).cast("int")}).coalesce(1), "pages", long_rows=True)
+    groups = [g.num_rows for f in table.inputFiles() for m in [parquet.ParquetFile(f.removeprefix("file://")).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(groups) == 100 and max(groups) <= 48 and table.where("page_count = 40 and length(pixels) = 910 * 690").count() == 100
+    fresh, threshold = spark.createDataFrame([("a.pdf", "h", "pdf")], "path string, hash string, kind string"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    gone = spark.createDataFrame([("h", p) for p in range(1, 31)], "hash string, page int")
+    boxes = spark.createDataFrame([(p, 1, "123456", 29, 28, 87, 87) for p in range(100)], f"page_id long, {C.BOX}")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = build.pdf_outcomes(fresh, table, None, gone, (900, 1200))
+        plans = [d._jdf.queryExecution().executedPlan().inputPlan() for d in (found, C.crop_grids(table, boxes))]
+        assert found.where("item_index is not null").count() == 840 and {r["page"] for r in found.collect()} == set(range(31, 101))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+    def nodes(plan):
+        below = plan.children()
+        return [(plan.nodeName(), plan.output().mkString(","))] + [n for k in range(below.size()) for n in nodes(below.apply(k))]
+
+    with_rasters = [name for plan in plans for name, columns in nodes(plan) if "pixels" in columns]
+    assert with_rasters.count("ShuffledHashJoin") == 2 and not {"Sort", "Window", "SortMergeJoin"} & set(with_rasters)
