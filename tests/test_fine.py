@@ -361,3 +361,29 @@ def test_sharp_rasters_are_sampled_without_resizing_them(spark, monkeypatch):
         assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
     gallery = X.gallery(spark, SF).coalesce(1)
     assert R.drawn(gallery).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_best_pairs_are_the_best_of_all(spark, monkeypatch):
+    """Bounds by matrices hold and leave few pairs to score; the best of each target as by scoring all, with ties and finders."""
+    g, noisy = np.random.default_rng(21), lambda k: code(k % 24, 21 if k % 3 else 25)
+    images = [R.draw(noisy(k)[None], 12, 0)[0] for k in range(60)]
+    asked = []
+    for k in (3, 8, 17, 40):
+        gray = np.rot90(images[k], k).copy()
+        gray[90:150, 100:170] = 128
+        asked.append(gray)
+    items = [(f["cells"], f["finders"]) for f in map(FS.image_feature, images)]
+    targets = [(f["cells"], f["mask"], f["finders"]) for f in (FS.image_feature(a, target=True) for a in [*asked, np.full((252, 252), 255, np.uint8)])]
+    assert any(f for *_, f in targets) and any(f for _, f in items)
+    item, target = (v.ravel()[g.permutation(300)[:280]] for v in np.divmod(np.arange(300), 5))
+    place, whole, scored = g.permutation(280), FS.fine_scores, []
+    monkeypatch.setattr(FS, "MULTIPLIED", 17)
+    monkeypatch.setattr(FS, "fine_scores", lambda *a: scored.append(len(a[0])) or whole(*a))
+    of = lambda v, k, at: [v[i][k] for i in at]
+    every = whole(*(FS.unpacked(of(targets, k, target)) for k in (0, 1)), FS.unpacked(of(items, 0, item)), of(targets, 2, target), of(items, 1, item))
+    low, high = (v[item, target] for v in FS.bounds(*(FS.unpacked([t[k] for t in targets]) for k in (0, 1)), [t[2] for t in targets], [i[0] for i in items], [i[1] for i in items]))
+    assert (every >= low - 0.012).all() and (every <= high + 0.012).all()
+    best, score = FS.best_pairs(item, target, place, items, targets, 5)
+    want = {(t, place[k], every[k]) for t in range(5) for k in sorted(np.flatnonzero(target == t), key=lambda k: (-every[k], place[k]))[:5]}
+    assert {(target[k], place[k], s) for k, s in zip(best, score, strict=True)} == want and len(best) == 25
+    assert sum(scored) < 150  # the white target's ties are 56
